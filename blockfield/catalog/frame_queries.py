@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from blockfield.catalog import inputs as I
 from blockfield.catalog import sql as S
+from blockfield.catalog import value_queries as V
 from blockfield.catalog.base import register, staged
 from blockfield.functions import constants as C
 from blockfield.functions import coding
@@ -81,7 +82,7 @@ def pick(df, **names):
 # ---- pixels ---------------------------------------------------------------------------------------------------
 
 register("join01_pad", "SELECT frame_id, x, y, r, g, b, block FROM padded")(lambda s, d: G.pad_frames(I.pixels(s, d), I.frames(s, d)))
-register("job01_pad_trace", """SELECT p.frame_id, 0 AS stage, 0 AS "group", (c * g.yb * 8 + p.y) * g.xb * 8 + p.x AS "index", ([p.r, p.g, p.b])[CAST(c + 1 AS INTEGER)] AS value
+register("job01_pad_trace", """SELECT p.frame_id, CAST(0 AS BIGINT) AS stage, CAST(0 AS BIGINT) AS "group", (c * g.yb * 8 + p.y) * g.xb * 8 + p.x AS "index", ([p.r, p.g, p.b])[CAST(c + 1 AS INTEGER)] AS value
   FROM (SELECT *, unnest(range(3)) AS c FROM padded) p JOIN geo g USING (frame_id)""")(
     lambda s, d: G.samples_as_trace(G.pad_frames(I.pixels(s, d), I.frames(s, d)), I.frames(s, d), C.STAGES["InputPadded"])
 )
@@ -100,7 +101,7 @@ for _q, _name in ((12, "prj06_xyb"), (18, "prj07_xyb_q18"), (21, "prj07_xyb_q21"
     register(_name, f"SELECT frame_id, x, y, xv AS xyb_x, yv AS xyb_y, bv AS xyb_b FROM xyb{_q}")(_xyb(_q))
 
 
-@register("job02_xyb_trace", """SELECT p.frame_id, 1 AS stage, 0 AS "group", (c * g.yb * 8 + p.y) * g.xb * 8 + p.x AS "index", ([p.xv, p.yv, p.bv])[CAST(c + 1 AS INTEGER)] AS value
+@register("job02_xyb_trace", """SELECT p.frame_id, CAST(1 AS BIGINT) AS stage, CAST(0 AS BIGINT) AS "group", (c * g.yb * 8 + p.y) * g.xb * 8 + p.x AS "index", ([p.xv, p.yv, p.bv])[CAST(c + 1 AS INTEGER)] AS value
   FROM (SELECT *, unnest(range(3)) AS c FROM xyb12) p JOIN geo g USING (frame_id)""")
 def _xyb_trace(s, d):
     px = _xyb(12)(s, d)
@@ -163,17 +164,15 @@ register("join05_block_tile_map", "SELECT c.frame_id, c.block, t.ytox, t.ytob FR
 )
 
 
-@register("join09_gradient_buckets", """SELECT e.event_id, c.context FROM ev e JOIN (VALUES """ + ", ".join(
+@register("join09_gradient_buckets", """SELECT e.event_id, CAST(c.context AS BIGINT) AS context FROM ev e JOIN (VALUES """ + ", ".join(
     f"({lo}, {hi}, {c})" for lo, (hi, c) in zip([0] + [u + 1 for u, _ in C.GRADIENT_CONTEXTS], [*C.GRADIENT_CONTEXTS, (1023, C.GRADIENT_CONTEXT_DEFAULT)])
 ) + """) c(lo, hi, context) ON e.w % 1024 BETWEEN c.lo AND c.hi""")
 def _buckets(s, d):
-    from blockfield.catalog.value_queries import ev
-
     ladder = [*C.GRADIENT_CONTEXTS, (1023, C.GRADIENT_CONTEXT_DEFAULT)]
     rows = [(lo, hi, c) for lo, (hi, c) in zip([0] + [u + 1 for u, _ in C.GRADIENT_CONTEXTS], ladder)]
     table = P.literal_table(s, ["lo", "hi", "context"], rows)
     prop = F.col("w") % 1024
-    return ev(s, d).join(F.broadcast(table), (prop >= F.col("lo")) & (prop <= F.col("hi"))).select("event_id", "context")
+    return V.ev(s, d).join(F.broadcast(table), (prop >= F.col("lo")) & (prop <= F.col("hi"))).select("event_id", "context")
 
 
 # ---- transforms and regression --------------------------------------------------------------------------------
@@ -244,10 +243,10 @@ def _costs(s, d):
     return shape.candidate_costs(shape.coefficient_costs(joined, 18), frames)
 
 
-register("agg09_candidate_costs", "SELECT frame_id, bcol AS bx, brow AS \"by\", shape AS raw_strategy, CAST(est AS BIGINT) AS estimate_q16, CAST(cost AS BIGINT) AS cost_q16 FROM shape_costs")(
+register("agg09_candidate_costs", "SELECT frame_id, bcol AS bx, brow AS \"by\", CAST(shape AS BIGINT) AS raw_strategy, CAST(est AS BIGINT) AS estimate_q16, CAST(cost AS BIGINT) AS cost_q16 FROM shape_costs")(
     lambda s, d: _costs(s, d).select("frame_id", "bx", "by", F.col("raw_strategy").cast("bigint").alias("raw_strategy"), "estimate_q16", "cost_q16")
 )
-register("agg10_candidate_maxima", "SELECT DISTINCT frame_id, bcol AS bx, brow AS \"by\", shape AS raw_strategy, cq AS aq_map_q24, cm AS mask_q16 FROM candidate_rows")(
+register("agg10_candidate_maxima", "SELECT DISTINCT frame_id, bcol AS bx, brow AS \"by\", CAST(shape AS BIGINT) AS raw_strategy, cq AS aq_map_q24, cm AS mask_q16 FROM candidate_rows")(
     lambda s, d: shape.candidate_fields(aq_fields(s, d), _tiles18(s, d), I.frames(s, d)).select(
         "frame_id", "bx", "by", F.col("raw_strategy").cast("bigint").alias("raw_strategy"), F.col("cq").alias("aq_map_q24"), F.col("cm").alias("mask_q16"))
 )
@@ -266,7 +265,7 @@ register("job11_choose_shape", "SELECT frame_id, block, CAST(code AS BIGINT) AS
 )
 register("job12_adjust_quant", "SELECT frame_id, block, arq AS raw_quant FROM adjusted")(lambda s, d: shape_cells(s, d).select("frame_id", "block", "raw_quant"))
 register("job14_quantize_owners", S.quantized_trace_sql("owner_levels", "owner_blocks"))(lambda s, d: quantize.quantized_trace(shaped(s, d)[0]))
-register("join08_covered_cells", """SELECT frame_id, block, 0 AS part, block AS cell FROM owner_blocks UNION ALL
+register("join08_covered_cells", """SELECT frame_id, block, CAST(0 AS BIGINT) AS part, block AS cell FROM owner_blocks UNION ALL
   SELECT q.frame_id, block, 1, block + CASE WHEN shape = 1 THEN g.xb ELSE 1 END FROM owner_blocks q JOIN geo g USING (frame_id) WHERE shape <> 0""")(
     lambda s, d: G.covered_cells(shaped(s, d)[0].join(tokens.block_counts(I.frames(s, d)), "frame_id")).select("frame_id", "block", "part", "cell")
 )
@@ -331,7 +330,7 @@ register("agg13_declared_counts", f"""SELECT q.frame_id, q.block, ny AS declared
 register("snk03_prepared_dc", "SELECT q.frame_id, rank * g.xb * g.yb + block AS ordinal, CAST(v AS BIGINT) AS value FROM (SELECT frame_id, block, unnest([0, 1, 2]) AS rank, unnest([day, dax, dab]) AS v FROM prepared_blocks) q JOIN block_frames g USING (frame_id)")(
     lambda s, d: sinks.prepared_dc(tokens.dc_cells(prepared(s, d), I.block_frames(s, d)), tokens.block_counts(I.block_frames(s, d)))
 )
-register("snk03_prepared_ac", """SELECT frame_id, block, 1 AS channel, ny AS nonzeros, coefficients FROM (SELECT frame_id, block, string_agg(CAST(qy AS VARCHAR), ' ' ORDER BY k) AS coefficients FROM
+register("snk03_prepared_ac", """SELECT frame_id, block, CAST(1 AS BIGINT) AS channel, ny AS nonzeros, coefficients FROM (SELECT frame_id, block, string_agg(CAST(qy AS VARCHAR), ' ' ORDER BY k) AS coefficients FROM
   (SELECT frame_id, block, k, CAST(qy AS BIGINT) AS qy FROM prepared_levels) GROUP BY frame_id, block) JOIN prepared_blocks USING (frame_id, block)""")(
     lambda s, d: sinks.prepared_ac(prepared(s, d)).where("channel = 1")
 )

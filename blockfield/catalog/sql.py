@@ -75,7 +75,7 @@ CTES["samples"] = """SELECT o_orderkey // 1440 AS frame_id, o_orderkey % 1440 AS
 _DISTANCE = "([64,128,256,300,512,1024,2048])[CAST({f} % 7 + 1 AS INTEGER)]"
 CTES["frames"] = f"""SELECT frame_id,
   CASE WHEN n <> 1440 THEN n WHEN frame_id % 2 = 0 THEN 72 ELSE 20 END AS xsize,
-  CASE WHEN n <> 1440 THEN 1 WHEN frame_id % 2 = 0 THEN 20 ELSE 72 END AS ysize,
+  CAST(CASE WHEN n <> 1440 THEN 1 WHEN frame_id % 2 = 0 THEN 20 ELSE 72 END AS BIGINT) AS ysize,
   CAST({_DISTANCE.format(f='frame_id')} AS BIGINT) AS distance_q8,
   CASE WHEN frame_id % 5 = 4 THEN 6000 ELSE 0 END AS fixed_point_scale,
   CASE WHEN frame_id % 5 IN (3, 4) THEN 102261 ELSE 0 END AS fixed_inv_qac_q16,

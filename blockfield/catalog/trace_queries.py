@@ -76,8 +76,8 @@ register("job20_extract_grid", "SELECT g.frame_id, i AS \"index\", v AS value FR
 register("job20_grid_rejects", """SELECT frame_id, CASE WHEN f_i IS NULL THEN 'index_range' WHEN v IS NULL THEN 'missing' ELSE 'value_range' END AS rule, CAST(coalesce(i, f_i) AS VARCHAR) AS detail FROM (
   SELECT coalesce(g.frame_id, f.frame_id) AS frame_id, g.i, g.v, f.i AS f_i FROM grid_in g FULL JOIN (SELECT frame_id, unnest(range(xb * yb)) AS i FROM geo) f ON f.frame_id = g.frame_id AND f.i = g.i)
   WHERE f_i IS NULL OR v IS NULL OR v NOT BETWEEN 0 AND 255""")(lambda s, d: T.extract_grid(grid_trace(s, d), "AcStrategy", I.frames(s, d))[1])
-register("agg12_duplicates", "SELECT l_orderkey, l_linenumber, count(*) AS copies FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1")(
-    lambda s, d: T.duplicates(I.table(s, d, "lineitem"), ["l_orderkey", "l_linenumber"])
+register("agg12_duplicates", "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, count(*) AS copies FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1")(
+    lambda s, d: T.duplicates(I.table(s, d, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber")), ["l_orderkey", "l_linenumber"])
 )
 
 # ---- compare --------------------------------------------------------------------------------------------------
@@ -91,7 +91,7 @@ CTES["verdicts"] = """SELECT frame_id, stream, len_expected, len_actual,
 register("job21_compare_runs", """SELECT v.*, a.context AS first_actual_context, a.value AS first_actual_value, e.context AS first_expected_context, e.value AS first_expected_value FROM verdicts v
   LEFT JOIN tokens_a a ON a.frame_id = v.frame_id AND a.stream = v.stream AND a.ordinal = v.first_ordinal
   LEFT JOIN tokens_e e ON e.frame_id = v.frame_id AND e.stream = v.stream AND e.ordinal = v.first_ordinal""")(lambda s, d: compare.compare_runs(expected(s, d), actual(s, d)))
-register("join11_full_outer_delta", "SELECT frame_id, stream, verdict, CASE WHEN verdict IN ('values', 'equal') THEN 0 END AS mismatches FROM (SELECT frame_id, stream, CASE WHEN verdict = 'values' THEN 'equal' ELSE verdict END AS verdict FROM verdicts)")(
+register("join11_full_outer_delta", "SELECT frame_id, stream, verdict, CASE WHEN verdict IN ('values', 'equal') THEN CAST(0 AS BIGINT) END AS mismatches FROM (SELECT frame_id, stream, CASE WHEN verdict = 'values' THEN 'equal' ELSE verdict END AS verdict FROM verdicts)")(
     lambda s, d: compare.compare_runs(expected(s, d), actual(s, d), max_value_delta=1).select("frame_id", "stream", "verdict", "mismatches")
 )
 register("agg14_mismatch_rollup", """SELECT frame_id, stream, CAST(sum(coalesce(mismatches, 0)) AS BIGINT) AS mismatches, count(*) FILTER (verdict = 'length') AS length_differences, count(*) AS streams
@@ -135,7 +135,7 @@ register("set02_concatenate_inputs", 'SELECT frame_id, stage, "group", "index",
 
 # ---- volume, routing ------------------------------------------------------------------------------------------
 
-CTES["cycles"] = "SELECT *, (event_id % 500) * 3 + user_id % 3 + 40 AS cycle FROM trace"
+CTES["cycles"] = 'SELECT *, (event_id % 500) * 3 + "index" % 3 + 40 AS cycle FROM trace'
 register("agg15_volume", """SELECT o.*, i.input_words, i.input_span, i.input_span - i.input_words AS stalls, o.first_cycle - i.in1 AS first_output_latency, o.last_cycle - i.in0 + 1 AS total_cycles FROM (
   SELECT frame_id, count(*) AS words, count(*) FILTER (stage = 10) AS dc_words, count(*) FILTER (stage = 6) AS strategy_words, count(*) FILTER (stage = 11) AS metadata_words, count(*) FILTER (stage = 12) AS ac_words,
     min(cycle) AS first_cycle, max(cycle) AS last_cycle, max(cycle) - min(cycle) + 1 AS span, max(cycle) - min(cycle) + 1 - count(*) AS bubbles FROM cycles GROUP BY frame_id) o
@@ -371,9 +371,12 @@ def _decode_stream(s, d):
 
 
 def _ordered_stream(s, rows, key="seq"):
-    """A file stream whose files follow the sequence, one file per trigger."""
+    """A file stream in three slices of the sequence; inside a slice every source has its own file."""
     path = work_dir(s)
-    rows.repartitionByRange(3, key).sortWithinPartitions(key).write.parquet(path)
+    top = rows.agg(F.max(key)).first()[0]
+    slice_ = int_div(F.col(key) * 3, lit(top + 1))
+    for i in range(3):
+        rows.where(slice_ == i).repartition("source").write.mode("append").parquet(path)
     return s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
@@ -398,14 +401,16 @@ def _delimited(s, d):
 def _running(s, d):
     from blockfield.streaming.frames import running_counts
 
-    return _run_stream(running_counts(stream_of(s, I.trace(s, d).select("ts", "stage"))), "running_counts", "complete").select("start", "stage", "words")
+    return _run_stream(running_counts(stream_of(s, I.trace(s, d).select(F.col("ts").cast("timestamp").alias("ts"), "stage"))), "running_counts", "complete").select(F.col("start").cast("timestamp_ntz").alias("start"), "stage", "words")
 
 
 @register("str08_beat_gaps", """SELECT date_trunc('hour', ts) AS start, count(*) AS words, epoch_us(max(ts)) - epoch_us(min(ts)) + 1 AS span, epoch_us(max(ts)) - epoch_us(min(ts)) + 1 - count(*) AS bubbles FROM trace GROUP BY ALL""")
 def _gaps(s, d):
     from blockfield.streaming.frames import beat_gaps
 
-    return _run_stream(beat_gaps(stream_of(s, I.trace(s, d).select("ts"))), "beat_gaps", "complete")
+    rows = I.trace(s, d).select(F.col("ts").cast("timestamp").alias("ts"))
+    out = _run_stream(beat_gaps(stream_of(s, rows)), "beat_gaps", "complete")
+    return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @register("str05_assemble_blocks", """SELECT frame_id AS source, row_number() OVER (PARTITION BY frame_id ORDER BY block) - 1 AS block, CAST(sum(y * (k + 1)) AS BIGINT) AS y_sum FROM prepared_in GROUP BY frame_id, block""")
@@ -417,7 +422,7 @@ def _stream_blocks(s, d):
     return out.select("source", "block", F.aggregate(F.transform(F.col("y"), lambda v, i: v * (i + 1)), lit(0), lambda a, v: a + v).alias("y_sum"))
 
 
-@register("str06_ownership", "SELECT frame_id AS source, 0 AS frame, count(*) AS owners, 'complete' AS outcome FROM owner_blocks GROUP BY frame_id")
+@register("str06_ownership", "SELECT frame_id AS source, CAST(0 AS BIGINT) AS frame, count(*) AS owners, 'complete' AS outcome FROM owner_blocks GROUP BY frame_id")
 def _stream_ownership(s, d):
     from blockfield.catalog.frame_queries import shaped
     from blockfield.streaming.frames import check_ownership

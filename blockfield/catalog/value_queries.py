@@ -172,7 +172,7 @@ def _grids(frames):
     return out
 
 
-register("prj33_passthrough", """SELECT frame_id, 0 AS stage, 0 AS "group", (y * xsize + x) * 3 + c AS "index", ([r, g, b])[CAST(c + 1 AS INTEGER)] AS value
+register("prj33_passthrough", """SELECT frame_id, CAST(0 AS BIGINT) AS stage, CAST(0 AS BIGINT) AS "group", (y * xsize + x) * 3 + c AS "index", ([r, g, b])[CAST(c + 1 AS INTEGER)] AS value
   FROM (SELECT p.*, f.xsize, unnest(range(3)) AS c FROM pixels p JOIN frames f USING (frame_id))""")(
     lambda s, d: G.interleaved_trace(I.pixels(s, d), I.frames(s, d))
 )

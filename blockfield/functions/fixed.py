@@ -69,6 +69,15 @@ def sign_extend(x: Column, bits: int) -> Column:
     return F.shiftright(F.shiftleft(x, 64 - bits), 64 - bits)
 
 
+def swap_bytes(x: Column, size: int) -> Column:
+    """Reverse the byte order of an unsigned value of 2 or 4 bytes."""
+    byte = lambda i: F.shiftright(x, 8 * i).bitwiseAND(lit(0xFF))
+    out = F.shiftleft(byte(0), 8 * (size - 1))
+    for i in range(1, size):
+        out = out.bitwiseOR(F.shiftleft(byte(i), 8 * (size - 1 - i)))
+    return out
+
+
 def shift_right_by(x: Column, n: Column) -> Column:
     """Shift by a per-row distance in 0..63."""
     return F.call_function("shiftright", x, n.cast("int"))

@@ -126,13 +126,12 @@ def quantized_trace(blocks: DataFrame) -> DataFrame:
     AC index = channel * count + k, DC index = channel * covered + cell; owners add shifted counts as 3..5 when
     they cover two cells.
     """
+    def plane(stage: str, source: str, stride: Column, ch: int) -> Column:
+        return F.transform(F.col(f"{source}_{PLANES[ch]}"), lambda v, i: F.struct(
+            lit(C.STAGES[stage]).alias("stage"), (lit(ch) * stride + i).alias("index"), v.alias("value")))
+
     def entries(stage: str, source: str, stride: Column) -> Column:
-        parts = [
-            F.transform(F.col(f"{source}_{p}"), lambda v, i, ch=ch: F.struct(
-                lit(C.STAGES[stage]).alias("stage"), (lit(ch) * stride + i).alias("index"), v.alias("value")))
-            for ch, p in enumerate(PLANES)
-        ]
-        return F.concat(*parts)
+        return F.concat(*[plane(stage, source, stride, ch) for ch in range(3)])
 
     square = F.col("raw_strategy") == C.DCT
     counts = [(i, f"nnz_{p}") for i, p in enumerate(PLANES)]

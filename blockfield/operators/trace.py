@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from blockfield.functions import coding
 from blockfield.functions import constants as C
-from blockfield.functions.fixed import UINT32_MAX, int_div, lit, sign_extend, wide_floor_div
+from blockfield.functions.fixed import UINT32_MAX, int_div, lit, sign_extend, swap_bytes, wide_floor_div
 from blockfield.operators.geometry import constant_grid
 
 DOMAIN_CHUNK = 4096
@@ -43,16 +43,15 @@ def unpack_words(words: DataFrame, group_bits: int = 16, value_bits: int = 32) -
     return staged.select(*keep, "stage", "group", "index", sign_extend(F.col("_v"), value_bits).alias("value"), "oversized")
 
 
-def unpack_binary(words: DataFrame, group_bits: int = 16) -> DataFrame:
-    """Unpack little-endian BINARY words of at least 11 bytes without DECIMAL: two 64-bit halves."""
-    hexed = lambda start, n: F.conv(F.hex(F.reverse(F.substring("word", start, n))), 16, 10).cast("bigint")
+def unpack_binary(words: DataFrame) -> DataFrame:
+    """Unpack little-endian BINARY words of at least 11 bytes (16 group bits) without DECIMAL arithmetic."""
+    number = lambda start, n: F.conv(F.hex(F.substring("word", start, n)), 16, 10).cast("bigint")
     keep = [c for c in words.columns if c != "word"]
-    staged = words.select(*keep, hexed(1, 1).alias("stage"), hexed(2, 2).alias("group"), hexed(4, 4).alias("index"), hexed(8, 4).alias("_v"),
-                          F.length("word").alias("_n"), hexed(12, 5).alias("_top"))
-    if group_bits != 16:
-        raise ValueError("binary words use 16 group bits; decode other widths from DECIMAL data")
-    return staged.select(*keep, "stage", "group", "index", sign_extend(F.col("_v"), 32).alias("value"),
-                         ((F.col("_n") > 11) & (F.col("_top") != 0)).alias("oversized"))
+    padding = F.when(F.length("word") > 11, number(12, 5) != 0).otherwise(False)
+    return words.select(
+        *keep, number(1, 1).alias("stage"), swap_bytes(number(2, 2), 2).alias("group"), swap_bytes(number(4, 4), 4).alias("index"),
+        sign_extend(swap_bytes(number(8, 4), 4), 32).alias("value"), padding.alias("oversized"),
+    )
 
 
 def flag_last(rows: DataFrame, order: str = "ordinal") -> DataFrame:

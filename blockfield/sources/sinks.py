@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from blockfield.functions import constants as C
 from blockfield.functions.color import to_xyb
-from blockfield.functions.fixed import int_div
+from blockfield.functions.fixed import int_div, swap_bytes
 
 TRACE = ["frame_id", "stage", "group", "index", "value"]
 WORDS_PER_FILE = 1 << 20
@@ -48,11 +48,12 @@ def prepared_ac(quantized: DataFrame) -> DataFrame:
 def word_bytes(data, size: int = 16):
     """Little-endian BINARY of a nonnegative DECIMAL(38,0) word."""
     base = F.lit(1 << 32).cast("decimal(20,0)")
-    rest, hexed = data.cast("decimal(38,0)"), F.lit("")
+    rest, hexed = data.cast("decimal(38,0)"), []
     for _ in range((size + 3) // 4):
-        hexed = F.concat(F.lpad(F.hex(F.pmod(rest, base).cast("bigint")), 8, "0"), hexed)
+        limb = swap_bytes(F.pmod(rest, base).cast("bigint"), 4)
+        hexed.append(F.lpad(F.hex(limb), 8, "0"))
         rest = ((rest - F.pmod(rest, base)) / base).cast("decimal(38,0)")
-    return F.substring(F.reverse(F.unhex(hexed)), 1, size)
+    return F.substring(F.unhex(F.concat(*hexed)), 1, size)
 
 
 def write_word_buffers(words: DataFrame, path: str, size: int = 16, last_suffix: str = ".last") -> None:
