@@ -170,9 +170,9 @@ def read_prepared_blocks_json(spark: SparkSession, path: str, suffix: str = None
     )
 
 
-def read_prepared_tokens_json(spark: SparkSession, path: str, suffix: str = None) -> tuple:
+def read_prepared_tokens_json(spark: SparkSession, path: str, suffix: str = None, multi_line: bool = True) -> tuple:
     """(dc samples by ordinal, AC rows by block and channel)."""
-    docs = _json(spark, path, PREPARED_TOKENS_SCHEMA, suffix).where(F.size(image_errors()) == 0)
+    docs = _json(spark, path, PREPARED_TOKENS_SCHEMA, suffix, multi_line).where(F.size(image_errors()) == 0)
     dc = docs.select("frame_id", F.posexplode("dc_samples").alias("ordinal", "value")).withColumn("ordinal", F.col("ordinal").cast("bigint"))
     ac = docs.select("frame_id", F.explode("ac_blocks").alias("b")).select(
         "frame_id", F.col("b.block_index").alias("block"), F.posexplode(F.arrays_zip("b.num_nonzeros", "b.quantized")).alias("channel", "e")
@@ -181,9 +181,9 @@ def read_prepared_tokens_json(spark: SparkSession, path: str, suffix: str = None
                          F.col("e.num_nonzeros").alias("nonzeros"), F.col("e.quantized").alias("coefficients"))
 
 
-def read_manifests(spark: SparkSession, path: str, suffix: str = None) -> DataFrame:
+def read_manifests(spark: SparkSession, path: str, suffix: str = None, multi_line: bool = True) -> DataFrame:
     """Flat manifest rows; registers and checksums stay maps."""
-    return _json(spark, path, MANIFEST_SCHEMA, suffix).select(
+    return _json(spark, path, MANIFEST_SCHEMA, suffix, multi_line).select(
         "frame_id", "format", F.col("image.width").alias("xsize"), F.col("image.height").alias("ysize"),
         F.col("image.x_tiles").alias("x_tiles"), F.col("image.y_tiles").alias("y_tiles"),
         F.col("stream.word_count").alias("word_count"), "discovery.required_capabilities", "discovery.active_route", "registers", "checksums",
