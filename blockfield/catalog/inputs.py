@@ -72,8 +72,8 @@ def embedding_vectors(spark, sf_dir, scale: int) -> DataFrame:
 def embedding_blocks(spark, sf_dir, scale: int = 4096) -> DataFrame:
     """(frame_id, stripe, block, bx, by, vec_id, label, x, y, b): luma is the vector itself, X and B the next two."""
     vectors = embedding_vectors(spark, sf_dir, scale)
-    total = vectors.agg(F.count(F.lit(1)).alias("n"))
-    luma = vectors.select("vec_id", "label", F.col("v").alias("y")).crossJoin(F.broadcast(total))
+    total = table(spark, sf_dir, "embeddings").count()
+    luma = vectors.select("vec_id", "label", F.col("v").alias("y"), lit(total).alias("n"))
     x = vectors.select(F.col("vec_id").alias("_x"), F.col("v").alias("x"))
     b = vectors.select(F.col("vec_id").alias("_b"), F.col("v").alias("b"))
     joined = luma.join(x, F.col("_x") == (F.col("vec_id") + 1) % F.col("n")).join(
