@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from blockfield.llm import simhash
+from blockfield.llm import simhash, suffixes
 
 QUERIES, ORACLES = {}, {}
 
@@ -25,3 +25,9 @@ def documents(spark, sf_dir):
 @register("op4_simhash_components")
 def op4(spark, sf_dir):
     return simhash.near_duplicate_artifacts(documents(spark, sf_dir)).withColumnRenamed("frame_id", "doc_id")
+
+
+@register("op8_suffix_repeats")
+def op8(spark, sf_dir):
+    kept = suffixes.remove_repeats(documents(spark, sf_dir))
+    return kept.select(F.col("frame_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

@@ -34,9 +34,7 @@ def in_runs(step: Callable[[pa.Table], Iterator[pa.RecordBatch]], keys: list[str
     """
     def apply(batches):
         held, rows = [], 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (b.slice(at, limit) for b in batches for at in range(0, b.num_rows, limit)):
             held.append(batch)
             rows += batch.num_rows
             if rows < limit:
