@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from blockfield.llm import simhash, suffixes
+from blockfield.llm import mixing, simhash, suffixes
+from blockfield.llm.shared import staged, word_count
 
 QUERIES, ORACLES = {}, {}
 
@@ -22,6 +23,26 @@ def documents(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("frame_id"), F.col("text").alias("content"), "source")
 
 
+@register("op1_mix_to_weights", """
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size, md5('42:' || doc_id) AS h FROM documents),
+s AS (SELECT source, CAST(sum(size) AS HUGEINT) AS n, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM d GROUP BY source),
+f AS (SELECT *, 3 * n AS cap, sum(n) OVER () - coalesce(sum(3 * n) OVER (ORDER BY 3 * n / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+  sum(w) OVER (ORDER BY 3 * n / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ws FROM s),
+l AS (SELECT *, first_value(CASE WHEN rest * w < cap * ws THEN rest END IGNORE NULLS) OVER o AS lr, first_value(CASE WHEN rest * w < cap * ws THEN ws END IGNORE NULLS) OVER o AS lw
+  FROM f WINDOW o AS (ORDER BY 3 * n / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+t AS (SELECT source, n, CASE WHEN lr IS NULL THEN CAST(cap AS DOUBLE) ELSE CAST(lr * w AS DOUBLE) / CAST(lw AS DOUBLE) END AS target FROM l),
+x AS (SELECT d.doc_id, d.size, t.n, t.target, CAST(round(t.target) AS HUGEINT) AS whole,
+  coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, CAST(n AS BIGINT) AS source_size, target,
+  CAST(CASE WHEN n > 0 THEN whole // n * size + greatest(0, least(size, whole - whole // n * n - before)) ELSE 0 END AS BIGINT) AS taken FROM x""")
+def op1(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    streams = staged(docs.select("frame_id", F.col("source").alias("stage"), word_count("content").alias("token_count")))
+    mixed = mixing.mix_streams(streams, mixing.cycled_weights(streams))
+    return mixed.select(F.col("frame_id").alias("doc_id"), F.col("token_count").alias("size"), F.col("stage_tokens").alias("source_size"), "target", "taken")
+
+
 @register("op4_simhash_components")
 def op4(spark, sf_dir):
     return simhash.near_duplicate_artifacts(documents(spark, sf_dir)).withColumnRenamed("frame_id", "doc_id")

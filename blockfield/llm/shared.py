@@ -80,3 +80,14 @@ def sorted_runs(df: DataFrame, keys: list[str], parts: int | None = None) -> Dat
 def content_bytes(content: str) -> F.Column:
     """The whole text as UTF-8 bytes; null counts as empty."""
     return F.coalesce(F.col(content).cast("binary"), F.lit(b""))
+
+
+def trimmed(text: str):
+    """The text without blanks at its ends; null counts as empty."""
+    return F.trim(F.coalesce(F.col(text), F.lit("")), F.lit(BLANKS))
+
+
+def word_count(text: str):
+    """Number of runs of characters other than blanks; null: 0."""
+    bare = trimmed(text)
+    return F.when(bare == "", F.lit(0)).otherwise(F.size(F.split(bare, "[\\x20\\x09-\\x0D]+"))).cast("bigint")
