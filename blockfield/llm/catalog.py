@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from blockfield.llm import mixing, simhash, suffixes
+from blockfield.llm import mixing, quality, simhash, suffixes
 from blockfield.llm.shared import staged, word_count
 
 QUERIES, ORACLES = {}, {}
@@ -52,3 +52,15 @@ def op4(spark, sf_dir):
 def op8(spark, sf_dir):
     kept = suffixes.remove_repeats(documents(spark, sf_dir))
     return kept.select(F.col("frame_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def trusted(spark, sf_dir):
+    """Keys of the documents labelled good."""
+    return spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select(F.col("doc_id").alias("frame_id"))
+
+
+@register("op9_quality_rules")
+def op9(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("frame_id", "content")
+    judged = quality.quality(docs, quality.bucket_ratios(docs, trusted(spark, sf_dir)))
+    return judged.drop("content").withColumnRenamed("frame_id", "doc_id")
