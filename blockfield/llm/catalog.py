@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from blockfield.llm import mixing, quality, simhash, suffixes
+from blockfield.llm import mixing, packing, quality, simhash, suffixes
 from blockfield.llm.shared import staged, word_count
 
 QUERIES, ORACLES = {}, {}
@@ -64,3 +64,9 @@ def op9(spark, sf_dir):
     docs = documents(spark, sf_dir).select("frame_id", "content")
     judged = quality.quality(docs, quality.bucket_ratios(docs, trusted(spark, sf_dir)))
     return judged.drop("content").withColumnRenamed("frame_id", "doc_id")
+
+
+@register("op10_best_fit_packing")
+def op10(spark, sf_dir):
+    streams = staged(documents(spark, sf_dir).select("frame_id", word_count("content").alias("token_count")))
+    return packing.pack_streams(streams).withColumnRenamed("frame_id", "doc_id")

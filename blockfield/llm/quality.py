@@ -1,7 +1,8 @@
 """Quality of text artifacts: base counts and a hashed n-gram log-likelihood ratio. DataFrame functions only.
 
-Unigrams and bigrams of words fall into ``BUCKETS`` hash buckets.  Two multinomials with add-one smoothing are counted over
-whole corpora: the trusted artifacts and all artifacts.  An artifact's score is the mean over its n-grams of the log ratio
+Unigrams and bigrams of words fall into ``BUCKETS`` hash buckets.  Two multinomials are counted over whole corpora: the
+trusted artifacts and all artifacts, the latter scaled to the total of the former; both are smoothed with ``PSEUDO`` counts
+a bucket, so an n-gram that is rare in both says little.  An artifact's score is the mean over its n-grams of the log ratio
 of the two; it is kept if the score reaches a fixed threshold, so every artifact gets the same verdict in every run.
 """
 
@@ -12,6 +13,7 @@ from blockfield.llm.shared import staged, trimmed
 
 BUCKETS = 1 << 16
 THRESHOLD = -0.1
+PSEUDO = 5.0
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 10
@@ -64,8 +66,8 @@ def _hashed(artifacts: DataFrame, content: str) -> DataFrame:
     return artifacts.withColumn("_words", _words(content)).withColumn("_h", F.transform("_words", lambda w: F.xxhash64(w)))
 
 
-def bucket_ratios(artifacts: DataFrame, trusted: DataFrame, key: str = "frame_id", content: str = "content", buckets: int = BUCKETS) -> DataFrame:
-    """One row: ``ratios``, the log ratio of the trusted to the raw multinomial for each bucket (0 for both unseen).
+def bucket_ratios(artifacts: DataFrame, trusted: DataFrame, key: str = "frame_id", content: str = "content", buckets: int = BUCKETS, pseudo: float = PSEUDO) -> DataFrame:
+    """One row: ``ratios``, the log ratio of the trusted to the raw multinomial for each bucket.
 
     ``trusted(key)`` names the trusted artifacts.  Counts are added up inside each task before they meet; what meets is
     bounded by the number of buckets.
@@ -79,7 +81,8 @@ def bucket_ratios(artifacts: DataFrame, trusted: DataFrame, key: str = "frame_id
     every = artifacts.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"), F.lit(0).cast("bigint").alias("raw"), F.lit(0).cast("bigint").alias("target"))
     counts = raw.unionByName(good).unionByName(every).groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     packed = counts.agg(F.sort_array(F.collect_list(F.struct("bucket", "raw", "target"))).alias("c"), F.sum("raw").alias("n"), F.sum("target").alias("t"))
-    ratio = lambda x: F.log((x["target"] + 1) / (F.col("t") + buckets)) - F.log((x["raw"] + 1) / (F.col("n") + buckets))
+    share = F.when(F.col("n") > 0, F.col("t") / F.col("n")).otherwise(F.lit(0.0))
+    ratio = lambda x: F.log(x["target"] + pseudo) - F.log(x["raw"] * share + pseudo)
     return staged(packed.select(F.transform("c", ratio).alias("ratios")))
 
 

@@ -14,6 +14,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from blockfield.llm.shared import content_bytes, in_runs, run_bounds, sorted_runs, staged
 
@@ -289,30 +290,54 @@ def merged(spans) -> list[tuple[int, int]]:
     return out
 
 
-def _kept(batches):
-    for batch in batches:
-        kept, removed, count = [], [], []
-        for content, spans in zip(batch.column("content").to_pylist(), batch.column("spans").to_pylist()):
-            cut = merged([(s["from"], s["to"]) for s in spans or []])
-            edges = [0, *(x for c in cut for x in c), len(content)]
-            kept.append(b"".join(content[s:e] for s, e in zip(edges[::2], edges[1::2])) if cut else content)
-            removed.append(len(content) - len(kept[-1]))
-            count.append(len(cut))
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:-2], pa.array([len(c) for c in batch.column("content").to_pylist()], pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(kept, pa.binary())],
-            [*batch.schema.names[:-2], "n_bytes", "n_removed", "n_spans", "kept"],
-        )
+def _whole_chars(content: bytes, cut: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The cuts widened so that no UTF-8 character stays in part."""
+    out = []
+    for s, e in cut:
+        while 0 < s < len(content) and content[s] & 0xC0 == 0x80:
+            s -= 1
+        while e < len(content) and content[e] & 0xC0 == 0x80:
+            e += 1
+        out.append((s, e))
+    return merged(out)
+
+
+def _kept(chars: bool):
+    def step(batches):
+        for batch in batches:
+            contents = batch.column("content").to_pylist()
+            kept, removed, count = [], [], []
+            for content, spans in zip(contents, batch.column("spans").to_pylist()):
+                cut = merged([(s["from"], s["to"]) for s in spans or []])
+                if chars:
+                    cut = _whole_chars(content, cut)
+                edges = [0, *(x for c in cut for x in c), len(content)]
+                kept.append(b"".join(content[s:e] for s, e in zip(edges[::2], edges[1::2])) if cut else content)
+                removed.append(len(content) - len(kept[-1]))
+                count.append(len(cut))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("frame_id"), batch.column("_carry"), pa.array([len(c) for c in contents], pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(kept, pa.binary())],
+                ["frame_id", "_carry", "n_bytes", "n_removed", "n_spans", "kept"],
+            )
+
+    return step
 
 
-def remove_repeats(artifacts: DataFrame, key: str = "frame_id", content: str = "content", length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
+def remove_repeats(artifacts: DataFrame, key: str = "frame_id", content: str = "content", length: int = LENGTH, gram: int = GRAM,
+                   group: int = GROUP, carry: tuple = (), chars: bool = False) -> DataFrame:
     """Artifacts without the bytes that a ``length``-byte string starting elsewhere also covers.
 
-    Returns (key, n_bytes, n_removed, n_spans, kept BINARY) per row: content counts as UTF-8 bytes, null as empty; strings never cross artifacts; every occurrence of a repeated string is cut, and strings are judged on the
-    input.  Artifacts shorter than ``length`` stay whole.  Repeated rows are copies of each other and are all cut; rows
-    with a null key take part.  Other columns are not read; an empty table gives an empty one.
+    Returns (key, n_bytes, n_removed, n_spans, kept BINARY, *carry) per row: content counts as UTF-8 bytes, null as empty;
+    strings never cross artifacts; every occurrence of a repeated string is cut, and strings are judged on the input.
+    ``chars`` widens a cut so that no character stays in part, and ``kept`` is text.  Artifacts shorter than ``length``
+    stay whole.  Repeated rows are copies of each other and are all cut; rows with a null key take part.  Columns other
+    than ``carry`` are not read; an empty table gives an empty one.
     """
-    rows = artifacts.select(F.col(key).cast("bigint").alias("frame_id"), content_bytes(content).alias("content")).withColumn("whole", F.xxhash64("content"))
-    spans = repeated_spans(rows, length, gram, group).select(F.col("frame_id").alias("_f"), F.col("whole").alias("_w"), "spans")
-    both = rows.join(spans, F.col("frame_id").eqNullSafe(F.col("_f")) & (F.col("whole") == F.col("_w")), "left")
-    return both.select("frame_id", "content", "spans").mapInArrow(
-        _kept, "frame_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary").withColumnRenamed("frame_id", key)
+    held = F.struct(*[F.col(c) for c in carry]) if carry else F.struct(F.lit(0).alias("_none"))
+    rows = artifacts.select(F.col(key).cast("bigint").alias("frame_id"), content_bytes(content).alias("content"), held.alias("_carry")).withColumn("whole", F.xxhash64("content"))
+    spans = repeated_spans(rows.drop("_carry"), length, gram, group).select(F.col("frame_id").alias("_f"), F.col("whole").alias("_w"), "spans")
+    both = rows.join(spans, F.col("frame_id").eqNullSafe(F.col("_f")) & (F.col("whole") == F.col("_w")), "left").select("frame_id", "_carry", "content", "spans")
+    counts = [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")]
+    out = both.mapInArrow(_kept(chars), T.StructType([*both.schema.fields[:2], *counts, T.StructField("kept", T.BinaryType())]))
+    text = F.col("kept").cast("string") if chars else F.col("kept")
+    return out.select(F.col("frame_id").alias(key), "n_bytes", "n_removed", "n_spans", text.alias("kept"), *[F.col(f"_carry.{c}") for c in carry])

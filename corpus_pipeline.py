@@ -1,13 +1,68 @@
-"""Corpus pipeline: quality rules, SimHash near-dedup, suffix-array dedup, mixing to target weights, best-fit packing."""
+"""Corpus pipeline over the documents table: quality rules, SimHash near-dedup, suffix-array dedup, mixing to target
+weights, best-fit packing.
 
-STAGES = []
+Every stage gets what its predecessor kept, as (doc_id, text, lang, source, n_chars), and all but the last return those
+columns.  SQL cannot express fingerprints, hashed n-grams or the packing, so there is no reference SQL; tests compare the
+stages with brute-force versions.
+"""
+
+from pyspark.sql import functions as F
+
+from blockfield.llm import catalog, mixing, packing, quality, simhash, suffixes
+from blockfield.llm.shared import staged, word_count
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 ORACLE_SQL = None
 
 
+def quality_rules(spark, docs, sf_dir):
+    """Rejected documents go. Corpus statistics are those of the documents given. The verdicts are written before they are
+    used: as a filter, their long expressions would be copied into each other."""
+    rows = docs.select(*COLUMNS)
+    ratios = quality.bucket_ratios(rows, catalog.trusted(spark, sf_dir).withColumnRenamed("frame_id", "doc_id"), key="doc_id", content="text")
+    judged = staged(quality.quality(rows, ratios, content="text").select(*COLUMNS, "kept"))
+    return judged.where("kept").select(*COLUMNS)
+
+
+def simhash_dedup(spark, docs, sf_dir):
+    """The document with the smallest id of every component stays; of repeated ids all rows stay or go together."""
+    found = simhash.near_duplicate_artifacts(docs, key="doc_id", content="text")
+    kept = found.where(F.col("component_id") == F.col("doc_id")).select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(kept, docs["doc_id"] == kept["_id"], "left_semi").select(*COLUMNS)
+
+
+def suffix_dedup(spark, docs, sf_dir):
+    """Byte strings of 400 that repeat are cut, with a character that a cut would split; n_chars follows. All rows stay."""
+    cut = suffixes.remove_repeats(docs.select(*COLUMNS), key="doc_id", content="text", carry=("lang", "source", "n_chars"), chars=True)
+    chars = F.when(F.col("n_removed") > 0, F.length("kept").cast("bigint")).otherwise(F.col("n_chars"))
+    return cut.select("doc_id", F.col("kept").alias("text"), "lang", "source", chars.alias("n_chars"))
+
+
+def mix_sources(spark, docs, sf_dir):
+    """Every document as often as the mix takes it, as whole rows: the one document a source whose fractional repetition is
+    only partly taken counts from one half on. Rows of a repeated id are each taken as often as the one taken most."""
+    streams = staged(docs.select(F.col("doc_id").alias("frame_id"), F.col("source").alias("stage"), word_count("text").alias("token_count")))
+    mixed = mixing.mix_streams(streams, mixing.cycled_weights(streams))
+    more = F.when(F.col("part") * 2 >= F.greatest("token_count", F.lit(1)), 1).otherwise(0)
+    often = mixed.groupBy(F.col("frame_id").alias("_id")).agg(F.max(F.col("repeats") + more).cast("int").alias("_often"))
+    taken = docs.join(often.where("_often > 0"), docs["doc_id"].eqNullSafe(F.col("_id")))
+    return taken.select(*COLUMNS, F.explode(F.array_repeat(F.lit(0), F.col("_often"))).alias("_copy")).select(*COLUMNS)
+
+
+def best_fit(spark, docs, sf_dir):
+    """Places of the documents' words in sequences: one row per piece."""
+    streams = docs.select(F.col("doc_id").alias("frame_id"), word_count("text").alias("token_count"))
+    return packing.pack_streams(staged(streams)).withColumnRenamed("frame_id", "doc_id")
+
+
+STAGES = [
+    ("quality rules", quality_rules), ("simhash near-dedup", simhash_dedup), ("suffix-array dedup", suffix_dedup),
+    ("mix to weights", mix_sources), ("best-fit packing", best_fit),
+]
+
+
 def run(spark, sf_dir):
     """Apply the stages to the documents table, each written and reread as the next one's input."""
-    from blockfield.llm.shared import staged
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir))
