@@ -2,10 +2,18 @@
 
 from pyspark.sql import functions as F
 
-from blockfield.llm import mixing, packing, quality, simhash, suffixes
+from blockfield.llm import counting, mixing, packing, quality, simhash, suffixes, token_files
 from blockfield.llm.shared import staged, word_count
 
 QUERIES, ORACLES = {}, {}
+VOCABULARY = "word_bpe_49k.json"
+
+
+def vocabulary(name: str = VOCABULARY) -> str:
+    """Place of a public tokenizer file, the same on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def register(name: str, sql: str = None):
@@ -70,3 +78,14 @@ def op9(spark, sf_dir):
 def op10(spark, sf_dir):
     streams = staged(documents(spark, sf_dir).select("frame_id", word_count("content").alias("token_count")))
     return packing.pack_streams(streams).withColumnRenamed("frame_id", "doc_id")
+
+
+@register("op5_token_counts")
+def op5(spark, sf_dir):
+    return counting.count_tokens(documents(spark, sf_dir), vocabulary()).withColumnRenamed("frame_id", "doc_id")
+
+
+@register("op7_token_files")
+def op7(spark, sf_dir):
+    manifest = token_files.write_token_files(documents(spark, sf_dir), vocabulary())
+    return token_files.read_artifact_ids(manifest).withColumnRenamed("frame_id", "doc_id")
