@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from blockfield.llm import counting, mixing, packing, quality, simhash, suffixes, token_files
+from blockfield.llm import counting, mixing, packing, quality, simhash, suffixes, token_files, topk
 from blockfield.llm.shared import staged, word_count
 
 QUERIES, ORACLES = {}, {}
@@ -89,3 +89,17 @@ def op5(spark, sf_dir):
 def op7(spark, sf_dir):
     manifest = token_files.write_token_files(documents(spark, sf_dir), vocabulary())
     return token_files.read_artifact_ids(manifest).withColumnRenamed("frame_id", "doc_id")
+
+
+@register("op6_exact_top_k", """
+WITH v AS (SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum([q.v[i] * c.v[i] FOR i IN range(1, len(q.v) + 1)]) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5""")
+def op6(spark, sf_dir):
+    x = lambda e: e.cast("double")
+    whole = lambda e: F.when(F.isnan(x(e)) | (F.abs(x(e)) == float("inf")), None).otherwise(F.floor(256 * x(e)))
+    blocks = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("block"), F.transform("embedding", whole).alias("coefficients"))
+    return topk.nearest_blocks(blocks.where("block % 50 = 0"), blocks).withColumnRenamed("block", "vec_id")
