@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from blockfield.llm import counting, mixing, packing, quality, simhash, suffixes, token_files, topk
+from blockfield.llm import counting, extraction, mixing, packing, quality, simhash, suffixes, token_files, topk
 from blockfield.llm.shared import staged, word_count
 
 QUERIES, ORACLES = {}, {}
@@ -103,3 +103,8 @@ def op6(spark, sf_dir):
     whole = lambda e: F.when(F.isnan(x(e)) | (F.abs(x(e)) == float("inf")), None).otherwise(F.floor(256 * x(e)))
     blocks = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("block"), F.transform("embedding", whole).alias("coefficients"))
     return topk.nearest_blocks(blocks.where("block % 50 = 0"), blocks).withColumnRenamed("block", "vec_id")
+
+
+@register("op3_main_text")
+def op3(spark, sf_dir):
+    return extraction.extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
