@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from blockfield.llm import counting, extraction, mixing, packing, quality, simhash, suffixes, token_files, topk
+from blockfield.llm import counting, extraction, mixing, packing, passages, quality, simhash, suffixes, token_files, topk
 from blockfield.llm.shared import staged, word_count
 
 QUERIES, ORACLES = {}, {}
@@ -108,3 +108,8 @@ def op6(spark, sf_dir):
 @register("op3_main_text")
 def op3(spark, sf_dir):
     return extraction.extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+@register("op2_near_duplicate_passages")
+def op2(spark, sf_dir):
+    return passages.near_duplicate_passages(documents(spark, sf_dir)).withColumnRenamed("frame_id", "doc_id")
