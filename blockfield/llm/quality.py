@@ -14,6 +14,8 @@ from blockfield.llm.shared import staged, trimmed
 BUCKETS = 1 << 16
 THRESHOLD = -0.1
 PSEUDO = 5.0
+#: Trusted artifacts that are counted at most.
+SAMPLE = 20_000
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 10
@@ -66,20 +68,21 @@ def _hashed(artifacts: DataFrame, content: str) -> DataFrame:
     return artifacts.withColumn("_words", _words(content)).withColumn("_h", F.transform("_words", lambda w: F.xxhash64(w)))
 
 
-def bucket_ratios(artifacts: DataFrame, trusted: DataFrame, key: str = "frame_id", content: str = "content", buckets: int = BUCKETS, pseudo: float = PSEUDO) -> DataFrame:
+def bucket_ratios(artifacts: DataFrame, trusted: DataFrame, key: str = "frame_id", content: str = "content", buckets: int = BUCKETS,
+                  pseudo: float = PSEUDO, sample: int = SAMPLE) -> DataFrame:
     """One row: ``ratios``, the log ratio of the trusted to the raw multinomial for each bucket.
 
-    ``trusted(key)`` names the trusted artifacts.  Counts are added up inside each task before they meet; what meets is
-    bounded by the number of buckets.
+    ``trusted(key)`` names the trusted artifacts; of more than ``sample`` the ones with the least hash are taken, so the table
+    that every task gets is bounded.  The raw multinomial counts all artifacts.  Counts are added up inside each task
+    before they meet; what meets is bounded by the number of buckets.
     """
     marks = trusted.select(F.col(key).alias("_t")).where(F.col(key).isNotNull()).distinct()
-    grams = _hashed(artifacts, content).select(F.col(key).alias("_k"), F.explode(_buckets("_h", buckets)).alias("bucket"))
-    raw = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.lit(0).cast("bigint").alias("target"))
-    texts = artifacts.select(F.col(key), F.col(content)).join(marks, F.col(key) == F.col("_t"), "left_semi")
-    good = _hashed(texts, content).select(F.explode(_buckets("_h", buckets)).alias("bucket")).groupBy("bucket").agg(
-        F.lit(0).cast("bigint").alias("raw"), F.count(F.lit(1)).alias("target"))
+    marks = marks.orderBy(F.xxhash64("_t"), "_t").limit(sample)
+    marked = artifacts.select(F.col(key).alias("_k"), F.col(content).alias("_text")).join(F.broadcast(marks), F.col("_k") == F.col("_t"), "left")
+    grams = _hashed(marked, "_text").select(F.col("_t").isNotNull().alias("good"), F.explode(_buckets("_h", buckets)).alias("bucket"))
+    seen = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count_if("good").alias("target"))
     every = artifacts.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"), F.lit(0).cast("bigint").alias("raw"), F.lit(0).cast("bigint").alias("target"))
-    counts = raw.unionByName(good).unionByName(every).groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    counts = seen.unionByName(every).groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     packed = counts.agg(F.sort_array(F.collect_list(F.struct("bucket", "raw", "target"))).alias("c"), F.sum("raw").alias("n"), F.sum("target").alias("t"))
     share = F.when(F.col("n") > 0, F.col("t") / F.col("n")).otherwise(F.lit(0.0))
     ratio = lambda x: F.log(x["target"] + pseudo) - F.log(x["raw"] * share + pseudo)
