@@ -261,3 +261,15 @@ WEIGHT_RECT_Y_Q32 = [
     12554868, 12576443, 12641106, 12748673, 12898862, 13091327, 13325705, 13601641,
     13918852, 14277141, 14676463, 15116846, 15598558, 16122001, 16687771, 17296630,
 ]
+
+# The masking gamma and the rational fits of log2 and pow2, coefficients from the constant on.
+GAMMA_EPSILON = 1e-2
+GAMMA_SCALE = 226.0480446705883
+GAMMA_DIVISOR = 73.377132366608819
+GAMMA_RETURN = 18.6580932135
+GAMMA_LOG2 = 0.693147181
+GAMMA_OFFSET = 7.14672470003
+LOG2_TOP = [-1.8503833400518310e-06, 1.4287160470083755, 0.74245873327820566]
+LOG2_LOW = [0.99032814277590719, 1.0096718572241148, 0.17409343003366823]
+POW2_TOP = [9.85506591e1, 4.88687798e1, 1.01749063e1, 1.0]
+POW2_LOW = [9.85506633e1, -1.94414990e1, -2.22328856e-2, 2.10242958e-1]

@@ -24,79 +24,67 @@ def cube_root(fraction_bits: int) -> list:
     return [_round(math.cbrt(i / 64) * (1 << fraction_bits)) for i in range(64, 513)]
 
 
-def _contrast_gamma(v: float) -> float:
-    slope = (1.0 / 73.377132366608819) * 18.6580932135 * 0.693147181
-    numerator = slope * 3.0 * 226.0480446705883 * v * v + 1e-2
-    denominator = 0.693147181 * 226.0480446705883 * v * v * v + (7.14672470003 * 0.693147181 + 1e-2)
-    return denominator / numerator
+def _polynomial(x: np.ndarray, coefficients: list, block: int) -> np.ndarray:
+    """Coefficients from the constant on, in the precision of x; runs of ``block`` of them are nested first."""
+    inner = []
+    for at in range(0, len(coefficients), block):
+        total = np.zeros_like(x)
+        for k in reversed(coefficients[at : at + block]):
+            total = total * x + x.dtype.type(k)
+        inner.append(total)
+    power, total = x**block, np.zeros_like(x)
+    for part in reversed(inner):
+        total = total * power + part
+    return total
+
+
+def _fixed_table(values: np.ndarray, bits: int) -> list:
+    return [_round(float(v) * (1 << bits)) for v in values]
+
+
+def _gamma_ratio(values, kind, upright: bool) -> np.ndarray:
+    """Slope of the masking gamma as a ratio of a square and a cubic in luma, or the inverse of that."""
+    log2, scale, divided, back, offset, epsilon = map(kind, (
+        C.GAMMA_LOG2, C.GAMMA_SCALE, 1.0 / C.GAMMA_DIVISOR, C.GAMMA_RETURN, C.GAMMA_OFFSET, C.GAMMA_EPSILON))
+    slope = divided * back * log2
+    x = np.asarray(values, np.float64).astype(np.float64 if kind is float else kind) / kind(4096)
+    square = _polynomial(x, [epsilon, 0, slope * kind(3) * scale], 2)
+    cubic = _polynomial(x, [offset * log2 + epsilon, 0, 0, log2 * scale], 2)
+    return cubic / square if upright else square / cubic
 
 
 @lru_cache(None)
 def contrast_gamma() -> dict:
     """Q16 gamma ratio over Q12 luma: one entry per step to 1/16, every 16 steps to 1, a line above."""
-    q16 = lambda v: _round(_contrast_gamma(v / 4096) * 65536)
-    slope = _round((_contrast_gamma(8.0) - _contrast_gamma(1.0)) / 7.0 * 65536)
-    return {
-        "fine": [q16(v) for v in range(0, 257)],
-        "coarse": [q16(v) for v in range(256, 4097, 16)],
-        "slope": slope,
-        "intercept": _round((_contrast_gamma(1.0) - slope / 65536) * 65536),
-    }
-
-
-def _inverse_gamma(value: float):
-    slope = f32(f32(1.0 / 73.377132366608819) * f32(18.6580932135) * f32(0.693147181))
-    v = max(f32(value), f32(0))
-    square = f32(v * v)
-    numerator = f32(f32(f32(f32(slope * f32(3.0)) * f32(226.0480446705883)) * square) + f32(1e-2))
-    cubic = f32(f32(f32(f32(0.693147181) * f32(226.0480446705883)) * v) * square)
-    constant = f32(f32(f32(7.14672470003) * f32(0.693147181)) + f32(1e-2))
-    return f32(numerator / f32(cubic + constant))
-
-
-def _fast_log2(value: float):
-    bits = np.asarray(value, dtype=np.float32).view(np.int32)[()]
-    exponent = int(int(bits) - 0x3F2AAAAB) >> 23
-    mantissa = np.asarray(int(bits) - (exponent << 23), dtype=np.int32).view(np.float32)[()]
-    t = f32(mantissa - f32(1.0))
-    top = f32(f32(f32(f32(f32(0.74245873327820566) * t) + f32(1.4287160470083755)) * t) + f32(-1.8503833400518310e-06))
-    low = f32(f32(f32(f32(f32(0.17409343003366823) * t) + f32(1.0096718572241148)) * t) + f32(0.99032814277590719))
-    return f32(f32(top / low) + f32(exponent))
+    table = lambda at: _fixed_table(_gamma_ratio(at, float, True), 16)
+    one, eight = _gamma_ratio([4096, 32768], float, True).tolist()
+    slope = _round((eight - one) / 7.0 * 65536)
+    return {"fine": table(range(257)), "coarse": table(range(256, 4097, 16)), "slope": slope, "intercept": _round((one - slope / 65536) * 65536)}
 
 
 @lru_cache(None)
 def inverse_gamma() -> dict:
     """Q20 inverse gamma ratio over Q12 input in three step sizes."""
-    q20 = lambda v: _round(float(_inverse_gamma(v / 4096.0)) * (1 << 20))
-    return {
-        "fine": [q20(v) for v in range(0, 257)],
-        "coarse": [q20(v) for v in range(256, 4097, 16)],
-        "hdr": [q20(v) for v in range(4096, 32769, 64)],
-    }
+    table = lambda at: _fixed_table(_gamma_ratio(at, f32, False), 20)
+    return {"fine": table(range(257)), "coarse": table(range(256, 4097, 16)), "hdr": table(range(4096, 32769, 64))}
 
 
 @lru_cache(None)
 def log2_mantissa() -> list:
-    return [max(0, _round(float(_fast_log2(1.0 + i / 256.0)) * (1 << 20))) for i in range(257)]
-
-
-def _fast_pow2(value: float):
-    v = f32(value)
-    whole = math.floor(float(v))
-    scale = np.asarray((whole + 127) << 23, dtype=np.int32).view(np.float32)[()]
-    t = f32(v - f32(whole))
-    top = f32(t + f32(1.01749063e1))
-    top = f32(f32(top * t) + f32(4.88687798e1))
-    top = f32(f32(top * t) + f32(9.85506591e1))
-    low = f32(f32(t * f32(2.10242958e-1)) + f32(-2.22328856e-2))
-    low = f32(f32(low * t) + f32(-1.94414990e1))
-    low = f32(f32(low * t) + f32(9.85506633e1))
-    return f32(f32(top * scale) / low)
+    """Q20 base-2 logarithm of 1..2 in steps of 1/256: a rational fit around 1, for mantissas from 2/3 to 4/3."""
+    x = (1 + np.arange(257) / 256).astype(f32)
+    up = (x >= f32(4 / 3)).astype(f32)
+    t = x / f32(2) ** up - f32(1)
+    return [max(0, v) for v in _fixed_table(_polynomial(t, C.LOG2_TOP, 3) / _polynomial(t, C.LOG2_LOW, 3) + up, 20)]
 
 
 @lru_cache(None)
 def pow2_mantissa() -> list:
-    return [_round(float(_fast_pow2(i / 256.0)) * (1 << 24)) for i in range(257)]
+    """Q24 powers of two of 0..1 in steps of 1/256, by a rational fit on the fraction."""
+    x = (np.arange(257) / 256).astype(f32)
+    whole = np.floor(x)
+    t = x - whole
+    return _fixed_table(_polynomial(t, C.POW2_TOP, 4) * f32(2) ** whole / _polynomial(t, C.POW2_LOW, 4), 24)
 
 
 @lru_cache(None)
