@@ -28,8 +28,10 @@ def main():
     for name in HEADLINE:
         base.forget()
         start = time.time()
-        rows[name] = base.QUERIES[name](spark, sf).count()
+        df = base.QUERIES[name](spark, sf)
+        df.write.format("noop").mode("overwrite").save()  # count() would let the optimizer drop the measured columns
         seconds[name] = round(time.time() - start, 3)
+        rows[name] = df.count()
     blocks = frame_queries.G.with_geometry(frame_queries.I.frames(spark, sf)).agg({"block_count": "sum"}).first()[0]
     rate = lambda n, q: round(n / seconds[q], 1)
     print(json.dumps({

@@ -136,22 +136,26 @@ for _name, _cols in (
     register(_name, "SELECT frame_id, block, " + ", ".join(f"{c} AS {n}" for n, c in _cols.items()) + " FROM aqmap")(
         lambda s, d, names=tuple(_cols): pick(aq_fields(s, d), frame_id="frame_id", block="block", **{n: n for n in names})
     )
-register("top02_four_smallest", """SELECT c.frame_id, c.cx, c.cy, CAST(list_sum(list_sort(list(n.v))[1:4]) AS BIGINT) AS lowest FROM cells c
-  JOIN cells n ON n.frame_id = c.frame_id AND n.cx BETWEEN c.cx - 1 AND c.cx + 1 AND n.cy BETWEEN c.cy - 1 AND c.cy + 1 GROUP BY c.frame_id, c.cx, c.cy HAVING count(*) >= 4""")(
+# Every cell beside its nine coordinates, clamped at the frame and at the 16-cell stripe.
+CLAMPED = """SELECT c.frame_id, c.cx, c.cy, n.v FROM (
+  SELECT k.frame_id, k.cx, k.cy, CASE WHEN cx + ox < 0 THEN 0 WHEN cx + ox >= g.xb * 2 THEN cx ELSE cx + ox END AS nx,
+    CASE WHEN (cy + oy) // 16 <> cy // 16 OR cy + oy < 0 OR cy + oy >= g.yb * 2 THEN cy ELSE cy + oy END AS ny
+  FROM cells k JOIN geo g USING (frame_id), (SELECT unnest([-1, 0, 1]) AS ox) a, (SELECT unnest([-1, 0, 1]) AS oy) b) c
+  JOIN cells n ON n.frame_id = c.frame_id AND n.cx = c.nx AND n.cy = c.ny"""
+register("top02_four_smallest", f"SELECT frame_id, cx, cy, CAST(list_sum(list_sort(list(v))[1:4]) AS BIGINT) AS lowest FROM ({CLAMPED}) GROUP BY frame_id, cx, cy")(
     lambda s, d: _lowest(s, d)
 )
 
 
+def around(s, d):
+    """The sorted 3x3 windows of all cells."""
+    cells = aq.contrast_map(columns(s, d), I.frames(s, d))
+    return aq.neighbourhood(cells, I.frames(s, d)).withColumnsRenamed({"cell_x": "cx", "cell_y": "cy"})
+
+
 def _lowest(s, d):
-    """JOIN3 as an exploded equi-join: every cell offers its value to its nine neighbours."""
-    cells = aq.contrast_map(columns(s, d), I.frames(s, d)).select("frame_id", "cell_x", "cell_y", "contrast_q16")
-    offsets = F.array(*[F.struct(lit(x).alias("ox"), lit(y).alias("oy")) for x in (-1, 0, 1) for y in (-1, 0, 1)])
-    offered = cells.select("frame_id", "cell_x", "cell_y", "contrast_q16", F.inline(offsets)).select(
-        "frame_id", (F.col("cell_x") + F.col("ox")).alias("cx"), (F.col("cell_y") + F.col("oy")).alias("cy"), "contrast_q16"
-    )
-    inside = offered.join(cells.select("frame_id", F.col("cell_x").alias("cx"), F.col("cell_y").alias("cy")), ["frame_id", "cx", "cy"], "left_semi")
-    low = F.slice(F.array_sort(F.collect_list("contrast_q16")), 1, 4)
-    return inside.groupBy("frame_id", "cx", "cy").agg(low.alias("_l")).select("frame_id", "cx", "cy", (F.col("_l")[0] + F.col("_l")[1] + F.col("_l")[2] + F.col("_l")[3]).alias("lowest"))
+    n = F.col("around")
+    return around(s, d).select("frame_id", "cx", "cy", (n[0] + n[1] + n[2] + n[3]).alias("lowest"))
 
 
 # ---- parameters -----------------------------------------------------------------------------------------------

@@ -18,25 +18,11 @@ from blockfield.streaming import frames as stream
 
 # ---- joins and windows ----------------------------------------------------------------------------------------
 
-register("join03_three_by_three", """SELECT c.frame_id, c.cx, c.cy, count(*) AS members, CAST(sum(n.v) AS BIGINT) AS total FROM cells c
-  JOIN cells n ON n.frame_id = c.frame_id AND n.cx BETWEEN c.cx - 1 AND c.cx + 1 AND n.cy BETWEEN c.cy - 1 AND c.cy + 1 AND n.stripe = c.stripe GROUP BY c.frame_id, c.cx, c.cy""")(
-    lambda s, d: _around(s, d)
+register("join03_three_by_three", f"SELECT frame_id, cx, cy, count(*) AS members, CAST(sum(v) AS BIGINT) AS total FROM ({Q.CLAMPED}) GROUP BY frame_id, cx, cy")(
+    lambda s, d: Q.around(s, d).select("frame_id", "cx", "cy", F.size("around").cast("bigint").alias("members"), F.aggregate("around", lit(0), lambda t, v: t + v).alias("total"))
 )
 
 
-def _around(s, d):
-    """Neighbours inside the 16-row stripe, by exploding offsets and an equi-join on exact cell coordinates."""
-    from blockfield.operators import aq
-
-    cells = aq.contrast_map(Q.columns(s, d), I.frames(s, d)).select("frame_id", F.col("cell_x").alias("cx"), F.col("cell_y").alias("cy"), "contrast_q16")
-    offsets = F.array(*[F.struct(lit(x).alias("ox"), lit(y).alias("oy")) for x in (-1, 0, 1) for y in (-1, 0, 1)])
-    asked = cells.select("frame_id", "cx", "cy", F.inline(offsets)).select(
-        "frame_id", "cx", "cy", (F.col("cx") + F.col("ox")).alias("nx"), (F.col("cy") + F.col("oy")).alias("ny")
-    ).where(F.shiftright("ny", 4) == F.shiftright("cy", 4))
-    near = cells.select("frame_id", F.col("cx").alias("nx"), F.col("cy").alias("ny"), "contrast_q16")
-    return asked.join(near, ["frame_id", "nx", "ny"]).groupBy("frame_id", "cx", "cy").agg(F.count(F.lit(1)).alias("members"), F.sum("contrast_q16").alias("total"))
-
-
 register("join04_predictors", """SELECT c.frame_id, c.block, c.v AS value, coalesce(l.v, u.v, 0) AS west, coalesce(u.v, l.v, 0) AS north FROM (
   SELECT q.frame_id, q.block, CAST(day AS BIGINT) AS v, q.block % g.xb AS bcol, g.xb FROM prepared_blocks q JOIN block_frames g USING (frame_id)) c
   LEFT JOIN (SELECT frame_id, block, CAST(day AS BIGINT) AS v FROM prepared_blocks) l ON l.frame_id = c.frame_id AND l.block = c.block - 1 AND c.bcol > 0
@@ -110,6 +96,18 @@ def _manifests(s, d):
   SELECT q.frame_id, q.block, CAST(unnest([0, 1, 2]) AS BIGINT) AS channel, unnest([nx, ny, nb]) AS nnz, unnest([sx, sy, sb]) AS total FROM prepared_blocks q
   JOIN (SELECT frame_id, block, sum(qx * (k + 1)) AS sx, sum(qy * (k + 1)) AS sy, sum(qb * (k + 1)) AS sb FROM prepared_levels GROUP BY frame_id, block) USING (frame_id, block))""")
 def _tokens_json(s, d):
+    ac = text.read_prepared_tokens_json(s, _token_documents(s, d), multi_line=False)[1]
+    total = F.aggregate(F.transform("coefficients", lambda v, i: v * (i + 1)), lit(0), lambda a, v: a + v)
+    return ac.select("frame_id", "block", "channel", "nonzeros", total.alias("total"))
+
+
+@register("src06_rejects", "SELECT frame_id, CASE frame_id % 4 WHEN 1 THEN 'format' ELSE 'dc_count' END AS rule FROM block_frames WHERE frame_id % 4 IN (1, 2)")
+def _token_rejects(s, d):
+    return text.read_prepared_tokens_json(s, _token_documents(s, d, True), suffix="_tokens.v1", multi_line=False)[2].select("frame_id", "rule")
+
+
+def _token_documents(s, d, broken=False):
+    """Prepared-token documents; broken: every fourth of another format, every fourth with a sample too many."""
     path = work_dir(s)
     g = G.with_geometry(I.block_frames(s, d))
     each = lambda n: F.array(*[F.col(f"{n}_{p}") for p in "xyb"])
@@ -117,26 +115,28 @@ def _tokens_json(s, d):
     dc = sinks.prepared_dc(tokens.dc_cells(Q.prepared(s, d), I.block_frames(s, d)), g)
     samples = dc.groupBy("frame_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "value"))), lambda e: e["value"]).alias("dc_samples"))
     image = F.struct("xsize", "ysize", "x_blocks", "y_blocks", "x_tiles", "y_tiles").alias("image")
-    blocks.join(samples, "frame_id").join(g.select("frame_id", image), "frame_id").withColumn("format", F.lit("prepared_tokens.v1")).write.json(path)
-    ac = text.read_prepared_tokens_json(s, path, multi_line=False)[1]
-    total = F.aggregate(F.transform("coefficients", lambda v, i: v * (i + 1)), lit(0), lambda a, v: a + v)
-    return ac.select("frame_id", "block", "channel", "nonzeros", total.alias("total"))
+    docs = blocks.join(samples, "frame_id").join(g.select("frame_id", image), "frame_id").withColumn("format", F.lit("prepared_tokens.v1"))
+    if broken:
+        docs = docs.withColumn("format", F.when(F.col("frame_id") % 4 == 1, F.lit("prepared_blocks.v1")).otherwise(F.col("format"))).withColumn(
+            "dc_samples", F.when(F.col("frame_id") % 4 == 2, F.array_append("dc_samples", lit(0))).otherwise(F.col("dc_samples")))
+    docs.write.json(path)
+    return path
 
 
 # ---- streams --------------------------------------------------------------------------------------------------
 
 
-@register("str03_config_snapshot", """SELECT event_id % 5 AS source, event_id // 5 // 40 AS frame, 64 + event_id // 5 // 40 AS distance_q8,
-  bool_or(event_id // 5 // 40 % 7 = 3 AND event_id // 5 % 40 = 39) AS protocol_error FROM trace GROUP BY ALL""")
+@register("str03_config_snapshot", """SELECT event_id // 2000 AS source, event_id % 2000 // 40 AS frame, 64 + event_id % 2000 // 40 AS distance_q8,
+  bool_or(event_id % 2000 // 40 % 7 = 3 AND event_id % 40 = 39) AS protocol_error FROM trace GROUP BY ALL""")
 def _snapshots(s, d):
     """Each frame is preceded by its configuration; every seventh frame expects one word more than it gets.
 
     A clear row at the start of each frame keeps the sticky error inside its own frame.
     """
     events = TQ.source_events(s, d).withColumn("seq", F.col("seq") * 4 + 3)
-    starts = (F.col("seq") - 3) / 4
-    frame = F.floor(F.floor(starts / 5) / 40)
-    heads = events.where(F.floor(starts / 5) % 40 == 0)
+    event = F.floor((F.col("seq") - 3) / 4)
+    frame = F.floor(event % TQ.SOURCE_EVENTS / 40)
+    heads = events.where(event % 40 == 0)
     control = heads.withColumn("distance_q8", 64 + frame).withColumn(
         "expected_words", F.when(frame % 7 == 3, lit(41)).otherwise(lit(40))
     ).withColumn("kind", lit(stream.CONTROL)).withColumn("seq", F.col("seq") - 2)
@@ -146,11 +146,11 @@ def _snapshots(s, d):
     return out.groupBy("source", "frame", "distance_q8").agg(F.bool_or("protocol_error").alias("protocol_error"))
 
 
-@register("str04_sticky_error", """SELECT event_id % 5 AS source, count(*) AS words, count(*) FILTER (event_id // 5 >= 39) AS flagged FROM trace GROUP BY ALL""")
+@register("str04_sticky_error", """SELECT event_id // 2000 AS source, count(*) AS words, count(*) FILTER (event_id % 2000 >= 39) AS flagged FROM trace GROUP BY ALL""")
 def _sticky(s, d):
     """One early configuration expects 50 words while frames have 40: from the first early last on, every word is flagged."""
-    events = TQ.source_events(s, d).withColumn("seq", F.col("seq") + 5)
-    first = events.where(F.col("seq") < 10).withColumn("seq", F.col("seq") - 5).withColumn("kind", lit(stream.CONTROL)).withColumn("expected_words", lit(50))
+    events = TQ.source_events(s, d).withColumn("seq", F.col("seq") * 2 + 1)
+    first = events.where(F.floor(F.col("seq") / 2) % TQ.SOURCE_EVENTS == 0).withColumn("seq", F.col("seq") - 1).withColumn("kind", lit(stream.CONTROL)).withColumn("expected_words", lit(50))
     out = TQ._run_stream(stream.delimit_frames(TQ._ordered_stream(s, events.unionByName(first))), "sticky_errors")
     return out.groupBy("source").agg(F.count(F.lit(1)).alias("words"), F.count_if("protocol_error").alias("flagged"))
 

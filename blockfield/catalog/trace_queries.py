@@ -62,11 +62,14 @@ register("top04_first_missing", f"SELECT * FROM (SELECT *, row_number() OVER (PA
 register("job20_token_rejects", f"SELECT frame_id, 'missing' AS rule, CAST(ordinal AS VARCHAR) AS detail FROM ({_MISSING}) WHERE stream = 11")(
     lambda s, d: T.extract_tokens(I.trace_actual(s, d), "AcMetadataTokens")[1]
 )
-CTES["grid_in"] = "SELECT frame_id, p AS i, o % 300 - 20 AS v FROM (SELECT o_orderkey // 1440 AS frame_id, o_orderkey % 1440 AS p, o_custkey AS o FROM orders) WHERE p < 30"
+register("job20_negative_group", """SELECT frame_id, 'negative_ordinal' AS rule, '-1' AS detail FROM trace WHERE stage = 11 AND "group" = 0""")(
+    lambda s, d: T.extract_tokens(I.trace(s, d).withColumn("group", F.col("group") - 1), "AcMetadataTokens")[1]
+)
+CTES["grid_in"] = "SELECT frame_id, p AS i, o % 300 - 20 AS v FROM (SELECT o_orderkey // 1440 AS frame_id, o_orderkey % 1440 AS p, o_custkey AS o FROM orders)"
 
 
 def grid_trace(s, d):
-    orders = I.table(s, d, "orders").select(F.expr("o_orderkey div 1440").alias("frame_id"), (F.col("o_orderkey") % 1440).alias("index"), (F.col("o_custkey") % 300 - 20).alias("value")).where("index < 30")
+    orders = I.table(s, d, "orders").select(F.expr("o_orderkey div 1440").alias("frame_id"), (F.col("o_orderkey") % 1440).alias("index"), (F.col("o_custkey") % 300 - 20).alias("value"))
     return orders.select("frame_id", lit(C.STAGES["AcStrategy"]).alias("stage"), lit(0).alias("group"), "index", "value")
 
 
@@ -329,7 +332,7 @@ def _prepared_json(s, d):
     b = record_blocks(s, d).join(prepared(s, d).select("frame_id", "block", "bx", "by", *[f"{n}_{p}" for p in "xyb" for n in ("q", "nnz", "dc")]), ["frame_id", "block"])
     each = lambda n: F.array(*[F.col(f"{n}_{p}") for p in "xyb"])
     block = F.struct(
-        F.col("block").alias("block_index"), F.col("bx").alias("block_x"), F.col("by").alias("block_y"), lit(0).alias("tile_x"), lit(0).alias("tile_y"),
+        F.col("block").alias("block_index"), F.col("bx").alias("block_x"), F.col("by").alias("block_y"), int_div(F.col("bx"), 8).alias("tile_x"), int_div(F.col("by"), 8).alias("tile_y"),
         F.struct("quant", "scale_q16", "inv_qac_q16", F.array(*[f"inv_dc_{p}_q16" for p in "xyb"]).alias("inv_dc_factor_q16"), F.col("x_qm_q16").alias("x_qm_multiplier_q16"), "ytox", "ytob", F.array("x", "y", "b").alias("coefficients")).alias("inputs"),
         F.struct(each("q").alias("quantized_ac"), F.array(*[F.col(f"dc_{p}")[0] for p in "xyb"]).alias("quantized_dc"), each("nnz").alias("num_nonzeros")).alias("expected"))
     g = G.with_geometry(I.block_frames(s, d))
@@ -350,7 +353,12 @@ def _synthetic(s, d):
 
 
 def _run_stream(df, name, mode="append"):
-    """Drain a file stream into a memory table of the session."""
+    """Drain a file stream into a table in the shared folder; a complete result (counts per window) into a memory table."""
+    if mode == "append":
+        path = work_dir(df.sparkSession)
+        query = df.writeStream.format("parquet").option("checkpointLocation", path + "-log").outputMode(mode).trigger(availableNow=True).start(path)
+        query.awaitTermination()
+        return df.sparkSession.read.schema(df.schema).parquet(path)
     query = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
     return df.sparkSession.table(name)
@@ -380,16 +388,19 @@ def _ordered_stream(s, rows, key="seq"):
     return s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
+SOURCE_EVENTS = 2000
+
+
 def source_events(s, d):
-    """Words of 5 sources; every 40th word of a source ends a frame."""
+    """Words of sources of 2000 events each; every 40th word of a source ends a frame."""
     e = I.trace(s, d)
-    per = int_div(F.col("event_id"), 5)
+    per = F.col("event_id") % SOURCE_EVENTS
     return e.select(
-        (F.col("event_id") % 5).alias("source"), F.col("event_id").alias("seq"), lit(0).alias("kind"), "stage", "group", "index", "value",
+        int_div(F.col("event_id"), SOURCE_EVENTS).alias("source"), F.col("event_id").alias("seq"), lit(0).alias("kind"), "stage", "group", "index", "value",
         (per % 40 == 39).alias("last"), lit(0).alias("distance_q8"), lit(0).alias("expected_words"))
 
 
-@register("str02_delimit_frames", """SELECT event_id % 5 AS source, event_id // 5 // 40 AS frame, event_id // 5 % 40 AS ordinal, stage, value, event_id // 5 % 40 = 39 AS last FROM trace""")
+@register("str02_delimit_frames", """SELECT event_id // 2000 AS source, event_id % 2000 // 40 AS frame, event_id % 40 AS ordinal, stage, value, event_id % 40 = 39 AS last FROM trace""")
 def _delimited(s, d):
     from blockfield.streaming.frames import delimit_frames
 

@@ -195,6 +195,14 @@ register("flt04_first_owner", scalar_filter)(
 register("flt05_frame_range", "SELECT frame_id, 'overflow' AS rule, xsize || 'x' || ysize AS detail FROM frames WHERE xsize > 64 OR ysize > 64")(
     lambda s, d: G.rejected_frames(I.frames(s, d), 64, 64)
 )
+_MOVED = "(x * 31 + y * 17) % 97 = 5"
+register("flt05_job_rejects", f"""SELECT frame_id, 'overflow' AS rule, xsize || 'x0' AS detail FROM frames WHERE frame_id % 6 = 4
+  UNION ALL SELECT frame_id, CASE WHEN frame_id % 6 = 4 THEN 'unknown_frame' ELSE 'outside' END, (CASE WHEN {_MOVED} THEN x + 1000 ELSE x END) || ',' || y FROM pixels WHERE frame_id % 6 = 4 OR {_MOVED}
+  UNION ALL SELECT frame_id, 'missing_pixels', CAST(count(*) AS VARCHAR) FROM pixels WHERE frame_id % 6 <> 4 AND {_MOVED} GROUP BY frame_id""")(
+    lambda s, d: G.job_rejects(
+        I.pixels(s, d).withColumn("x", F.when(F.expr(_MOVED), F.col("x") + 1000).otherwise(F.col("x"))),
+        I.frames(s, d).withColumn("ysize", F.when(F.col("frame_id") % 6 == 4, lit(0)).otherwise(F.col("ysize"))))
+)
 register("flt06_value_ranges", """SELECT event_id, CASE WHEN user_id < 20 THEN 'negative_context' ELSE 'negative_value' END AS rule
   FROM ev WHERE user_id < 20 OR v < 300""")(lambda s, d: _value_ranges(s, d))
 

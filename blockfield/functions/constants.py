@@ -10,7 +10,6 @@ TILE = 64
 GROUP = 256
 DC_GROUP = 2048
 BLOCKS_PER_TILE = TILE // BLOCK
-MAX_DIMENSION = 65535
 
 # Channel numbers and the order in which planes are tokenized.
 X, Y, B = 0, 1, 2
@@ -273,3 +272,6 @@ LOG2_TOP = [-1.8503833400518310e-06, 1.4287160470083755, 0.74245873327820566]
 LOG2_LOW = [0.99032814277590719, 1.0096718572241148, 0.17409343003366823]
 POW2_TOP = [9.85506591e1, 4.88687798e1, 1.01749063e1, 1.0]
 POW2_LOW = [9.85506633e1, -1.94414990e1, -2.22328856e-2, 2.10242958e-1]
+
+# Fixed value: bias added before the cube root of the floating-point conversion.
+OPSIN_BIAS = 0.0037930732552754493

@@ -114,20 +114,20 @@ def fits_product(a: Column, b: Column) -> Column:
 def mul_floor_shift(a: Column, b: Column, n: int) -> Column:
     """floor(a * b / 2^n), exact for any BIGINT operands."""
     return F.when(fits_product(a, b), floor_shift(a * b, n)).otherwise(
-        wide_floor_shift(_wide_product(a, b), n)
+        wide_floor_shift(wide_product(a, b), n)
     )
 
 
 def mul_half_away_shift(a: Column, b: Column, n: int) -> Column:
     """a * b / 2^n rounded to nearest, ties away from zero, exact for any BIGINT operands."""
-    product = _wide_product(a, b)
+    product = wide_product(a, b)
     magnitude = wide_floor_shift(F.abs(product) + F.expr(f"cast('{1 << (n - 1)}' as decimal(38,0))"), n)
     return F.when(fits_product(a, b), half_away_shift(a * b, n)).otherwise(
         F.when(product < 0, -magnitude).otherwise(magnitude)
     )
 
 
-def _wide_product(a: Column, b: Column) -> Column:
+def wide_product(a: Column, b: Column) -> Column:
     return (a.cast("decimal(19,0)") * b.cast("decimal(19,0)")).cast("decimal(38,0)")
 
 

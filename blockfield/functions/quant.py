@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from blockfield.functions import constants as C
 from blockfield.functions.fixed import (
-    half_away_div, half_away_shift, int_div, lit, lookup, mul_floor_shift, mul_half_away_shift,
+    fits_product, half_away_div, half_away_shift, int_div, lit, lookup, mul_floor_shift, mul_half_away_shift, wide_floor_div, wide_product,
 )
 
 QM_ONE_Q16 = 1 << 16
@@ -56,7 +56,11 @@ def dequantize_bias(q: Column) -> Column:
 
 def reconstruct_luma(q: Column, k: Column, raw_strategy: Column, inv_qac_q16: Column, fraction_bits: int) -> Column:
     weight = _by_shape(lookup(C.WEIGHT_SQUARE_Y_Q32, k), lookup(C.WEIGHT_RECT_Y_Q32, k), raw_strategy)
-    return mul_floor_shift(dequantize_bias(q) * weight, inv_qac_q16, 64 - fraction_bits)
+    point, n = dequantize_bias(q), 64 - fraction_bits
+    # A product beyond 62 bits goes on in DECIMAL; a reconstruction beyond BIGINT becomes null instead of failing the job.
+    wide = wide_floor_div((wide_product(point, weight) * inv_qac_q16.cast("decimal(19,0)")).cast("decimal(38,0)"), n).try_cast("bigint")
+    small = F.when(fits_product(point, weight), point * weight)
+    return F.when(small.isNotNull(), mul_floor_shift(small, inv_qac_q16, n)).otherwise(wide)
 
 
 def cfl_factor(multiplier: Column, base: int) -> Column:

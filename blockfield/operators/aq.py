@@ -15,6 +15,7 @@ from blockfield.operators.params import with_distance
 
 XYB_MIN_Q12, XYB_MAX_Q12 = -(8 << 12), (8 << 12) - 1
 CELLS = ["c0", "c1", "c2", "c3"]
+STRIPE_CELLS = C.TILE // 4
 
 
 def neighbour_samples(columns: DataFrame) -> DataFrame:
@@ -126,6 +127,25 @@ def erosion(stats: DataFrame) -> DataFrame:
     )
 
 
+def neighbourhood(cells: DataFrame, frames: DataFrame) -> DataFrame:
+    """(frame_id, cell_x, cell_y, around): the sorted nine values of every cell's 3x3 window.
+
+    The window is clamped at the frame's edges and at the 16-cell stripe, so a cell there meets its own row or column
+    again and nine values always exist.  Every cell asks for nine coordinates; one equi-join answers.
+    """
+    shape = with_geometry(frames).select("frame_id", (F.col("x_blocks") * 2).alias("_w"), (F.col("y_blocks") * 2).alias("_h"))
+    x, y = F.col("cell_x"), F.col("cell_y")
+    low = y - y % STRIPE_CELLS
+    high = F.least(low + STRIPE_CELLS, F.col("_h")) - 1
+    offsets = F.array(*[F.struct(lit(i).alias("_ox"), lit(j).alias("_oy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    asked = cells.select("frame_id", "cell_x", "cell_y").join(shape, "frame_id").select("*", F.inline(offsets)).select(
+        "frame_id", "cell_x", "cell_y", F.least(F.greatest(x + F.col("_ox"), lit(0)), F.col("_w") - 1).alias("_x"),
+        F.least(F.greatest(y + F.col("_oy"), low), high).alias("_y"))
+    given = cells.select("frame_id", F.col("cell_x").alias("_x"), F.col("cell_y").alias("_y"), "contrast_q16")
+    met = asked.join(given, ["frame_id", "_x", "_y"])
+    return met.groupBy("frame_id", "cell_x", "cell_y").agg(F.array_sort(F.collect_list("contrast_q16")).alias("around"))
+
+
 def with_masks(eroded: DataFrame) -> DataFrame:
     e = F.col("erosion_q16")
     return eroded.withColumn("mask_q16", masks.strategy_mask(e)).withColumn("seed_q24", masks.nonlinear_mask(e))

@@ -11,20 +11,27 @@ def compare_runs(expected: DataFrame, actual: DataFrame, max_value_delta: int =
 
     A length difference is reported alone: values are then not compared.  Contexts must be equal, values may
     differ by ``max_value_delta``.  The join key includes the ordinal, so a huge stream spreads over all tasks.
+    A stream in which an ordinal occurs twice on either side gets the verdict ``duplicate``; lengths count all rows and
+    of equal ordinals the least (context, value) stands.
     """
-    side = lambda df, p: df.select(*STREAM, "ordinal", F.struct("context", "value").alias(p))
+    def side(df, p):
+        each = df.groupBy(*STREAM, "ordinal").agg(F.min(F.struct("context", "value")).alias("v"), F.count(F.lit(1)).alias("n"))
+        return each.select(*STREAM, "ordinal", F.struct("v.context", "v.value", "n").alias(p))
+
     both = side(expected, "e").join(side(actual, "a"), [*STREAM, "ordinal"], "full_outer")
     differs = (F.col("e.context") != F.col("a.context")) | (F.abs(F.col("e.value") - F.col("a.value")) > max_value_delta)
     hit = F.coalesce(differs, F.lit(False))
     first = F.min(F.when(hit, F.struct("ordinal", "a", "e")))
     verdict = both.groupBy(*STREAM).agg(
-        F.count("e").alias("len_expected"), F.count("a").alias("len_actual"), F.count_if(hit).alias("_n"), first.alias("_first")
+        F.coalesce(F.sum("e.n"), F.lit(0)).alias("len_expected"), F.coalesce(F.sum("a.n"), F.lit(0)).alias("len_actual"),
+        F.count_if(hit).alias("_n"), first.alias("_first"), F.coalesce(F.max(F.greatest("e.n", "a.n")) > 1, F.lit(False)).alias("_twice"),
     )
-    same = F.col("len_expected") == F.col("len_actual")
+    same = (F.col("len_expected") == F.col("len_actual")) & ~F.col("_twice")
     pick = lambda path: F.when(same, F.col(f"_first.{path}"))
     return verdict.select(
         *STREAM, "len_expected", "len_actual",
-        F.when((F.col("len_expected") == 0) | (F.col("len_actual") == 0), F.lit("one_sided")).when(~same, F.lit("length"))
+        F.when((F.col("len_expected") == 0) | (F.col("len_actual") == 0), F.lit("one_sided"))
+        .when(F.col("_twice"), F.lit("duplicate")).when(~same, F.lit("length"))
         .when(F.col("_n") > 0, F.lit("values")).otherwise(F.lit("equal")).alias("verdict"),
         F.when(same, F.col("_n")).alias("mismatches"), pick("ordinal").alias("first_ordinal"),
         pick("a.context").alias("first_actual_context"), pick("a.value").alias("first_actual_value"),
@@ -33,13 +40,16 @@ def compare_runs(expected: DataFrame, actual: DataFrame, max_value_delta: int =
 
 
 def compare_grids(expected: DataFrame, actual: DataFrame) -> DataFrame:
-    """One verdict per frame from (frame_id, row, col, value) grids; shapes must agree first."""
-    side = lambda df, p: df.select("frame_id", "row", "col", F.struct("value", "row", "col").alias(p))
+    """One verdict per frame from (frame_id, row, col, value) grids; shapes must agree first, and no cell may occur twice."""
+    def side(df, p):
+        each = df.groupBy("frame_id", "row", "col").agg(F.min("value").alias("value"), F.count(F.lit(1)).alias("n"))
+        return each.select("frame_id", "row", "col", F.struct("value", "row", "col", "n").alias(p))
+
     both = side(expected, "e").join(side(actual, "a"), ["frame_id", "row", "col"], "full_outer")
     hit = F.coalesce(F.col("e.value") != F.col("a.value"), F.lit(False))
     shape = lambda p: F.struct(F.max(f"{p}.row"), F.max(f"{p}.col"), F.count(p))
     verdict = both.groupBy("frame_id").agg(
-        (shape("e") == shape("a")).alias("same_shape"), F.count_if(hit).alias("_n"),
+        ((shape("e") == shape("a")) & (F.max(F.greatest("e.n", "a.n")) == 1)).alias("same_shape"), F.count_if(hit).alias("_n"),
         F.min(F.when(hit, F.struct("row", "col", "a", "e"))).alias("_first"),
     )
     pick = lambda path: F.when(F.col("same_shape"), F.col(f"_first.{path}"))

@@ -2,7 +2,8 @@
 
 Vertical neighbourhoods stop at the 64-row stripe and tiles are 64 pixels high, so a hash partitioning by
 (frame_id, stripe) keeps everything from color conversion to shape choice local.  ``spread`` is the one
-shuffle of pixel rows; a stripe is at most 64 x 65535 pixels whatever the frame size.
+shuffle of pixel rows; a stripe is 64 rows high whatever the frame size.  Frames have no greatest size; those without a
+pixel and pixels outside their frame are rows of ``rejected_frames`` and ``rejected_pixels``.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -39,21 +40,46 @@ def block_tile(block: Column, x_blocks: Column, x_tiles: Column) -> Column:
     return int_div(by, C.BLOCKS_PER_TILE) * x_tiles + int_div(bx, C.BLOCKS_PER_TILE)
 
 
-def _out_of_range(max_width: int, max_height: int) -> Column:
+def _out_of_range(max_width: int = None, max_height: int = None) -> Column:
     x, y = F.col("xsize"), F.col("ysize")
-    return (x <= 0) | (y <= 0) | (x > max_width) | (y > max_height)
+    bad = x.isNull() | y.isNull() | (x <= 0) | (y <= 0)
+    for size, most in ((x, max_width), (y, max_height)):
+        bad = bad | (size > most) if most is not None else bad
+    return F.coalesce(bad, F.lit(True))
 
 
-def valid_frames(frames: DataFrame, max_width: int = C.MAX_DIMENSION, max_height: int = C.MAX_DIMENSION) -> DataFrame:
+def valid_frames(frames: DataFrame, max_width: int = None, max_height: int = None) -> DataFrame:
     return frames.where(~_out_of_range(max_width, max_height))
 
 
-def rejected_frames(frames: DataFrame, max_width: int = C.MAX_DIMENSION, max_height: int = C.MAX_DIMENSION) -> DataFrame:
+def rejected_frames(frames: DataFrame, max_width: int = None, max_height: int = None) -> DataFrame:
+    """Frames that the jobs leave out: null or nonpositive sizes, and sizes beyond a target's limits where given."""
     return frames.where(_out_of_range(max_width, max_height)).select(
         "frame_id", F.lit("overflow").alias("rule"), F.concat_ws("x", "xsize", "ysize").alias("detail")
     )
 
 
+def rejected_pixels(pixels: DataFrame, frames: DataFrame) -> DataFrame:
+    """(frame_id, rule, detail): pixels of unknown frames or outside their frame, and frames with missing or repeated pixels."""
+    shape = valid_frames(frames).select("frame_id", "xsize", "ysize")
+    both = pixels.select("frame_id", "x", "y").join(shape, "frame_id", "left")
+    x, y = F.col("x"), F.col("y")
+    inside = F.coalesce((x >= 0) & (y >= 0) & (x < F.col("xsize")) & (y < F.col("ysize")), F.lit(False))
+    at = F.concat_ws(",", "x", "y")
+    outside = both.where(~inside).select("frame_id", F.when(F.col("xsize").isNull(), F.lit("unknown_frame")).otherwise(F.lit("outside")).alias("rule"), at.alias("detail"))
+    cells = both.where(inside).groupBy("frame_id", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+    copies = cells.where("n > 1").select("frame_id", F.lit("duplicate").alias("rule"), at.alias("detail"))
+    counts = shape.join(cells.groupBy("frame_id").agg(F.count(F.lit(1)).alias("n")), "frame_id", "left")
+    short = F.col("xsize").cast("bigint") * F.col("ysize") - F.coalesce("n", lit(0))
+    missing = counts.where(short > 0).select("frame_id", F.lit("missing_pixels").alias("rule"), short.cast("string").alias("detail"))
+    return outside.unionByName(copies).unionByName(missing)
+
+
+def job_rejects(pixels: DataFrame, frames: DataFrame) -> DataFrame:
+    """Everything the frame jobs leave out of (pixels, frames), as rows (frame_id, rule, detail)."""
+    return rejected_frames(frames).unionByName(rejected_pixels(pixels, frames))
+
+
 def crop(pixels: DataFrame, x0: int, y0: int, width: int, height: int) -> DataFrame:
     """Keep a window and move it to the origin."""
     return (
@@ -78,7 +104,7 @@ def pad_frames(pixels: DataFrame, frames: DataFrame) -> DataFrame:
     return (
         pixels.select("frame_id", *longs)
         .join(shape, "frame_id")
-        .where((F.col("x") < F.col("xsize")) & (F.col("y") < F.col("ysize")))
+        .where(F.col("x").between(0, F.col("xsize") - 1) & F.col("y").between(0, F.col("ysize") - 1))
         .withColumn("x", copies("x", "xsize", "padded_xsize"))
         .withColumn("y", copies("y", "ysize", "padded_ysize"))
         .select(

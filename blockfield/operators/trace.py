@@ -12,6 +12,7 @@ from blockfield.functions.fixed import UINT32_MAX, int_div, lit, sign_extend, sw
 from blockfield.operators.geometry import constant_grid
 
 DOMAIN_CHUNK = 4096
+WIDEST_GAP = 1 << 20
 
 
 def _power(bits: int) -> Column:
@@ -88,10 +89,28 @@ def ordinal_domain(ends: DataFrame, keys: list) -> DataFrame:
     return chunks.select(*keys, F.explode(F.sequence(first, F.least(first + DOMAIN_CHUNK - 1, F.col("end")))).alias("ordinal"))
 
 
-def missing_ordinals(tokens: DataFrame, keys: list) -> DataFrame:
-    """Ordinals absent below each stream's maximum."""
-    ends = tokens.groupBy(*keys).agg(F.max("ordinal").alias("end")).where(F.col("end") >= 0)
-    return ordinal_domain(ends, keys).join(tokens.select(*keys, "ordinal"), [*keys, "ordinal"], "left_anti")
+def missing_ranges(tokens: DataFrame, keys: list) -> DataFrame:
+    """(keys, from, to): runs of ordinals from zero on that are absent below each stream's maximum; negative ones do not count.
+
+    Neighbours meet inside chunks of the ordinal first and chunk ends second, so no stream is sorted in one task and the
+    output has at most a row per token, whatever the ordinals are.
+    """
+    rows = tokens.where(F.col("ordinal") >= 0).select(*keys, "ordinal", int_div(F.col("ordinal"), DOMAIN_CHUNK).alias("_c"))
+    inside = Window.partitionBy(*keys, "_c").orderBy("ordinal")
+    chunks = rows.groupBy(*keys, "_c").agg(F.min("ordinal").alias("_low"), F.max("ordinal").alias("_high"))
+    across = Window.partitionBy(*keys).orderBy("_c")
+    gap = lambda df, at, before: df.withColumn("from", before + 1).withColumn("to", F.col(at) - 1).where(F.col("from") <= F.col("to")).select(*keys, "from", "to")
+    return gap(rows, "ordinal", F.lag("ordinal").over(inside)).unionByName(gap(chunks, "_low", F.lag("_high", 1, -1).over(across)))
+
+
+def missing_ordinals(tokens: DataFrame, keys: list, widest: int = WIDEST_GAP) -> DataFrame:
+    """Ordinals absent below each stream's maximum, one row each; of a run of more than ``widest`` only the first ``widest``
+    (missing_ranges has every run whole)."""
+    ends = F.least(F.col("to"), F.col("from") + (widest - 1))
+    chunk = missing_ranges(tokens, keys).select(*keys, F.col("from"), ends.alias("_end")).select(
+        *keys, "from", "_end", F.explode(F.sequence(lit(0), int_div(F.col("_end") - F.col("from"), DOMAIN_CHUNK))).alias("_k"))
+    first = F.col("from") + F.col("_k") * DOMAIN_CHUNK
+    return chunk.select(*keys, F.explode(F.sequence(first, F.least(first + DOMAIN_CHUNK - 1, F.col("_end")))).alias("ordinal"))
 
 
 def first_missing(missing: DataFrame, keys: list, limit: int = 8) -> DataFrame:
@@ -107,7 +126,7 @@ def duplicates(rows: DataFrame, keys: list) -> DataFrame:
 def token_errors() -> Column:
     """Field-level reasons for one token row."""
     return F.array_compact(F.array(
-        F.when(F.col("index") < 0, F.lit("negative_context")), F.when(F.col("value") < 0, F.lit("negative_value")),
+        F.when(F.col("group") < 0, F.lit("negative_ordinal")), F.when(F.col("index") < 0, F.lit("negative_context")), F.when(F.col("value") < 0, F.lit("negative_value")),
         F.when(F.col("index") > UINT32_MAX, F.lit("context_range")), F.when(F.col("value") > UINT32_MAX, F.lit("value_range")),
     ))
 
@@ -119,8 +138,11 @@ def extract_tokens(trace: DataFrame, stage: str) -> tuple:
     tokens = good.select("frame_id", F.col("group").alias("ordinal"), F.col("index").alias("context"), "value")
     bad = rows.where(F.size("_errors") > 0).select("frame_id", F.explode("_errors").alias("rule"), F.col("group").cast("string").alias("detail"))
     copies = duplicates(rows, ["frame_id", "group"]).select("frame_id", F.lit("duplicate").alias("rule"), F.col("group").cast("string").alias("detail"))
+    wide = F.col("to") - F.col("from") >= WIDEST_GAP
+    ranges = missing_ranges(tokens, ["frame_id"])
     gaps = missing_ordinals(tokens, ["frame_id"]).select("frame_id", F.lit("missing").alias("rule"), F.col("ordinal").cast("string").alias("detail"))
-    return tokens, bad.unionByName(copies).unionByName(gaps)
+    long = ranges.where(wide).select("frame_id", F.lit("missing_range").alias("rule"), F.concat_ws("-", "from", "to").alias("detail"))
+    return tokens, bad.unionByName(copies).unionByName(gaps).unionByName(long)
 
 
 GRID_LIMITS = {"block": (0, 255), "tile": (-128, 127)}

@@ -40,9 +40,11 @@ def local_session(cpus: str = "8", partitions: int = 8) -> SparkSession:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A fresh path below the cluster's shared checkpoint folder; a local one only where none is named."""
+    """A fresh path below the cluster's shared checkpoint folder; a local one only in local mode, where none is named."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="blockfield-")
         spark.conf.set("spark.checkpoint.dir", base)
     return os.path.join(base, f"work-{uuid.uuid4().hex}")

@@ -93,30 +93,41 @@ def read_words_bin(spark: SparkSession, path: str, word_bytes: int = 16, last_su
     return (reader.option("last_suffix", last_suffix) if last_suffix else reader).load()
 
 
+def _pfm_image(content: bytes) -> np.ndarray:
+    """Samples (y, x, channel) with the first row on top; raises ValueError with the fault."""
+    handle = io.BytesIO(content)
+    if handle.readline().strip() != b"PF":
+        raise ValueError("not a color PFM")
+    try:
+        width, height = map(int, handle.readline().split())
+        order = "<f4" if float(handle.readline()) < 0 else ">f4"
+    except ValueError:
+        raise ValueError("bad header") from None
+    body = handle.read(width * height * 12)
+    if width <= 0 or height <= 0 or len(body) < width * height * 12:
+        raise ValueError("truncated")
+    return np.frombuffer(body, dtype=order).astype("f4").reshape(height, width, 3)[::-1]
+
+
 def _pfm_rows(batches):
+    floats = pa.list_(pa.float32())
     for batch in batches:
         for path, content in zip(batch["path"].to_pylist(), batch["content"].to_pylist()):
-            handle = io.BytesIO(content)
-            magic, dims, scale = (handle.readline().split() for _ in range(3))
-            if magic != [b"PF"]:
-                continue
-            width, height = int(dims[0]), int(dims[1])
-            order = "<f4" if float(scale[0]) < 0 else ">f4"
-            samples = np.frombuffer(handle.read(width * height * 12), dtype=order).astype("f4").reshape(height, width, 3)
-            for y in range(height):
-                row = samples[height - 1 - y]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([path]), pa.array([y], pa.int64()), *[pa.array([row[:, c].tolist()], pa.list_(pa.float32())) for c in range(3)]],
-                    ["file", "y", "r", "g", "b"],
-                )
+            try:
+                rows, error = _pfm_image(content), None
+            except ValueError as fault:
+                rows, error = [None], str(fault)
+            for y, row in enumerate(rows):
+                planes = [pa.array([None if error else row[:, c].tolist()], floats) for c in range(3)]
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([None if error else y], pa.int64()), *planes, pa.array([error], pa.string())], ["file", "y", "r", "g", "b", "error"])
 
 
 def read_pfm(spark: SparkSession, path: str) -> DataFrame:
-    """(file, y, x, r, g, b) float samples of color PFM images; rows are stored bottom up."""
+    """(file, y, x, r, g, b, error) float samples of color PFM images; a file that is none or is cut short is one error row."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
-    rows = files.mapInArrow(_pfm_rows, "file string, y bigint, r array<float>, g array<float>, b array<float>")
-    flat = rows.select("file", "y", F.posexplode(F.arrays_zip("r", "g", "b")).alias("x", "s"))
-    return flat.select("file", "y", F.col("x").cast("bigint").alias("x"), "s.r", "s.g", "s.b")
+    rows = files.mapInArrow(_pfm_rows, "file string, y bigint, r array<float>, g array<float>, b array<float>, error string")
+    flat = rows.select("file", "y", "error", F.posexplode_outer(F.arrays_zip("r", "g", "b")).alias("x", "s"))
+    return flat.select("file", "y", F.col("x").cast("bigint").alias("x"), "s.r", "s.g", "s.b", "error")
 
 
 def _array_rows(batches):

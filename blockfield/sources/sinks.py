@@ -1,7 +1,5 @@
 """Writers."""
 
-import os
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,29 +55,38 @@ def word_bytes(data, size: int = 16):
 
 
 def write_word_buffers(words: DataFrame, path: str, size: int = 16, last_suffix: str = ".last") -> None:
-    """Raw word files and last sidecars, one pair per frame and million words, on a path every executor sees."""
+    """Raw word files and last sidecars, one pair per frame and million words, below a path or URI every executor sees.
+
+    A file is written whole by one task, a batch of words at a time; a task that runs again writes the same file again.
+    """
     rows = words.select(
         "frame_id", int_div(F.col("ordinal"), WORDS_PER_FILE).alias("part"), "ordinal", word_bytes(F.col("data"), size).alias("word"), "last"
     ).repartition("frame_id", "part").sortWithinPartitions("frame_id", "part", "ordinal")
 
-    def store(partition):
-        current, data, flags = None, None, None
-        os.makedirs(path, exist_ok=True)
-        for row in partition:
-            key = (row["frame_id"], row["part"])
-            if key != current:
-                for handle in (data, flags):
-                    if handle:
-                        handle.close()
-                name = os.path.join(path, f"frame-{key[0]:012d}-{key[1]:06d}.bin")
-                current, data, flags = key, open(name, "wb"), open(name + last_suffix, "wb")
-            data.write(row["word"])
-            flags.write(b"\x01" if row["last"] else b"\x00")
-        for handle in (data, flags):
-            if handle:
-                handle.close()
-
-    rows.foreachPartition(store)
+    def store(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
+        system.create_dir(base, recursive=True)
+        current, sinks = None, ()
+        for batch in batches:
+            keys = list(zip(batch.column("frame_id").to_pylist(), batch.column("part").to_pylist()))
+            starts = [i for i, k in enumerate(keys) if not i or k != keys[i - 1]] + [len(keys)]
+            for s, e in zip(starts, starts[1:]):
+                if keys[s] != current:
+                    for sink in sinks:
+                        sink.close()
+                    name = f"{base}/frame-{keys[s][0]:012d}-{keys[s][1]:06d}.bin"
+                    current, sinks = keys[s], (system.open_output_stream(name), system.open_output_stream(name + last_suffix))
+                part = batch.slice(s, e - s)
+                sinks[0].write(b"".join(part.column("word").to_pylist()))
+                sinks[1].write(bytes(part.column("last").cast(pa.uint8()).to_pylist()))
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["words"])
+        for sink in sinks:
+            sink.close()
+
+    rows.mapInArrow(store, "words bigint").agg(F.sum("words")).first()
 
 
 def run_summary(verdicts: DataFrame) -> DataFrame:
@@ -94,7 +101,7 @@ def xyb_fixture(pixels: DataFrame, fraction_bits: int = 12) -> DataFrame:
     """Fixed-point XYB beside the floating-point conversion of the same samples, for tolerance reports."""
     fixed = to_xyb(pixels.select("*", F.col("r").alias("r_q8"), F.col("g").alias("g_q8"), F.col("b").alias("b_q8")), (fraction_bits,))
     lin = [F.col(f"{c}_q8") / 256.0 for c in "rgb"]
-    bias = 0.0037930732552754493
+    bias = C.OPSIN_BIAS
     roots = [
         F.cbrt(F.greatest(sum((m / float(1 << 26) * v for m, v in zip(row[1:], lin[1:])), row[0] / float(1 << 26) * lin[0]) + bias, F.lit(0.0))) + C.CBRT_NEGATIVE_BIAS
         for row in C.MIX_Q26

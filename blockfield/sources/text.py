@@ -67,46 +67,52 @@ def parse_stage(text: Column) -> Column:
     return F.coalesce(by_name, parse_int(t))
 
 
-def _column(df: DataFrame, *names: str) -> Column:
-    found = {c.lower(): c for c in reversed(df.columns)}
-    for name in names:
-        if name in found:
-            return F.col(f"`{found[name]}`")
-    raise ValueError(f"missing CSV column: expected one of {', '.join(names)}")
+def _headers(spark: SparkSession, path: str) -> DataFrame:
+    """(_file, _names): the lower-case column names of every CSV file, from its first line."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_id"))
+    first = lines.where("_at = 0").groupBy("_file").agg(F.min_by("value", "_id").alias("h"))
+    clean = lambda n: F.lower(F.trim(n, F.lit(" \t\r\"\ufeff")))
+    return first.select("_file", F.transform(F.split("h", ","), clean).alias("_names"))
 
 
-def _ordered_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Rows as strings with their file and their position in it.
+def _ordered_csv(spark: SparkSession, path: str, columns: dict) -> DataFrame:
+    """(_file, ordinal, one string column per entry of columns): columns are found by name in each file's own header.
 
-    Position = rows of earlier splits of the file + rank inside the split; both come from split-level
-    aggregates, so a file of any size is never sorted.
+    ``columns`` maps a name to its accepted spellings in lower case.  Position = rows of earlier splits of the file + rank
+    inside the split; both come from split-level aggregates, so a file of any size is never sorted.
     """
-    raw = spark.read.option("header", True).csv(path)
+    heads = _headers(spark, path)
+    missing = F.array_compact(F.array(*[F.when(~F.arrays_overlap("_names", F.array(*map(F.lit, alias))), F.lit(c)) for c, alias in columns.items()]))
+    width, lost = heads.agg(F.max(F.size("_names")), F.max(F.array_join(missing, ", "))).first()
+    if lost:
+        raise ValueError(f"missing CSV columns: {lost}")
+    cells = [f"_c{i}" for i in range(width or 1)]
+    raw = spark.read.schema(", ".join(f"{c} string" for c in cells)).option("header", True).csv(path)
     rows = raw.select(
         "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_split"),
         F.monotonically_increasing_id().alias("_id"),
     )
     splits = rows.groupBy("_file", "_split").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("_file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
-    splits = splits.withColumn("_base", F.coalesce(F.sum("_n").over(before), lit(0)))
-    return rows.join(splits, ["_file", "_split"]).withColumn("ordinal", F.col("_base") + F.col("_id") - F.col("_first"))
+    splits = splits.withColumn("_base", F.coalesce(F.sum("_n").over(before), lit(0))).join(heads, "_file")
+    place = lambda alias: F.coalesce(*[F.nullif(F.array_position("_names", F.lit(a)), lit(0)) for a in alias])
+    return rows.join(splits, ["_file", "_split"]).select(
+        "_file", (F.col("_base") + F.col("_id") - F.col("_first")).alias("ordinal"),
+        *[F.try_element_at(F.array(*cells), place(alias).cast("int")).alias(c) for c, alias in columns.items()])
 
 
 def read_trace_csv(spark: SparkSession, path: str) -> DataFrame:
-    """(stage, group, index, value, _file, _errors); the header must name all four columns."""
-    raw = spark.read.option("header", True).csv(path)
-    missing = {"stage", "group", "index", "value"} - set(raw.columns)
-    if missing:
-        raise ValueError(f"missing CSV columns: {', '.join(sorted(missing))}")
+    """(stage, group, index, value, _file, _line, _errors); every file's header must name all four columns, in any order."""
+    raw = _ordered_csv(spark, path, {c: [c] for c in ("stage", "group", "index", "value")})
     parsed = {"stage": parse_stage(F.col("stage")), **{c: parse_int(F.col(c)) for c in ("group", "index", "value")}}
     errors = F.array_compact(F.array(*[F.when(v.isNull(), F.lit(f"bad_{c}")) for c, v in parsed.items()]))
-    return raw.select(*[v.alias(c) for c, v in parsed.items()], F.col("_metadata.file_path").alias("_file"), errors.alias("_errors"))
+    return raw.select(*[v.alias(c) for c, v in parsed.items()], "_file", (F.col("ordinal") + 2).alias("_line"), errors.alias("_errors"))
 
 
 def read_words_csv(spark: SparkSession, path: str) -> DataFrame:
-    """(_file, ordinal, data, last, _errors) from data/tdata and last/tlast columns in any letter case."""
-    raw = _ordered_csv(spark, path)
-    data, last = parse_word(_column(raw, "data", "tdata")), parse_bool(_column(raw, "last", "tlast"))
+    """(_file, ordinal, data, last, _errors) from data/tdata and last/tlast columns in any letter case and order."""
+    raw = _ordered_csv(spark, path, {"data": ["data", "tdata"], "last": ["last", "tlast"]})
+    data, last = parse_word(F.col("data")), parse_bool(F.col("last"))
     errors = F.array_compact(F.array(F.when(data.isNull(), F.lit("bad_data")), F.when(last.isNull(), F.lit("bad_last"))))
     return raw.select("_file", "ordinal", data.alias("data"), last.alias("last"), errors.alias("_errors"))
 
@@ -118,7 +124,7 @@ def register_table(spark: SparkSession) -> DataFrame:
 
 def read_register_log(spark: SparkSession, path: str) -> DataFrame:
     """(_file, register, address, data, strb or resp) with unknown addresses left without a name."""
-    raw = spark.read.option("header", True).csv(path)
+    raw = spark.read.option("header", True).option("enforceSchema", False).csv(path)
     extra = [c for c in ("strb", "resp") if c in raw.columns]
     rows = raw.select(F.col("_metadata.file_path").alias("_file"), parse_int(F.col("address")).alias("address"),
                       parse_int(F.col("data")).alias("data"), *[parse_int(F.col(c)).alias(c) for c in extra])
@@ -126,9 +132,19 @@ def read_register_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _json(spark: SparkSession, path: str, schema: str, suffix: str = None, multi_line: bool = True) -> DataFrame:
-    """One document per file, or one per line when ``multi_line`` is off; ``suffix`` selects document formats."""
-    docs = spark.read.schema(schema).option("multiLine", multi_line).json(path)
-    return docs if suffix is None else docs.where(F.col("format").endswith(suffix))
+    """One document per file, or one per line when ``multi_line`` is off, with ``_file`` and ``_document``: its faults.
+
+    A document that is no JSON has the fault ``malformed``, one whose format does not end in ``suffix`` has ``format``.
+    """
+    docs = spark.read.schema(schema + ", _corrupt string").option("multiLine", multi_line).option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    other = F.lit(False) if suffix is None else ~F.coalesce(F.col("format").endswith(suffix), F.lit(False))
+    faults = F.array_compact(F.array(F.when(F.col("_corrupt").isNotNull(), F.lit("malformed")).when(other, F.lit("format"))))
+    return docs.select("*", F.col("_metadata.file_path").alias("_file"), faults.alias("_document")).drop("_corrupt")
+
+
+def rejected_documents(docs: DataFrame) -> DataFrame:
+    """(_file, frame_id, rule) of the faults of whole documents."""
+    return docs.select("_file", "frame_id", F.explode("_document").alias("rule"))
 
 
 def image_errors() -> Column:
@@ -144,12 +160,13 @@ def image_errors() -> Column:
 
 def read_prepared_blocks_json(spark: SparkSession, path: str, suffix: str = None, multi_line: bool = True) -> DataFrame:
     """One row per block with its inputs, expectations and errors."""
-    docs = _json(spark, path, PREPARED_BLOCKS_SCHEMA, suffix, multi_line).withColumn("_image", image_errors())
+    docs = _json(spark, path, PREPARED_BLOCKS_SCHEMA, suffix, multi_line).withColumn("_image", F.concat("_document", image_errors()))
     declared = F.col("image.x_blocks") * F.col("image.y_blocks")
     docs = docs.withColumn("_image", F.when(F.size("blocks") != declared, F.array_append("_image", F.lit("block_count"))).otherwise(F.col("_image")))
-    rows = docs.select("frame_id", "image", "coefficient_fraction_bits", "_image", F.posexplode("blocks").alias("_at", "block"))
+    rows = docs.select("frame_id", "image", "coefficient_fraction_bits", "_image", F.posexplode_outer("blocks").alias("_at", "block"))
     b, n = (lambda f: F.col(f"block.{f}")), F.col("block.inputs")
     ranged = lambda c, lo, hi, name: F.when(~F.coalesce(c.between(lo, hi), F.lit(False)), F.lit(name))
+    outside = lambda values, lo, hi, name: F.when(F.exists(values, lambda v: v.isNull() | ~v.between(lo, hi)), F.lit(name))
     counted = F.transform(b("expected.quantized_ac"), lambda plane: F.size(F.filter(F.slice(plane, 2, 63), lambda v: v != 0)).cast("bigint"))
     errors = F.array_compact(F.concat(F.col("_image"), F.array(
         F.when(b("block_index") != F.col("_at"), F.lit("block_order")),
@@ -158,7 +175,15 @@ def read_prepared_blocks_json(spark: SparkSession, path: str, suffix: str = None
         ranged(n["inv_qac_q16"], 0, (1 << 32) - 1, "inv_qac_q16"), ranged(n["ytox"], -128, 127, "ytox"), ranged(n["ytob"], -128, 127, "ytob"),
         F.when(F.exists(n["coefficients"], lambda plane: F.size(plane) != 64) | (F.size(n["coefficients"]) != 3), F.lit("coefficients")),
         F.when(counted != b("expected.num_nonzeros"), F.lit("nonzero_count")),
+        F.when((b("tile_x") != F.floor(b("block_x") / 8)) | (b("tile_y") != F.floor(b("block_y") / 8)), F.lit("tile_position")),
+        outside(F.flatten(n["coefficients"]), -(1 << 31), (1 << 31) - 1, "coefficient_range"),
+        outside(F.flatten(b("expected.quantized_ac")), -(1 << 31), (1 << 31) - 1, "level_range"),
+        outside(b("expected.num_nonzeros"), 0, 63, "nonzero_range"), outside(b("expected.quantized_dc"), -(1 << 31), (1 << 31) - 1, "dc_range"),
+        F.when(F.size(b("expected.quantized_dc")) != 3, F.lit("dc_length")),
+        F.when(F.size(n["inv_dc_factor_q16"]) != 3, F.lit("inv_dc_length")), outside(n["inv_dc_factor_q16"], 0, (1 << 32) - 1, "inv_dc_range"),
+        ranged(n["x_qm_multiplier_q16"], 0, (1 << 32) - 1, "x_qm_q16"),
     )))
+    errors = F.when(F.col("block").isNull(), F.array_append("_image", F.lit("no_block"))).otherwise(errors)
     return rows.select(
         "frame_id", b("block_index").alias("block"), b("block_x").alias("bx"), b("block_y").alias("by"),
         n["quant"].alias("quant"), n["scale_q16"].alias("scale_q16"), n["inv_qac_q16"].alias("inv_qac_q16"),
@@ -171,22 +196,40 @@ def read_prepared_blocks_json(spark: SparkSession, path: str, suffix: str = None
 
 
 def read_prepared_tokens_json(spark: SparkSession, path: str, suffix: str = None, multi_line: bool = True) -> tuple:
-    """(dc samples by ordinal, AC rows by block and channel)."""
-    docs = _json(spark, path, PREPARED_TOKENS_SCHEMA, suffix, multi_line).where(F.size(image_errors()) == 0)
-    dc = docs.select("frame_id", F.posexplode("dc_samples").alias("ordinal", "value")).withColumn("ordinal", F.col("ordinal").cast("bigint"))
-    ac = docs.select("frame_id", F.explode("ac_blocks").alias("b")).select(
-        "frame_id", F.col("b.block_index").alias("block"), F.posexplode(F.arrays_zip("b.num_nonzeros", "b.quantized")).alias("channel", "e")
-    )
-    return dc, ac.select("frame_id", "block", F.col("channel").cast("bigint").alias("channel"),
-                         F.col("e.num_nonzeros").alias("nonzeros"), F.col("e.quantized").alias("coefficients"))
+    """(dc samples by ordinal, AC rows by block and channel, rejects (_file, frame_id, rule)).
+
+    Documents with a fault of their own (malformed, another format, a bad image, sample or block counts that do not fit the
+    image) give no samples but a reject each; values out of range give their rows and a reject.
+    """
+    blocks = F.col("image.x_blocks") * F.col("image.y_blocks")
+    counts = F.array_compact(F.array(
+        F.when(F.size("dc_samples") != 3 * blocks, F.lit("dc_count")), F.when(F.size("ac_blocks") != blocks, F.lit("block_count"))))
+    docs = _json(spark, path, PREPARED_TOKENS_SCHEMA, suffix, multi_line)
+    shape = F.when(F.col("image").isNull(), F.array(F.lit("image"))).otherwise(F.concat(image_errors(), F.coalesce(counts, F.array().cast("array<string>"))))
+    docs = docs.withColumn("_document", F.when(F.size("_document") > 0, F.col("_document")).otherwise(shape))
+    good = docs.where(F.size("_document") == 0)
+    dc = good.select("frame_id", F.posexplode("dc_samples").alias("ordinal", "value")).withColumn("ordinal", F.col("ordinal").cast("bigint"))
+    ac = good.select("_file", "frame_id", F.explode("ac_blocks").alias("b")).select(
+        "_file", "frame_id", F.col("b.block_index").alias("block"), F.posexplode(F.arrays_zip("b.num_nonzeros", "b.quantized")).alias("channel", "e")
+    ).select("_file", "frame_id", "block", F.col("channel").cast("bigint").alias("channel"), F.col("e.num_nonzeros").alias("nonzeros"), F.col("e.quantized").alias("coefficients"))
+    levels = F.col("coefficients")
+    counted = F.size(F.filter(F.slice(levels, 2, 63), lambda v: v != 0)).cast("bigint")
+    faults = F.array_compact(F.array(
+        F.when(~F.coalesce(F.col("nonzeros").between(0, 63), F.lit(False)), F.lit("nonzero_range")),
+        F.when(F.size(levels) != 64, F.lit("coefficients")), F.when(counted != F.col("nonzeros"), F.lit("nonzero_count")),
+        F.when(F.exists(levels, lambda v: v.isNull() | ~v.between(-(1 << 31), (1 << 31) - 1)), F.lit("level_range"))))
+    wrong = good.select("_file", "frame_id", F.explode("dc_samples").alias("v")).where(F.col("v").isNull() | ~F.col("v").between(-(1 << 31), (1 << 31) - 1))
+    rejects = rejected_documents(docs).unionByName(ac.select("_file", "frame_id", F.explode(faults).alias("rule"))).unionByName(
+        wrong.select("_file", "frame_id", F.lit("dc_range").alias("rule")))
+    return dc, ac.drop("_file"), rejects
 
 
 def read_manifests(spark: SparkSession, path: str, suffix: str = None, multi_line: bool = True) -> DataFrame:
-    """Flat manifest rows; registers and checksums stay maps."""
+    """Flat manifest rows; registers and checksums stay maps; ``errors`` names the faults of the document."""
     return _json(spark, path, MANIFEST_SCHEMA, suffix, multi_line).select(
         "frame_id", "format", F.col("image.width").alias("xsize"), F.col("image.height").alias("ysize"),
         F.col("image.x_tiles").alias("x_tiles"), F.col("image.y_tiles").alias("y_tiles"),
-        F.col("stream.word_count").alias("word_count"), "discovery.required_capabilities", "discovery.active_route", "registers", "checksums",
+        F.col("stream.word_count").alias("word_count"), "discovery.required_capabilities", "discovery.active_route", "registers", "checksums", F.col("_document").alias("errors"),
     )
 
 
