@@ -122,6 +122,9 @@ register("agg01_contrast_cells", "SELECT frame_id, cy * xb * 2 + cx AS cell, cx
 register("job05_contrast_map", "SELECT frame_id, cy * xb * 2 + cx AS cell, CAST(v AS BIGINT) AS contrast_q16 FROM cells")(
     lambda s, d: aq.contrast_map(G.block_columns(I.pixels(s, d), I.frames(s, d)), I.frames(s, d)).select("frame_id", "cell", "contrast_q16")
 )
+register("job06_erosion_map", "SELECT frame_id, block AS \"index\", e AS value FROM eroded")(
+    lambda s, d: pick(aq_fields(s, d), frame_id="frame_id", index="block", value="erosion_q16")
+)
 register("agg03_erosion", "SELECT frame_id, block, e AS erosion_q16 FROM eroded")(
     lambda s, d: aq.erosion(statistics(s, d)).select("frame_id", "block", "erosion_q16")
 )
@@ -334,15 +337,22 @@ register("agg13_declared_counts", f"""SELECT q.frame_id, q.block, ny AS declared
 register("snk03_prepared_dc", "SELECT q.frame_id, rank * g.xb * g.yb + block AS ordinal, CAST(v AS BIGINT) AS value FROM (SELECT frame_id, block, unnest([0, 1, 2]) AS rank, unnest([day, dax, dab]) AS v FROM prepared_blocks) q JOIN block_frames g USING (frame_id)")(
     lambda s, d: sinks.prepared_dc(tokens.dc_cells(prepared(s, d), I.block_frames(s, d)), tokens.block_counts(I.block_frames(s, d)))
 )
-register("snk03_prepared_ac", """SELECT frame_id, block, CAST(1 AS BIGINT) AS channel, ny AS nonzeros, coefficients FROM (SELECT frame_id, block, string_agg(CAST(qy AS VARCHAR), ' ' ORDER BY k) AS coefficients FROM
-  (SELECT frame_id, block, k, CAST(qy AS BIGINT) AS qy FROM prepared_levels) GROUP BY frame_id, block) JOIN prepared_blocks USING (frame_id, block)""")(
-    lambda s, d: sinks.prepared_ac(prepared(s, d)).where("channel = 1")
+register("snk03_prepared_ac", " UNION ALL ".join(
+    f"""SELECT frame_id, block, CAST({i} AS BIGINT) AS channel, n{p} AS nonzeros, coefficients FROM (SELECT frame_id, block, string_agg(CAST(v AS VARCHAR), ' ' ORDER BY k) AS coefficients FROM
+  (SELECT frame_id, block, k, CAST(q{p} AS BIGINT) AS v FROM prepared_levels) GROUP BY frame_id, block) JOIN prepared_blocks USING (frame_id, block)""" for i, p in enumerate("xyb")))(
+    lambda s, d: sinks.prepared_ac(prepared(s, d))
 )
 
 
-@register("agg19_xyb_error_bounds")
+_ROOT = lambda row: f"cbrt(greatest({' + '.join(f'{m} / {float(1 << 26)} * ({c} / 256.0::DOUBLE)' for m, c in zip(row, 'rgb'))} + {C.OPSIN_BIAS}::DOUBLE, 0)) + {C.CBRT_NEGATIVE_BIAS}::DOUBLE"
+_FLOATS = f"SELECT frame_id, x, y, (r0 - r1) / 2 * 4096 AS xf, (r0 + r1) / 2 * 4096 AS yf, r2 * 4096 AS bf FROM (SELECT frame_id, x, y, {', '.join(f'{_ROOT(row)} AS r{i}' for i, row in enumerate(C.MIX_Q26))} FROM padded)"
+
+
+@register("agg19_xyb_error_bounds", " UNION ALL ".join(
+    f"""SELECT '{p}' AS plane, round(max(abs({p}v - {p}f)), 6) AS max_absolute, round(max(abs({p}v - {p}f) / greatest(abs({p}f), 1)), 6) AS max_relative, count(*) AS compared
+  FROM ({_FLOATS}) JOIN xyb12 USING (frame_id, x, y)""" for p in "xyb"))
 def _bounds(s, d):
-    """Rows-only: floating-point reference against fixed point, largest difference per plane."""
+    """Floating-point conversion against fixed point, largest difference per plane, to six decimals."""
     fixture = sinks.xyb_fixture(G.pad_frames(I.pixels(s, d), I.frames(s, d)))
     out = None
     for p in "xyb":
@@ -350,4 +360,4 @@ def _bounds(s, d):
         a = fixture.select("frame_id", "x", "y", F.lit(p).alias("plane"), F.col(f"{p}_q12").cast("double").alias("value"))
         part = compare.error_bounds(e, a, ["frame_id", "x", "y", "plane"], ["plane"])
         out = part if out is None else out.unionByName(part)
-    return out
+    return out.select("plane", F.round("max_absolute", 6).alias("max_absolute"), F.round("max_relative", 6).alias("max_relative"), "compared")

@@ -75,10 +75,10 @@ register("set03_metadata_phases", f"SELECT frame_id, context, count(*) AS tokens
 # ---- files ----------------------------------------------------------------------------------------------------
 
 
-@register("top03_ordered_tokens", "SELECT frame_id, ordinal, context, value FROM tokens_a WHERE stream = 12")
+@register("top03_ordered_tokens", "SELECT frame_id, ordinal, context, value FROM tokens_a")
 def _ordered(s, d):
     path = work_dir(s)
-    sinks.write_tokens(TQ.actual(s, d).where("stream = 12"), path)
+    sinks.write_tokens(TQ.actual(s, d), path)
     return s.read.parquet(path)
 
 

@@ -296,17 +296,17 @@ def _words_bin(s, d):
     return T.unpack_binary(binary.read_words_bin(s, path, 16, ".last")).select("stage", "group", "index", "value", "last", "ordinal")
 
 
-@register("snk01_trace_table", 'SELECT frame_id, CAST(stage AS BIGINT) AS stage, "group", "index", value FROM trace WHERE stage = 12')
+@register("snk01_trace_table", 'SELECT frame_id, CAST(stage AS BIGINT) AS stage, "group", "index", value FROM trace')
 def _trace_table(s, d):
     path = work_dir(s)
     sinks.write_trace(I.trace(s, d), path)
-    return s.read.parquet(path).where("stage = 12").select("frame_id", F.col("stage").cast("bigint").alias("stage"), "group", "index", "value")
+    return s.read.parquet(path).select("frame_id", F.col("stage").cast("bigint").alias("stage"), "group", "index", "value")
 
 
-@register("snk02_token_table", "SELECT frame_id, ordinal, context, value FROM tokens_e WHERE stream = 10")
+@register("snk02_token_table", "SELECT frame_id, ordinal, context, value FROM tokens_e")
 def _token_table(s, d):
     path = work_dir(s)
-    sinks.write_tokens(expected(s, d).where("stream = 10"), path)
+    sinks.write_tokens(expected(s, d), path)
     return s.read.parquet(path)
 
 
