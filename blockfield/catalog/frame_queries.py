@@ -9,7 +9,7 @@ from blockfield.catalog.base import register, staged
 from blockfield.functions import constants as C
 from blockfield.functions import coding
 from blockfield.functions.fixed import lit
-from blockfield.operators import aq, cfl, compare, geometry as G, params as P, quantize, shape, tokens, transform
+from blockfield.operators import aq, audit, cfl, compare, geometry as G, params as P, quantize, shape, tokens, transform
 from blockfield.plans import jobs
 from blockfield.session import stage, write_table
 from blockfield.sources import sinks
@@ -270,6 +270,8 @@ register("top01_shape", "SELECT frame_id, block, CAST(code AS BIGINT) AS code FR
 register("job11_choose_shape", "SELECT frame_id, block, CAST(code AS BIGINT) AS code, CAST(code // 2 AS BIGINT) AS raw_strategy, code % 2 = 1 AS is_first FROM shape_cells")(
     lambda s, d: shape_cells(s, d).select("frame_id", "block", F.col("code").cast("bigint").alias("code"), coding.raw_strategy(F.col("code")).cast("bigint").alias("raw_strategy"), coding.is_first(F.col("code")).alias("is_first"))
 )
+register("job11_shape_rejects", """SELECT frame_id, 'unsupported_distance' AS rule, CAST((g.xb // 2 * 2) * (g.yb // 2 * 2) AS VARCHAR) AS detail FROM geo g JOIN params p USING (frame_id)
+  WHERE NOT p.supported AND g.xb > 1 AND g.yb > 1""")(lambda s, d: shape.shape_rejects(shape_cells(s, d)))
 register("job12_adjust_quant", "SELECT frame_id, block, arq AS raw_quant FROM adjusted")(lambda s, d: shape_cells(s, d).select("frame_id", "block", "raw_quant"))
 register("job14_quantize_owners", S.quantized_trace_sql("owner_levels", "owner_blocks"))(lambda s, d: quantize.quantized_trace(shaped(s, d)[0]))
 register("join08_covered_cells", """SELECT frame_id, block, CAST(0 AS BIGINT) AS part, block AS cell FROM owner_blocks UNION ALL
@@ -289,6 +291,26 @@ def _ownership(s, d):
         "frame_id", "cells", "most_copies", (F.col("cells") == F.col("block_count")).alias("complete"))
 
 
+S.CTES["own_o"] = """SELECT q.frame_id, q.block, q.shape, g.xb, g.yb, max(q.block) OVER (PARTITION BY q.frame_id) AS final FROM owner_blocks q JOIN geo g USING (frame_id)
+  WHERE NOT (q.frame_id % 4 = 1 AND q.block % 7 = 3)"""
+S.CTES["own_c"] = """SELECT frame_id, block AS cell FROM own_o UNION ALL SELECT frame_id, block + CASE WHEN shape = 1 THEN xb ELSE 1 END FROM own_o WHERE shape <> 0
+  UNION ALL SELECT frame_id, 0 FROM own_o WHERE frame_id % 4 = 2 AND block = final"""
+register("win10_ownership_rules", """SELECT frame_id, 'overlap' AS rule, CAST(cell AS VARCHAR) AS detail FROM own_c GROUP BY frame_id, cell HAVING count(*) > 1
+UNION ALL SELECT frame_id, 'gap', CAST(xb * yb - n AS VARCHAR) FROM geo JOIN (SELECT frame_id, count(DISTINCT cell) AS n FROM own_c GROUP BY frame_id) USING (frame_id) WHERE n < xb * yb
+UNION ALL SELECT frame_id, 'order', '0' FROM own_o WHERE frame_id % 4 = 2 AND block = final AND final > 0
+UNION ALL SELECT frame_id, 'early_last', CAST(final AS VARCHAR) FROM own_o WHERE frame_id % 4 = 2 AND block = final
+UNION ALL SELECT frame_id, 'missing_last', '0' FROM own_o WHERE frame_id % 4 = 2 AND block = final""")(lambda s, d: _ownership_rules(s, d))
+
+
+def _ownership_rules(s, d):
+    """Owners in order of their block; some are left out in every fourth frame, and every fourth gets block 0 once more at its end."""
+    owners = shaped(s, d)[0].select("frame_id", "block", F.col("raw_strategy").cast("bigint").alias("raw_strategy")).where("NOT (frame_id % 4 = 1 AND block % 7 = 3)")
+    ends = owners.groupBy("frame_id").agg(F.max("block").alias("_end"))
+    rows = owners.join(ends, "frame_id").select("frame_id", F.col("block").alias("seq"), "block", "raw_strategy", (F.col("block") == F.col("_end")).alias("last"))
+    again = ends.where("frame_id % 4 = 2").select("frame_id", (F.col("_end") + 1).alias("seq"), lit(0).alias("block"), lit(0).alias("raw_strategy"), F.lit(False).alias("last"))
+    return audit.ownership_findings(rows.unionByName(again), I.frames(s, d))
+
+
 # ---- tokens ---------------------------------------------------------------------------------------------------
 
 _PREP = ("prepared_levels", "prepared_blocks")

@@ -256,6 +256,37 @@ register("job23_audit_bundles", " UNION ALL ".join(_FINDINGS.values()))(
     lambda s, d: audit.audit_bundles(manifests(s, d), rgb_words(s, d), registers(s, d), registers(s, d, True), observed(s, d),
                                      audit.checksum(artifacts(s, d)), artifacts(s, d, True))
 )
+register("job23_discovery", """SELECT frame_id, 'discovery' AS rule, 'build_id' AS field, CAST(distance_q8 AS VARCHAR) AS expected, CAST(distance_q8 + 1 AS VARCHAR) AS actual FROM frames WHERE frame_id % 3 = 1
+  UNION ALL SELECT frame_id, 'missing_field', 'active_route', CAST(token_select AS VARCHAR), 'missing' FROM frames WHERE frame_id % 5 = 2
+  UNION ALL SELECT frame_id, 'unknown_field', 'serial', 'missing', '9' FROM frames WHERE frame_id % 7 = 4""")(
+    lambda s, d: audit.discovery_findings(_discovery(s, d), _discovery(s, d, True))
+)
+
+
+def _discovery(s, d, broken=False):
+    f = I.frames(s, d).select("frame_id", F.inline(F.array(*[F.struct(F.lit(n).alias("field"), F.col(c).cast("bigint").alias("data")) for n, c in (
+        ("identity", "xsize"), ("abi_version", "ysize"), ("build_id", "distance_q8"), ("active_route", "token_select"))])))
+    if not broken:
+        return f
+    kept = f.where("NOT (frame_id % 5 = 2 AND field = 'active_route')").withColumn("data", F.col("data") + ((F.col("frame_id") % 3 == 1) & (F.col("field") == "build_id")).cast("bigint"))
+    return kept.unionByName(I.frames(s, d).where("frame_id % 7 = 4").select("frame_id", F.lit("serial").alias("field"), lit(9).alias("data")))
+
+
+_FORMAT = "CASE WHEN frame_id % 4 = 1 THEN 'rgb_manifest.v2' WHEN frame_id % 6 = 2 THEN 'stream_manifest.v1' ELSE 'rgb_manifest.v1' END"
+register("job23_formats", f"""SELECT frame_id, 'format' AS rule, CASE WHEN f LIKE 'stream%' THEN 'kind' ELSE 'version' END AS field, CASE WHEN f LIKE 'stream%' THEN 'rgb_manifest' ELSE 'v1' END AS expected, f AS actual
+  FROM (SELECT frame_id, {_FORMAT} AS f FROM frames) WHERE f <> 'rgb_manifest.v1'""")(
+    lambda s, d: audit.format_findings(I.frames(s, d).withColumn("format", F.expr(_FORMAT)), "rgb_manifest")
+)
+register("job23_agreement", """SELECT frame_id, 'agreement' AS rule, 'distance_q8' AS field, CAST(distance_q8 AS VARCHAR) AS expected, CAST(distance_q8 + 5 AS VARCHAR) AS actual FROM frames WHERE frame_id % 3 = 0 AND frame_id % 5 <> 1
+  UNION ALL SELECT frame_id, 'agreement', 'frame', 'present', 'missing' FROM frames WHERE frame_id % 5 = 1""")(
+    lambda s, d: audit.agreement_findings(_index(s, d), _index(s, d).where("frame_id % 5 <> 1").withColumn("distance_q8", F.col("distance_q8") + (F.col("frame_id") % 3 == 0).cast("int") * 5))
+)
+
+
+def _index(s, d):
+    return I.frames(s, d).select("frame_id", "xsize", "ysize", "distance_q8", F.col("token_select").alias("active_route"))
+
+
 register("agg17_checksum", "SELECT page_id AS frame_id, 'page' AS artifact, sha256(html) AS sha256 FROM pages")(lambda s, d: audit.checksum(artifacts(s, d)))
 register("join15_manifest_artifacts", "SELECT page_id AS frame_id, 'checksum' AS rule, 'page' AS field, sha256(html) AS expected, sha256(html || '!') AS actual FROM pages WHERE page_id % 9 = 4")(
     lambda s, d: audit.checksum_findings(audit.checksum(artifacts(s, d)), audit.checksum(artifacts(s, d, True)))

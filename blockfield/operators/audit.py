@@ -3,12 +3,14 @@
 Every rule is a join or an aggregate and yields (frame_id, rule, field, expected, actual) rows.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from blockfield.functions import constants as C
 from blockfield.functions.fixed import lit
 from blockfield.operators.geometry import with_geometry
 
+SEQ_CHUNK = 4096
 FINDING = ["frame_id", "rule", "field", "expected", "actual"]
 
 
@@ -64,6 +66,75 @@ def capability_findings(manifests: DataFrame, observed: DataFrame) -> DataFrame:
     )
 
 
+def discovery_findings(expected: DataFrame, observed: DataFrame, fields=("identity", "abi_version", "build_id", "active_route")) -> DataFrame:
+    """Discovery fields (frame_id, field, data) that differ, are missing, or are not known; only ``fields`` are known."""
+    e = expected.where(F.col("field").isin(*fields)).select("frame_id", "field", F.col("data").alias("e"))
+    a = observed.select("frame_id", "field", F.col("data").alias("a"))
+    both = e.join(a, ["frame_id", "field"], "full_outer").where(~F.col("e").eqNullSafe(F.col("a")))
+    rule = F.when(~F.col("field").isin(*fields), F.lit("unknown_field")).when(F.col("a").isNull(), F.lit("missing_field")).otherwise(F.lit("discovery"))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("missing"))
+    return both.select("frame_id", rule.alias("rule"), "field", text("e").alias("expected"), text("a").alias("actual"))
+
+
+def format_findings(manifests: DataFrame, kind: str, versions=("v1",)) -> DataFrame:
+    """Manifests (frame_id, format) of another kind, and known kinds in an unknown version; format reads kind.version."""
+    version = F.substring_index("format", ".", -1)
+    named = F.regexp_replace("format", "\\.[^.]*$", "")
+    other = ~F.coalesce(named == kind, F.lit(False))
+    bad = manifests.where(other | ~version.isin(*versions))
+    return _finding(bad, "format", F.when(other, F.lit("kind")).otherwise(F.lit("version")), F.when(other, F.lit(kind)).otherwise(F.lit(",".join(versions))), F.col("format"))
+
+
+def agreement_findings(index: DataFrame, manifests: DataFrame, fields=("xsize", "ysize", "distance_q8", "active_route")) -> DataFrame:
+    """Fields in which a bundle's index and its manifest disagree, and frames that only one of them names."""
+    columns = lambda df, side: df.select("frame_id", F.struct(*fields).alias(side))
+    both = columns(index, "i").join(columns(manifests, "m"), "frame_id", "full_outer")
+    alone = both.where(F.col("i").isNull() | F.col("m").isNull())
+    side = lambda c: F.when(F.col(c).isNotNull(), F.lit("present"))
+    out = _finding(alone, "agreement", "frame", side("i"), side("m"))
+    known = both.where(F.col("i").isNotNull() & F.col("m").isNotNull())
+    pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"i.{f}").cast("string").alias("e"), F.col(f"m.{f}").cast("string").alias("a")) for f in fields])
+    each = known.select("frame_id", F.inline(F.filter(pairs, lambda p: ~p["e"].eqNullSafe(p["a"]))))
+    return out.unionByName(_finding(each, "agreement", F.col("field"), F.col("e"), F.col("a")))
+
+
+def ownership_findings(owners: DataFrame, frames: DataFrame) -> DataFrame:
+    """(frame_id, rule, detail) over owners (frame_id, seq, block, raw_strategy, last), each frame's in order of seq.
+
+    An owner must start at the first uncovered cell, stay inside, overlap nothing, and last must come exactly with full
+    coverage.  For owners that cover every cell once that is the same as: blocks ascend with seq, and last is on the final
+    owner alone.  So every part of the rule is a grouping or a neighbour look-up: ``bounds`` (owner's block), ``overlap``
+    (cell), ``gap`` (number of uncovered cells), ``order`` (block), ``early_last`` and ``missing_last`` (block).
+    """
+    from blockfield.operators.geometry import covered_cells
+
+    shape = with_geometry(frames).select("frame_id", "x_blocks", "y_blocks", "block_count")
+    rows = owners.join(shape, "frame_id")
+    wide, high = F.when(F.col("raw_strategy") == C.DCT8X16, 2).otherwise(1), F.when(F.col("raw_strategy") == C.DCT16X8, 2).otherwise(1)
+    bx, by = F.col("block") % F.col("x_blocks"), F.floor(F.col("block") / F.col("x_blocks"))
+    inside = (F.col("block") >= 0) & (bx + wide <= F.col("x_blocks")) & (by + high <= F.col("y_blocks"))
+    found = lambda df, rule, detail: df.select("frame_id", F.lit(rule).alias("rule"), detail.cast("string").alias("detail"))
+    cells = covered_cells(rows.where(inside)).groupBy("frame_id", "cell").agg(F.count(F.lit(1)).alias("n"))
+    counts = shape.join(cells.groupBy("frame_id").agg(F.count(F.lit(1)).alias("n")), "frame_id", "left")
+    short = F.col("block_count") - F.coalesce("n", lit(0))
+    by_seq = Window.partitionBy("frame_id", "_c").orderBy("seq")
+    chunked = rows.withColumn("_c", F.floor(F.col("seq") / SEQ_CHUNK)).withColumn("_before", F.lag("block").over(by_seq))
+    ends = chunked.groupBy("frame_id", "_c").agg(F.min_by("block", "seq").alias("_first"), F.max_by("block", "seq").alias("_last"))
+    across = ends.withColumn("_before", F.lag("_last").over(Window.partitionBy("frame_id").orderBy("_c")))
+    final = rows.groupBy("frame_id").agg(F.max("seq").alias("_final"))
+    marked = rows.join(final, "frame_id")
+    at_end = F.col("seq") == F.col("_final")
+    parts = [
+        found(rows.where(~inside), "bounds", F.col("block")), found(cells.where("n > 1"), "overlap", F.col("cell")), found(counts.where(short > 0), "gap", short),
+        found(chunked.where(F.col("block") <= F.col("_before")), "order", F.col("block")), found(across.where(F.col("_first") <= F.col("_before")), "order", F.col("_first")),
+        found(marked.where(F.col("last") & ~at_end), "early_last", F.col("block")), found(marked.where(~F.col("last") & at_end), "missing_last", F.col("block")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def checksum(content: DataFrame) -> DataFrame:
     """(frame_id, artifact, sha256) from (frame_id, artifact, content)."""
     return content.select("frame_id", "artifact", F.sha2(F.col("content").cast("binary"), 256).alias("sha256"))

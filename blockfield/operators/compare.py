@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 STREAM = ["frame_id", "stream"]
+BYTE_CHUNK = 4096
 
 
 def compare_runs(expected: DataFrame, actual: DataFrame, max_value_delta: int = 0) -> DataFrame:
@@ -77,13 +78,17 @@ def worst_frames(verdicts: DataFrame, k: int = 10) -> DataFrame:
 def first_byte_difference(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """(key, len_expected, len_actual, first_difference) from (key, content BINARY); equal contents yield null.
 
-    When one content is a prefix of the other the offset is the shorter length.  Contents are compared as hex
-    text inside the row, and only unequal pairs are opened.
+    When one content is a prefix of the other the offset is the shorter length.  Contents are compared in chunks, and only the
+    first unequal chunk is opened, so no list is longer than a chunk or the number of chunks.
     """
     both = expected.select("key", F.col("content").alias("e")).join(actual.select("key", F.col("content").alias("a")), "key", "full_outer")
     shorter = F.least(F.length("e"), F.length("a"))
+    size = F.lit(BYTE_CHUNK)
+    last = F.greatest(F.floor((shorter - 1) / BYTE_CHUNK).cast("int"), F.lit(0))
+    chunk = F.try_element_at(F.filter(F.sequence(F.lit(0), last), lambda i: F.substring("e", i * BYTE_CHUNK + 1, size) != F.substring("a", i * BYTE_CHUNK + 1, size)), F.lit(1))
+    both = both.withColumn("_at", F.when(F.col("e") != F.col("a"), chunk) * BYTE_CHUNK)
     offsets = F.filter(
-        F.sequence(F.lit(0), F.greatest(shorter - 1, F.lit(0))),
+        F.sequence(F.col("_at"), F.greatest(F.least(F.col("_at") + BYTE_CHUNK, shorter) - 1, F.col("_at"))),
         lambda i: (i < shorter) & (F.substring("e", i + 1, F.lit(1)) != F.substring("a", i + 1, F.lit(1))),
     )
     first = F.when(F.col("e") != F.col("a"), F.coalesce(F.try_element_at(offsets, F.lit(1)), shorter))

@@ -171,6 +171,13 @@ def strategy_map(blocks: DataFrame, decisions: DataFrame) -> DataFrame:
     )
 
 
+def shape_rejects(cells: DataFrame) -> DataFrame:
+    """(frame_id, rule, detail): blocks whose shape was decided on capped costs or without a supported distance, by frame."""
+    rules = F.array(F.when(F.col("overflow"), F.lit("cost_overflow")), F.when(F.col("unsupported_distance"), F.lit("unsupported_distance")))
+    hit = cells.where(F.col("overflow") | F.col("unsupported_distance"))
+    return hit.select("frame_id", F.explode(F.array_compact(rules)).alias("rule")).groupBy("frame_id", "rule").agg(F.count(F.lit(1)).cast("string").alias("detail"))
+
+
 def owner_of(x_blocks: Column) -> Column:
     """Raster block of the owner that covers a cell, from the cell's own code."""
     return F.col("block") - F.when(F.col("code") == 4, lit(1)).when(F.col("code") == 2, x_blocks).otherwise(lit(0))
