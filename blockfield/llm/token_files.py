@@ -1,7 +1,7 @@
 """Token sequences of equal length in Arrow files, and their way back.
 
-A file holds record batches of two fixed-size lists, ``ids`` (uint32) and ``mask`` (bool), BATCH rows each: the ids of its
-artifacts one after the other, cut every ``length`` tokens, the last row padded with zeros and masked.  Fixed sizes make
+A file holds record batches of two fixed-size lists, ``ids`` (uint16 if the vocabulary fits, else uint32) and ``mask`` (bool),
+BATCH rows each: the ids of its artifacts one after the other, cut every ``length`` tokens, the last row padded with zeros and masked.  Fixed sizes make
 the place of any sequence plain arithmetic, so a reader maps the file and takes rows without copying.  Beside it a
 ``.docs`` file names the artifacts in order: key, start inside the file, number of ids.
 """
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from blockfield.llm.counting import encode
+from blockfield.llm.counting import tokenizer as vocabulary
 from blockfield.llm.shared import partitions, staged
 from blockfield.session import work_dir
 
@@ -30,8 +31,12 @@ def _filesystem(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
-def sequence_schema(length: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.bool_(), length))])
+def id_type(tokenizer: str, end: int) -> str:
+    return "u2" if max(end, *vocabulary(tokenizer).get_vocab(with_added_tokens=True).values()) < 1 << 16 else "u4"
+
+
+def sequence_schema(length: int, kind: str) -> pa.Schema:
+    return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(np.dtype(kind)), length)), ("mask", pa.list_(pa.bool_(), length))])
 
 
 DOCS = pa.schema([("key", pa.int64()), ("start", pa.int64()), ("n", pa.int64())])
@@ -40,13 +45,13 @@ DOCS = pa.schema([("key", pa.int64()), ("start", pa.int64()), ("n", pa.int64())]
 class SequenceWriter:
     """Writes ids of one file in batches; holds at most one batch and one artifact."""
 
-    def __init__(self, folder: str, length: int, end: int):
+    def __init__(self, folder: str, length: int, kind: str):
         self.system, base = _filesystem(folder)
         self.system.create_dir(base, recursive=True)
         self.name = f"{folder}/{uuid.uuid4().hex}.arrow"
-        self.length, self.end, self.tokens, self.held, self.size = length, end, 0, [], 0
+        self.length, self.schema, self.tokens, self.held, self.size = length, sequence_schema(length, kind), 0, [], 0
         self.sink = self.system.open_output_stream(_filesystem(self.name)[1])
-        self.out = pa.ipc.new_file(self.sink, sequence_schema(length))
+        self.out = pa.ipc.new_file(self.sink, self.schema)
         self.index_sink = self.system.open_output_stream(_filesystem(self.name)[1] + ".docs")
         self.index = pa.ipc.new_file(self.index_sink, DOCS)
 
@@ -54,7 +59,7 @@ class SequenceWriter:
         mask = np.zeros(len(ids), bool)
         mask[:real] = True
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(a), self.length) for a in (ids, mask)]
-        self.out.write_batch(pa.RecordBatch.from_arrays(lists, schema=sequence_schema(self.length)))
+        self.out.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
 
     def add(self, ids: np.ndarray) -> None:
         self.held.append(ids)
@@ -75,7 +80,7 @@ class SequenceWriter:
     def close(self) -> None:
         if self.size:
             whole = np.concatenate(self.held)
-            padded = np.zeros(-(-len(whole) // self.length) * self.length, np.uint32)
+            padded = np.zeros(-(-len(whole) // self.length) * self.length, whole.dtype)
             padded[: len(whole)] = whole
             self._rows(padded, len(whole))
         for each in (self.out, self.sink, self.index, self.index_sink):
@@ -92,6 +97,7 @@ def write_token_files(artifacts: DataFrame, tokenizer: str, folder: str = None,
     other columns are not read; an empty table makes no file.
     """
     folder = folder or work_dir(artifacts.sparkSession)
+    kind = id_type(tokenizer, end)
 
     def step(batches):
         out, first, count = None, None, 0
@@ -100,10 +106,10 @@ def write_token_files(artifacts: DataFrame, tokenizer: str, folder: str = None,
             if not keys:
                 continue
             if out is None:
-                out, first = SequenceWriter(folder, length, end), keys[0]
+                out, first = SequenceWriter(folder, length, kind), keys[0]
             counts = []
             for text in texts:
-                ids = np.array(encode(text, tokenizer) + [end], np.uint32)
+                ids = np.array(encode(text, tokenizer) + [end], kind)
                 counts.append(len(ids))
                 out.add(ids)
             out.names(keys, counts)
@@ -149,7 +155,7 @@ def read_artifact_ids(manifest: DataFrame, key: str = "frame_id") -> DataFrame:
                         while at < start + n:
                             if at // size != held:
                                 held = at // size
-                                view = data.get_batch(held).column("ids").flatten().to_numpy().astype("<u4", copy=False).view(np.uint8)
+                                view = data.get_batch(held).column("ids").flatten().to_numpy().astype("<u4").view(np.uint8)
                             stop = min(start + n, (held + 1) * size)
                             crc = zlib.crc32(view[(at - held * size) * 4 : (stop - held * size) * 4], crc)
                             at = stop
