@@ -327,6 +327,27 @@ def _words_bin(s, d):
     return T.unpack_binary(binary.read_words_bin(s, path, 16, ".last")).select("stage", "group", "index", "value", "last", "ordinal")
 
 
+@register("set02_mixed_formats", """SELECT stage, "group", "index", value, CASE WHEN ordinal % 3 > 0 THEN last END AS last, '' AS errors FROM words""")
+def _mixed(s, d):
+    """The trace captured in three formats by ordinal: trace CSV, word CSV and binary words."""
+    rows, path = words(s, d), work_dir(s)
+    I.trace(s, d).where(f"event_id % {I.FRAME_EVENTS} % 3 = 0").select("value", "index", "stage", "group").write.option("header", True).csv(f"{path}/csv")
+    rows.where("ordinal % 3 = 1").select(F.col("last").cast("string").alias("tlast"), F.col("data").cast("string").alias("tdata")).write.option("header", True).csv(f"{path}/words")
+    sinks.write_word_buffers(rows.where("ordinal % 3 = 2"), f"{path}/bin")
+    read = text.read_traces(s, f"{path}/csv", f"{path}/words", f"{path}/bin")
+    return read.select("stage", "group", "index", "value", "last", F.array_join("_errors", ",").alias("errors"))
+
+
+@register("src04_float_images", "SELECT frame_id, x, y, r, g, b FROM pixels")
+def _float_images(s, d):
+    path = work_dir(s)
+    samples = I.pixels(s, d).select("frame_id", "x", "y", *[(F.col(c) / 256).alias(c) for c in "rgb"])
+    sinks.write_pfm(samples, I.frames(s, d), path)
+    read = binary.read_pfm(s, path)
+    frame = F.regexp_extract("file", "frame-([0-9]+)", 1).cast("bigint")
+    return read.select(frame.alias("frame_id"), "x", "y", *[(F.col(c) * 256).cast("bigint").alias(c) for c in "rgb"])
+
+
 @register("snk01_trace_table", 'SELECT frame_id, CAST(stage AS BIGINT) AS stage, "group", "index", value FROM trace')
 def _trace_table(s, d):
     path = work_dir(s)

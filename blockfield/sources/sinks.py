@@ -89,6 +89,42 @@ def write_word_buffers(words: DataFrame, path: str, size: int = 16, last_suffix:
     rows.mapInArrow(store, "words bigint").agg(F.sum("words")).first()
 
 
+def write_pfm(pixels: DataFrame, frames: DataFrame, path: str) -> None:
+    """One little-endian color float image per frame from (frame_id, x, y, r, g, b) and (frame_id, xsize, ysize).
+
+    Rows go bottom up, so a task holds one batch of samples at a time; a frame is one file and hence one task.  Frames must
+    be complete (geometry.rejected_pixels names those that are not).
+    """
+    rows = pixels.join(frames.select("frame_id", "xsize", "ysize"), "frame_id").select(
+        "frame_id", "xsize", "ysize", F.col("y"), F.col("x"), *[F.col(c).cast("float").alias(c) for c in "rgb"])
+    ordered = rows.repartition("frame_id").sortWithinPartitions("frame_id", F.desc("y"), "x")
+
+    def store(batches):
+        import numpy as np
+        import pyarrow as pa
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
+        system.create_dir(base, recursive=True)
+        current, sink = None, None
+        for batch in batches:
+            frames_ = batch.column("frame_id").to_numpy()
+            cuts = [0, *(np.flatnonzero(frames_[1:] != frames_[:-1]) + 1).tolist(), len(frames_)]
+            for s, e in zip(cuts, cuts[1:]):
+                if e > s and frames_[s] != current:
+                    if sink:
+                        sink.close()
+                    current, sink = frames_[s], system.open_output_stream(f"{base}/frame-{frames_[s]:012d}.pfm")
+                    sink.write(f"PF\n{batch.column('xsize')[s]} {batch.column('ysize')[s]}\n-1.0\n".encode())
+                if e > s:
+                    sink.write(np.stack([batch.column(c).to_numpy()[s:e] for c in "rgb"], axis=1).astype("<f4").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["samples"])
+        if sink:
+            sink.close()
+
+    ordered.mapInArrow(store, "samples bigint").agg(F.sum("samples")).first()
+
+
 def run_summary(verdicts: DataFrame) -> DataFrame:
     """(frame_id, summary): the frame's verdicts as one JSON document."""
     entry = F.struct("stream", "verdict", "len_expected", "len_actual", "mismatches")

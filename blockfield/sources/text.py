@@ -117,6 +117,31 @@ def read_words_csv(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("_file", "ordinal", data.alias("data"), last.alias("last"), errors.alias("_errors"))
 
 
+def read_traces(spark: SparkSession, trace_csv: str = None, words_csv: str = None, words_bin: str = None, word_size: int = 16) -> DataFrame:
+    """Trace rows of captures in any mixture of formats: (stage, group, index, value, last, _file, _errors).
+
+    ``last`` is null for trace CSV, which has no such flag.  Rows that do not parse stay, with their reasons.
+    """
+    from blockfield.operators.trace import unpack_binary, unpack_words
+    from blockfield.sources.binary import read_words_bin
+
+    columns, parts = ["stage", "group", "index", "value"], []
+    if trace_csv:
+        parts.append(read_trace_csv(spark, trace_csv).select(*columns, F.lit(None).cast("boolean").alias("last"), "_file", "_errors"))
+    wide = F.when(F.col("oversized"), F.array(F.lit("width"))).otherwise(F.array().cast("array<string>"))
+    if words_csv:
+        parts.append(unpack_words(read_words_csv(spark, words_csv)).select(*columns, "last", "_file", F.concat("_errors", wide).alias("_errors")))
+    if words_bin:
+        rows = unpack_binary(read_words_bin(spark, words_bin, word_size, ".last"))
+        parts.append(rows.select(*columns, "last", F.col("_file") if "_file" in rows.columns else F.lit(words_bin).alias("_file"), wide.alias("_errors")))
+    if not parts:
+        raise ValueError("no input given")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def register_table(spark: SparkSession) -> DataFrame:
     rows = ", ".join(f"('{name}', {address}L)" for name, address in REGISTERS)
     return spark.sql(f"SELECT * FROM VALUES {rows} AS t(register, address)")
