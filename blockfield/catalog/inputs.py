@@ -69,24 +69,35 @@ def embedding_vectors(spark, sf_dir, scale: int) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", "label", v.alias("v"))
 
 
+def _block_place(n) -> list:
+    """Frame and position of a vector's block, from its id and the number of vectors."""
+    full = (F.expr(f"vec_id div {FRAME_BLOCKS}") + 1) * FRAME_BLOCKS <= n
+    block = F.col("vec_id") % FRAME_BLOCKS
+    return [
+        F.expr(f"vec_id div {FRAME_BLOCKS}").alias("frame_id"), lit(0).alias("stripe"), block.alias("block"),
+        F.when(full, block % 5).otherwise(block).alias("bx"),
+        F.when(full, F.expr(f"(vec_id % {FRAME_BLOCKS}) div 5")).otherwise(lit(0)).alias("by"),
+    ]
+
+
+def _vector_count(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").agg(F.count(F.lit(1)).alias("n")).scalar()
+
+
 def embedding_blocks(spark, sf_dir, scale: int = 4096) -> DataFrame:
     """(frame_id, stripe, block, bx, by, vec_id, label, x, y, b): luma is the vector itself, X and B the next two."""
     vectors = embedding_vectors(spark, sf_dir, scale)
-    total = table(spark, sf_dir, "embeddings").count()
-    luma = vectors.select("vec_id", "label", F.col("v").alias("y"), lit(total).alias("n"))
+    luma = vectors.select("vec_id", "label", F.col("v").alias("y")).withColumn("n", _vector_count(spark, sf_dir))
     x = vectors.select(F.col("vec_id").alias("_x"), F.col("v").alias("x"))
     b = vectors.select(F.col("vec_id").alias("_b"), F.col("v").alias("b"))
-    joined = luma.join(x, F.col("_x") == (F.col("vec_id") + 1) % F.col("n")).join(
-        b, F.col("_b") == (F.col("vec_id") + 2) % F.col("n")
-    )
-    full = (F.expr(f"vec_id div {FRAME_BLOCKS}") + 1) * FRAME_BLOCKS <= F.col("n")
-    block = F.col("vec_id") % FRAME_BLOCKS
-    return joined.select(
-        F.expr(f"vec_id div {FRAME_BLOCKS}").alias("frame_id"), lit(0).alias("stripe"), block.alias("block"),
-        F.when(full, block % 5).otherwise(block).alias("bx"),
-        F.when(full, F.expr(f"(vec_id % {FRAME_BLOCKS}) div 5")).otherwise(lit(0)).alias("by"),
-        "vec_id", "label", "x", "y", "b",
-    )
+    joined = luma.withColumns({"_x": (F.col("vec_id") + 1) % F.col("n"), "_b": (F.col("vec_id") + 2) % F.col("n")}).join(x, "_x").join(b, "_b")
+    return joined.select(*_block_place(F.col("n")), "vec_id", "label", "x", "y", "b")
+
+
+def block_keys(spark, sf_dir) -> DataFrame:
+    """(frame_id, stripe, block, bx, by, vec_id) of all blocks, without their samples."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id").withColumn("n", _vector_count(spark, sf_dir))
+    return rows.select(*_block_place(F.col("n")), "vec_id")
 
 
 def block_frames(spark, sf_dir) -> DataFrame:
@@ -112,7 +123,7 @@ def prepared_coefficients(spark, sf_dir) -> DataFrame:
 
 def prepared_params(spark, sf_dir) -> DataFrame:
     frames_ = with_distance(block_frames(spark, sf_dir))
-    blocks = embedding_blocks(spark, sf_dir).select("frame_id", "stripe", "block", "bx", "by", "vec_id")
+    blocks = block_keys(spark, sf_dir)
     quant = F.col("vec_id") % 16 + 1
     return blocks.join(frames_, "frame_id").select(
         "frame_id", "stripe", "block", "bx", "by", lit(0).alias("raw_strategy"), quant.alias("quant"), "scale_q16",
