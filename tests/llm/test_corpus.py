@@ -438,6 +438,16 @@ def test_near_duplicate_passages(artifacts, contents, nothing, group):
     assert passages.near_duplicate_passages(nothing).count() == 0
 
 
+def test_single_passages_are_candidates(spark):
+    """Pairs of single passages at 0.804, by the operator's defaults."""
+    rows = []
+    for k in range(200):
+        w = [f"p{k}w{i}" for i in range(50)]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join([*w[:20], "other", *w[21:]]))]
+    got = passages.near_duplicate_passages(spark.createDataFrame(rows, "frame_id bigint, content string")).collect()
+    assert {r.frame_id: r.class_id for r in got} == {i: i - i % 2 for i, _ in rows}
+
+
 def test_digests_of_kept_bytes(spark):
     df = catalog.QUERIES["op8_suffix_repeats"](spark, "/root/testdata/sf0.001")
     docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()}
