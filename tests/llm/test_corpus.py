@@ -448,6 +448,44 @@ def test_single_passages_are_candidates(spark):
     assert {r.frame_id: r.class_id for r in got} == {i: i - i % 2 for i, _ in rows}
 
 
+def slow_passages(rows, similarity):
+    """{id: (class, places of words in runs of 50 that are similar to a run of another row)}, every run against every run."""
+    runs = {}
+    for i, t in rows:
+        w = t.split(" ")
+        s = [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
+        runs[i] = [set(s[k : k + 46]) for k in range(len(s) - 45)]
+    links, places = [], defaultdict(set)
+    for a, b in ((a, b) for a in runs for b in runs if a < b):
+        for p, q in ((p, q) for p in range(len(runs[a])) for q in range(len(runs[b]))):
+            one, two = runs[a][p], runs[b][q]
+            if len(one & two) >= similarity * len(one | two) - 1e-9:
+                links.append((a, b))
+                places[a].update(range(p, p + 50))
+                places[b].update(range(q, q + 50))
+    label = merge(links, set(runs))
+    return {i: (label[i], places[i]) for i in places}
+
+
+def test_passages_that_are_not_equally_placed(spark):
+    texts = []
+    for k in range(40):
+        w = [f"s{k}w{i}" for i in range(60)]
+        if k % 4 == 0:  # a word put in
+            texts += [w[:50], [*w[:5], "put", *w[5:49]]]
+        elif k % 4 == 1:  # halves swapped
+            texts += [w[:50], w[25:50] + w[:25]]
+        elif k % 4 == 2:  # a word left out, in longer texts
+            texts += [w, w[:30] + w[31:]]
+        else:  # halves swapped, below the similarity
+            texts += [w[:50], w[20:35] + w[:20] + w[35:50]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = passages.near_duplicate_passages(spark.createDataFrame(rows, "frame_id bigint, content string")).collect()
+    want = slow_passages(rows, 0.8)
+    assert {r.frame_id: r.class_id for r in got} == {i: c for i, (c, _) in want.items()} and len(got) == 60
+    assert all(set().union(*(range(p["from"], p["to"] + 1) for p in r.passages)) <= want[r.frame_id][1] for r in got)
+
+
 def test_digests_of_kept_bytes(spark):
     df = catalog.QUERIES["op8_suffix_repeats"](spark, "/root/testdata/sf0.001")
     docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()}
