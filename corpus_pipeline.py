@@ -25,10 +25,14 @@ def quality_rules(spark, docs, sf_dir):
 
 
 def simhash_dedup(spark, docs, sf_dir):
-    """The document with the smallest id of every component stays; of repeated ids all rows stay or go together."""
-    found = simhash.near_duplicate_artifacts(docs, key="doc_id", content="text")
-    kept = found.where(F.col("component_id") == F.col("doc_id")).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["_id"], "left_semi").select(*COLUMNS)
+    """One row of every component stays: that of the smallest id, of its rows the one with the smallest hash of its text and
+    then of the other columns.  Components are those of rows, so repeated ids with different texts are judged each by itself,
+    and a row with a null id stays unless a row with an id or an earlier row is its near copy."""
+    rows = staged(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row")))
+    found = simhash.near_duplicate_artifacts(rows, key="_row", content="text").select("_row", "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", F.xxhash64("text").alias("_text"), F.xxhash64("lang", "source", "n_chars").alias("_rest"), "_row")
+    first = found.join(rows.select("_row", order.alias("_order")), "_row").groupBy("component_id").agg(F.min("_order").alias("_order"))
+    return rows.join(first.select(F.col("_order._row").alias("_row")), "_row", "left_semi").select(*COLUMNS)
 
 
 def suffix_dedup(spark, docs, sf_dir):
@@ -40,12 +44,16 @@ def suffix_dedup(spark, docs, sf_dir):
 
 def mix_sources(spark, docs, sf_dir):
     """Every document as often as the mix takes it, as whole rows: the one document a source whose fractional repetition is
-    only partly taken counts from one half on. Rows of a repeated id are each taken as often as the one taken most."""
-    streams = staged(docs.select(F.col("doc_id").alias("frame_id"), F.col("source").alias("stage"), word_count("text").alias("token_count")))
+    only partly taken counts from one half on. A null id is replaced by a hash of the row in the mix's order. Rows of a
+    repeated id, source and number of words are each taken as often as the one taken most."""
+    row = F.concat_ws(":", F.lit("null"), F.hex(F.xxhash64("text", "lang", "source", "n_chars")))
+    keyed = docs.select(*COLUMNS, F.coalesce(F.col("doc_id").cast("string"), row).alias("_key"), word_count("text").alias("_n"))
+    streams = staged(keyed.select(F.col("_key").alias("frame_id"), F.col("source").alias("stage"), F.col("_n").alias("token_count")))
     mixed = mixing.mix_streams(streams, mixing.cycled_weights(streams))
     more = F.when(F.col("part") * 2 >= F.greatest("token_count", F.lit(1)), 1).otherwise(0)
-    often = mixed.groupBy(F.col("frame_id").alias("_id")).agg(F.max(F.col("repeats") + more).cast("int").alias("_often"))
-    taken = docs.join(often.where("_often > 0"), docs["doc_id"].eqNullSafe(F.col("_id")))
+    often = mixed.groupBy(F.col("frame_id").alias("_id"), F.col("stage").alias("_stage"), F.col("token_count").alias("_tokens")).agg(
+        F.max(F.col("repeats") + more).cast("int").alias("_often"))
+    taken = keyed.join(often.where("_often > 0"), (F.col("_key") == F.col("_id")) & F.col("source").eqNullSafe(F.col("_stage")) & (F.col("_n") == F.col("_tokens")))
     return taken.select(*COLUMNS, F.explode(F.array_repeat(F.lit(0), F.col("_often"))).alias("_copy")).select(*COLUMNS)
 
 

@@ -3,6 +3,7 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline as pipeline
@@ -57,3 +58,31 @@ def test_run_on_an_empty_table(spark, tmp_path):
     spark.read.parquet(f"{SF}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{SF}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
     assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_one_row_of_a_component_stays(spark, stages):
+    """Whole rows repeated, null ids (unique, repeated, copy of a row with an id), and an id repeated with another text."""
+    cut = {r.doc_id: r.text for r in stages[3].collect()}
+    docs = [r for r in stages[2].collect() if len(r.text.encode()) >= 400 and cut[r.doc_id] == r.text][:5]
+    assert len(docs) == 5
+    a, b, c, d, e = [tuple(r) for r in docs]
+    none = lambda r: (None, *r[1:])
+    rows = spark.createDataFrame([a, a, none(b), none(c), none(c), none(a), d, (d[0], *e[1:])], stages[2].schema).repartition(3)
+    want = Counter([a, none(b), none(c), d, (d[0], *e[1:])])
+    got = pipeline.simhash_dedup(spark, rows, SF)
+    assert Counter(map(tuple, got.collect())) == want
+    assert Counter(map(tuple, pipeline.suffix_dedup(spark, got, SF).collect())) == want
+
+
+def test_run_on_repeated_rows_and_null_ids(spark, tmp_path):
+    """Every row twice and every third id null: about the words of one row of each component, with and without ids."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("doc_id", F.when(F.col("doc_id") % 3 != 0, F.col("doc_id")))
+    docs.union(docs).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    good = [r.text for r in pipeline.quality_rules(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).collect()]
+    prints = {t: slow_fingerprint(t) for t in set(good)}
+    label = merge([(a, b) for a, p in prints.items() for b, q in prints.items() if bin(p ^ q).count("1") <= 4], set(prints))
+    words = sum(len(kept.split()) for *_, kept in slow_cut(list(enumerate(set(label.values()))), suffixes.LENGTH))
+    got = pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id is None for r in got} == {True, False}
+    assert abs(sum(r["size"] for r in got) - words) < 0.2 * words
