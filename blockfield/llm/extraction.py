@@ -2,8 +2,8 @@
 
 The project has no records of markup, so this operator is general: pages(page_id, url, html).
 
-A page is read into a tree of elements.  Boilerplate elements (by tag, role or name) and what is not text are left out.  Every
-node gets its characters C, tags T (formatting inside a block does not count), link characters LC and link tags LT; its density is
+A page is read into a tree of elements.  What is not text and boilerplate elements are left out: by tag always, by role, class,
+id or as a form if they do not hold most of the page's text outside links.  Every node gets its characters C, tags T (formatting inside a block does not count), link characters LC and link tags LT; its density is
 C/T * log(C*T / (LC*LT)) to the base ln(C*LC/(C-LC) + C*LCb/Cb + e), b being the body, zero divisors counting as one.  The
 node with the greatest sum of its children's densities leads; of it and the nodes above it, those as dense as the
 sparsest node on the path to the body bound the text: the main text is that of the uppermost node on the path whose own text
@@ -27,11 +27,19 @@ RAW = frozenset("script style textarea title noscript iframe".split())
 BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+#: An element that is left out only if it does not hold most of the page's text: a form may span the page.
+WRAPPER = frozenset(["form"])
+IN_HEAD = frozenset("base link meta title style script noscript template".split())
 CLOSES_P = BLOCK - frozenset("br body html td th tr tbody thead tfoot caption li dd dt".split())
+BOUNDS = BLOCK | DROPPED
+NOT_P = BOUNDS - {"p"}
+LISTS = frozenset("ul ol dl table".split()) | DROPPED
 SAME = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 BOILERPLATE_WORDS = frozenset(
     "ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies disqus footer header masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo related replies respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
 )
+# Words that say where or how large a named part is; a name of these and boilerplate words alone still names boilerplate.
+PLACE_WORDS = frozenset("area bar block bottom box container content item items left link links list main page post posts primary right secondary section site top wrap wrapper".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>?)", re.S)
@@ -41,16 +49,23 @@ PARTS = re.compile(r"[a-z0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parts", "named", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str):
         self.tag, self.parts = tag, []  # parts: text or nodes, in page order
+        self.named = False  # as boilerplate, by a class, an id, a role or a tag that may also be a wrapper
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _boilerplate(tag: str, attributes: str) -> bool:
-    if tag in DROPPED:
+def _boilerplate_name(name: str) -> bool:
+    """Whether one class or id names boilerplate as a whole: 'sidebar' or 'site-header', but not 'has-sidebar' or 'header-image'."""
+    words = PARTS.findall(name)
+    return any(w in BOILERPLATE_WORDS for w in words) and all(w in BOILERPLATE_WORDS or w in PLACE_WORDS or w.isdigit() for w in words)
+
+
+def _named_boilerplate(tag: str, attributes: str) -> bool:
+    if tag in WRAPPER:
         return True
     if "=" in attributes and tag not in ("body", "html", "main", "article"):
         for name, a, b, c in NAMED.findall(attributes):
@@ -58,26 +73,28 @@ def _boilerplate(tag: str, attributes: str) -> bool:
             if name.lower() == "role":
                 if value.strip() in BOILERPLATE_ROLES:
                     return True
-            elif any(w in BOILERPLATE_WORDS for w in PARTS.findall(value)):
+            elif any(map(_boilerplate_name, value.split())):
                 return True
     return False
 
 
 def parse(text: str) -> Node:
-    """Tree of what may be main text; a missing end tag is closed by what cannot stand inside, or by the end of the page."""
+    """Tree of what may be main text; a missing end tag is closed by what cannot stand inside, or by the end of the page.
+
+    Elements that are boilerplate by their tag open and close as all others do, but do not hang on the tree; those named
+    boilerplate are taken off the whole tree.
+    """
     root = Node("body")
     stack = [root]
-    skip = None  # [tag, depth] of a boilerplate element that is open
     at, n = 0, len(text)
     while at < n:
         m = TOKEN.search(text, at)
         if not m:
-            if skip is None and at < n:
-                tail = text[at:]
-                cut = re.search(r"<[a-zA-Z/!?][^>]*\Z", tail)
-                stack[-1].parts.append(tail[: cut.start()] if cut else tail)
+            tail = text[at:]
+            cut = re.search(r"<[a-zA-Z/!?][^>]*\Z", tail)
+            stack[-1].parts.append(tail[: cut.start()] if cut else tail)
             break
-        if m.start() > at and skip is None:
+        if m.start() > at:
             stack[-1].parts.append(text[at : m.start()])
         at = m.end()
         name = m.group(2)
@@ -87,46 +104,59 @@ def parse(text: str) -> Node:
             break
         tag, attributes = name.lower(), m.group(3)
         if m.group(1):
-            if skip is not None:
-                if tag == skip[0]:
-                    skip[1] -= 1
-                    if not skip[1]:
-                        skip = None
-                continue
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
                     del stack[i:]
                     break
-                if tag not in BLOCK and stack[i].tag in BLOCK:  # an inline end tag closes nothing beyond its block
+                if tag not in BOUNDS and stack[i].tag in BOUNDS:  # an inline end tag closes nothing beyond its block
                     break
             continue
         alone = tag in VOID or attributes.endswith("/") and tag not in BLOCK
-        if skip is not None:
-            if tag == skip[0] and not alone:
-                skip[1] += 1
-        elif _boilerplate(tag, attributes):
-            if not alone:
-                skip = [tag, 1]
-                if stack[-1].parts:
-                    stack[-1].parts.append(Node("hr"))
+        if stack[-1].tag == "head" and tag not in IN_HEAD:
+            stack.pop()
+        if tag in CLOSES_P:
+            _close(stack, ("p",), NOT_P)
+        elif tag in SAME:
+            _close(stack, SAME[tag].split(), LISTS)
+        node = Node(tag)
+        if tag in DROPPED and tag not in WRAPPER:
+            if stack[-1].parts and not alone:
+                stack[-1].parts.append(Node("hr"))
         else:
-            if tag in CLOSES_P:
-                _close(stack, ("p",), BLOCK - {"p"})
-            elif tag in SAME:
-                _close(stack, SAME[tag].split(), {"ul", "ol", "dl", "table"})
-            node = Node(tag)
+            node.named = not alone and _named_boilerplate(tag, attributes)
             stack[-1].parts.append(node)
-            if not alone:
-                stack.append(node)
+        if not alone:
+            stack.append(node)
         if tag in RAW and not alone:  # its contents are not markup
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(text, at)
             at = end.end() if end else n
-            if skip is not None and skip[0] == tag:
-                skip[1] -= 1
-                if not skip[1]:
-                    skip = None
-            elif len(stack) > 1 and stack[-1].tag == tag:
-                stack.pop()
+            stack.pop()
+    return _without_named(root)
+
+
+def _without_named(root: Node) -> Node:
+    """Take off the elements named boilerplate, but for those with more than half of the page's text outside links."""
+    order, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        if node.tag != "a":
+            todo += [p for p in node.parts if isinstance(p, Node)]
+    if not any(x.named for x in order):
+        return root
+    for node in reversed(order):
+        if node.tag != "a":
+            node.chars = sum(p.chars if isinstance(p, Node) else len(SPACE.sub("", p)) for p in node.parts)
+    most = root.chars / 2
+    for node in order:
+        parts, node.parts = node.parts, []
+        for p in parts:
+            if not isinstance(p, Node) or not p.named or p.chars > most:
+                node.parts.append(p)
+            elif node.parts:
+                node.parts.append(Node("hr"))
+    for node in order:
+        node.chars = 0
     return root
 
 

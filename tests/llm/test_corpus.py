@@ -373,6 +373,18 @@ def test_main_text():
     assert extraction.main_text("<article><p>" + "long words here " * 20 + "</p></article><!-- open") == ("long words here " * 20).strip()
 
 
+@pytest.mark.parametrize("before,after", [
+    ("<div id='page' class='has-sidebar'>", "</div>"), ("<div class='content no-sidebar'>", "</div>"), ("<div class='site has-header-image'>", "</div>"),
+    ("<form action='/'><input type=hidden>", "</form>"), ("<div class='comment'>", "</div>"), ("<p class='notice'>Ad", ""),
+    ("<ul><li class='share'>Ad</ul>", ""), ("<ul><li class='share'>Ad<li class='share'>Ad</ul>", ""), ("<div><p class='ad'>Ad</div>", ""),
+    ("<div class='sidebar'><p>Ad</div>", ""), ("<head><title>t</title><body>", ""), ("<nav><ul><li>Ad</ul></nav>", ""), ("<header><object><div>Ad</object></header>", ""),
+])
+def test_boilerplate_takes_nothing_else(before, after):
+    want = [f"Paragraph {k} of the article, " + "long words here " * 12 + "end." for k in range(4)]
+    page = f"<html>{before}{''.join('<p>' + p for p in want)}{after}<div class='site-footer'>Foot</div></html>"
+    assert extraction.main_text(page) == "\n".join(want)
+
+
 def test_pages(spark):
     rows = [(1, "u", PAGE, 1), (1, "u", PAGE, 1), (None, None, None, 1), (2, "v", "<nav>x</nav>", 1)]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, text int")
