@@ -209,12 +209,9 @@ def main_node(root: Node) -> Node:
         path.append(above[id(path[-1])])
     least = min(x.density for x in path)
     top = lead
-    for node in path[1:]:
-        rest = Node(node.tag)
-        rest.parts = [p for p in node.parts if p is not top and (not isinstance(p, Node) or p.density >= least)]
-        if not any(isinstance(p, Node) and p.density >= least for p in rest.parts):
-            break
-        top = node
+    for child, node in zip(path, path[1:]):
+        if any(isinstance(p, Node) and p is not child and p.density >= least for p in node.parts):
+            top = node
     return top
 
 

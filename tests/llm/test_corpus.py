@@ -385,6 +385,14 @@ def test_boilerplate_takes_nothing_else(before, after):
     assert extraction.main_text(page) == "\n".join(want)
 
 
+@pytest.mark.parametrize("wrap", ["<div>{}</div>", "<div><div>{}</div></div>", "<section><div><div>{}</div></div></section>"])
+def test_wrapped_sections_all_stay(wrap):
+    parts = [[f"Section {k} paragraph {n} " + "long words here " * 18 + "end." for n in range(3)] for k in range(3)]
+    page = "".join(wrap.format("".join(f"<p>{p}</p>" for p in part)) for part in parts)
+    want = "\n".join(p for part in parts for p in part)
+    assert extraction.main_text(page) == want and extraction.main_text(f"<html><body><main>{page}</main></body></html>") == want
+
+
 def test_pages(spark):
     rows = [(1, "u", PAGE, 1), (1, "u", PAGE, 1), (None, None, None, 1), (2, "v", "<nav>x</nav>", 1)]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, text int")
