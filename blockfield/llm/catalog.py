@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from blockfield.llm import counting, extraction, mixing, packing, passages, quality, simhash, suffixes, token_files, topk
-from blockfield.llm.shared import staged, word_count
+from blockfield.llm import counting, extraction, leaks, merkle, mixing, packing, passages, periods, quality, simhash, suffixes, token_files, topk
+from blockfield.llm.shared import staged, trimmed, word_count
 
 QUERIES, ORACLES = {}, {}
 VOCABULARY = "word_bpe_49k.json"
@@ -113,3 +113,84 @@ def op3(spark, sf_dir):
 @register("op2_near_duplicate_passages")
 def op2(spark, sf_dir):
     return passages.near_duplicate_passages(documents(spark, sf_dir)).withColumnRenamed("frame_id", "doc_id")
+
+
+@register("op11_periodic_runs")
+def op11(spark, sf_dir):
+    """Documents whose checksum ends in 0 get a planted period; then the operator's runs and kept words as digests."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"), word_count("text").alias("n"))
+    rows = rows.withColumn("g", F.floor(F.col("h") / 10)).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    rows = rows.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    own = (F.col("h") % 10 == 0) & (F.col("n") > 0)
+    split = rows.where(own).withColumn("words", F.split(trimmed("text"), "[\\x20\\x09-\\x0D]+"))
+    block = F.slice("words", (F.col("a") + 1).cast("int"), F.col("p").cast("int"))
+    times = F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")
+    tail = F.slice(F.flatten(F.array_repeat(block, times)), F.lit(1), (F.col("n") - F.col("a")).cast("int"))
+    planted = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a").cast("int")), tail), " ")
+    plants = split.select(F.col("doc_id").alias("frame_id"), planted.alias("content"))
+    others = rows.where(~F.coalesce(own, F.lit(False))).select(F.col("doc_id").alias("frame_id"), F.col("text").alias("content"))
+    runs = F.col("runs")
+    longest = F.element_at(F.array_sort(runs, lambda x, y: F.when(x["length"] != y["length"], y["length"] - x["length"]).when(x["start"] != y["start"], x["start"] - y["start"]).otherwise(x["period"] - y["period"]).cast("int")), 1)
+    lines = F.concat_ws("", F.transform(runs, lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))))
+    found = periods.periodic_runs(plants.union(others)).select("frame_id", "kept", lines.alias("lines"), F.size("runs").cast("bigint").alias("n_runs"), F.when(F.size("runs") > 0, longest).alias("top"))
+    return found.select(
+        F.col("frame_id").alias("doc_id"), "n_runs", "top.start", "top.length", "top.period", F.floor(1000 * F.col("top.length") / F.col("top.period")).alias("exponent_milli"),
+        F.sha2(F.col("lines").cast("binary"), 256).alias("runs_sha256"), F.sha2("kept", 256).alias("collapsed_sha256"))
+
+
+def lowered(text: str):
+    """The text with A-Z lower-cased and all else as it is."""
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+@register("op12_merkle_manifest", """
+WITH RECURSIVE f AS (SELECT *, CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(doc_id::VARCHAR) || ':' || doc_id::VARCHAR END
+    || CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END || CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END
+    || CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(n_chars::VARCHAR) || ':' || n_chars::VARCHAR END AS head,
+  translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+  xor(4294967295, list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT), lambda crc, b:
+    list_reduce(range(8), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(crc, b)), 4294967295)) AS h FROM documents),
+d AS (SELECT doc_id, lang, sha256(head || CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END) AS leaf,
+  CASE WHEN h % 3 = 0 THEN sha256(head || CASE WHEN low IS NULL THEN '-' ELSE strlen(low) || ':' || low END) END AS tampered,
+  row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS p, count(*) OVER (PARTITION BY lang) AS n FROM f),
+t(l, lang, p, n, d) AS (SELECT 0, lang, p, n, leaf FROM d
+  UNION ALL SELECT l + 1, lang, p // 8, (n + 7) // 8, sha256(string_agg(d, '' ORDER BY p)) FROM t WHERE n > 1 GROUP BY l, lang, p // 8, n),
+s AS (SELECT lang, d AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS p, count(*) OVER () AS n FROM t WHERE n = 1),
+r(l, p, n, d) AS (SELECT 0, p, n, subroot FROM s UNION ALL SELECT l + 1, p // 8, (n + 7) // 8, sha256(string_agg(d, '' ORDER BY p)) FROM r WHERE n > 1 GROUP BY l, p // 8, n),
+a(l, doc_id, lang, p, acc, proof) AS (SELECT 0, doc_id, lang, p, coalesce(tampered, leaf), '' FROM d
+  UNION ALL SELECT a.l + 1, a.doc_id, a.lang, a.p // 8, sha256(string_agg(CASE WHEN t.p = a.p THEN a.acc ELSE t.d END, '' ORDER BY t.p)),
+    a.proof || coalesce(string_agg(t.d, '' ORDER BY t.p) FILTER (WHERE t.p <> a.p), '')
+  FROM a JOIN t ON t.l = a.l AND t.lang IS NOT DISTINCT FROM a.lang AND t.p // 8 = a.p // 8 WHERE t.n > 1 GROUP BY a.l, a.doc_id, a.lang, a.p, a.acc, a.proof),
+b(l, doc_id, p, acc, proof) AS (SELECT 0, a.doc_id, s.p, a.acc, a.proof FROM (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY l DESC) = 1) a
+    JOIN s ON s.lang IS NOT DISTINCT FROM a.lang
+  UNION ALL SELECT b.l + 1, b.doc_id, b.p // 8, sha256(string_agg(CASE WHEN r.p = b.p THEN b.acc ELSE r.d END, '' ORDER BY r.p)),
+    b.proof || coalesce(string_agg(r.d, '' ORDER BY r.p) FILTER (WHERE r.p <> b.p), '')
+  FROM b JOIN r ON r.l = b.l AND r.p // 8 = b.p // 8 WHERE r.n > 1 GROUP BY b.l, b.doc_id, b.p, b.acc, b.proof)
+SELECT d.doc_id, d.leaf, s.subroot, r.d AS root, sha256(e.proof) AS proof_sha256, e.acc AS folded_root, e.acc = r.d AS verified
+FROM d JOIN s ON s.lang IS NOT DISTINCT FROM d.lang JOIN (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY l DESC) = 1) e USING (doc_id), (SELECT d FROM r WHERE n = 1) r""")
+def op12(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    records = docs.select(F.col("doc_id").alias("frame_id"), F.col("lang").alias("artifact"), "source", "n_chars", F.col("text").alias("content"))
+    seen = F.when(F.crc32(F.col("frame_id").cast("string").cast("binary")) % 3 == 0, merkle.leaf_digest("frame_id", "source", "artifact", "n_chars", lowered("content")))
+    manifest = merkle.merkle_manifest(records.withColumn("seen", seen), ("frame_id", "source", "artifact", "n_chars", "content"), carry=("seen",))
+    folded = manifest.select(F.col("frame_id").alias("doc_id"), "leaf", "subroot", "root", merkle.proof_digest("path").alias("proof_sha256"),
+                             merkle.folded_root("path", F.coalesce("seen", "leaf")).alias("folded_root"))
+    return folded.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@register("op13_fixture_leaks", """
+WITH b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+i AS (SELECT DISTINCT item_id, m, array_to_string(w[p + 1 : p + m], ' ') AS x FROM (SELECT item_id, w, least(len(w), 10) AS m, unnest(range(0, len(w) - least(len(w), 10) + 1)) AS p FROM b WHERE len(w) > 0)),
+o AS (SELECT doc_id, p, m, array_to_string(w[p + 1 : p + m], ' ') AS x FROM (SELECT doc_id, w, m, unnest(range(0, len(w) - m + 1)) AS p FROM d, (SELECT DISTINCT m FROM i) WHERE len(w) >= m)),
+h AS (SELECT o.doc_id, o.p, o.m, i.item_id FROM o JOIN i USING (m, x)),
+c AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(p, p + m)) AS at FROM h) GROUP BY doc_id),
+g AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM h) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN g USING (doc_id)""")
+def op13(spark, sf_dir):
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("frame_id"), F.col("text").alias("content"))
+    leaked = leaks.fixture_leaks(documents(spark, sf_dir), items)
+    return leaked.select(
+        F.col("frame_id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
