@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from blockfield.llm.shared import staged, word_count
+
 MAX_EPOCHS = 3
 SEED = 42
 #: Seeded order inside a stage: first this many buckets of the hash, then the hash itself.
@@ -82,3 +84,20 @@ def cycled_weights(streams: DataFrame, stage: str = "stage", cycle: tuple = (1,
     place = F.row_number().over(Window.orderBy(F.col("stage").asc_nulls_last())) - 1
     return streams.select(F.col(stage).alias("stage")).distinct().select(
         "stage", F.element_at(F.lit(list(cycle)), (place % len(cycle) + 1).cast("int")).cast("bigint").alias("weight"))
+
+
+def repeated_rows(artifacts: DataFrame, key: str = "frame_id", content: str = "content", group: str = "stage") -> DataFrame:
+    """Artifacts as often as the mix of their words to cycled weights takes them, as whole rows.
+
+    The one artifact a group whose fractional repetition is only partly taken counts from one half of its words on.  Rows are
+    told apart by key and a hash of all columns; rows equal in all columns are each taken as often as the one taken most.
+    """
+    columns = artifacts.columns
+    row = F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("null")), F.hex(F.xxhash64(*columns)))
+    keyed = artifacts.select("*", row.alias("_key"), word_count(content).alias("_n"))
+    streams = staged(keyed.select(F.col("_key").alias("frame_id"), F.col(group).alias("stage"), F.col("_n").alias("token_count")))
+    mixed = mix_streams(streams, cycled_weights(streams))
+    more = F.when(F.col("part") * 2 >= F.greatest("token_count", F.lit(1)), 1).otherwise(0)
+    often = mixed.groupBy(F.col("frame_id").alias("_id")).agg(F.max(F.col("repeats") + more).cast("int").alias("_often"))
+    taken = keyed.join(often.where("_often > 0"), F.col("_key") == F.col("_id"))
+    return taken.select(*columns, F.explode(F.array_repeat(F.lit(0), F.col("_often"))).alias("_copy")).select(*columns)

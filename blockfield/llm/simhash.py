@@ -199,3 +199,14 @@ def near_duplicate_artifacts(artifacts: DataFrame, key: str = "frame_id", conten
     return prints.join(by_code, "fingerprint", "left").select(
         F.col("_key").alias(key), F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def one_of_each_component(artifacts: DataFrame, key: str = "frame_id", content: str = "content") -> DataFrame:
+    """One row of every component, whole: of its rows that with the smallest key (null last), then the smallest hash of its
+    content and of all columns.  Components are those of rows, so repeated keys with different contents are judged apart."""
+    columns = artifacts.columns
+    rows = staged(artifacts.select("*", F.monotonically_increasing_id().alias("_row")))
+    found = near_duplicate_artifacts(rows, key="_row", content=content).select("_row", "component_id")
+    order = F.struct(F.col(key).isNull().alias("_none"), key, F.xxhash64(content).alias("_content"), F.xxhash64(*columns).alias("_rest"), "_row")
+    first = found.join(rows.select("_row", order.alias("_order")), "_row").groupBy("component_id").agg(F.min("_order").alias("_order"))
+    return rows.join(first.select(F.col("_order._row").alias("_row")), "_row", "left_semi").select(*columns)

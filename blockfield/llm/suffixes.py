@@ -7,6 +7,7 @@ comparison finds the common extension of two suffixes by binary search over pref
 neighbours that agree over the whole length are verified byte by byte.
 """
 
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -23,9 +24,10 @@ GRAM = 64
 #: Bytes hashed at once; longer artifacts are cut into pieces that overlap by length - 1.
 PIECE = 1 << 19
 #: Surroundings of one anchor that are sorted in one place; larger groups go through window rows.
-GROUP = 4096
+GROUP = 1024
 BASE = 0x9E3779B97F4A7C15 | 1
 LOW = np.uint64((1 << 20) - 1)
+WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 HASHES = "key bigint, ctx bigint, frame_id bigint, whole bigint, at bigint, lo int, hi int"
 
 
@@ -266,8 +268,10 @@ def repeated_spans(artifacts: DataFrame, length: int = LENGTH, gram: int = GRAM,
     reps = around.where("kinds > 1").select("key", "ctx", "lo", "hi", "n", "kinds", "rep.*").select(
         "key", "ctx", "lo", "hi", "n", "kinds", F.col("frame_id").alias("_f"), F.col("whole").alias("_w"),
         start.alias("_from"), (F.col("lo") - F.col("hi") + length).alias("_size"))
-    open_ = staged(artifacts.join(reps, F.col("frame_id").eqNullSafe(F.col("_f")) & (F.col("whole") == F.col("_w"))).select(
-        "key", "ctx", "lo", "hi", "n", "kinds", bytes_.alias("bytes")))
+    # repeated rows of one id meet the same surroundings: one of each goes on, in the join's own partitions
+    met = artifacts.join(reps, F.col("frame_id").eqNullSafe(F.col("_f")) & (F.col("whole") == F.col("_w"))).select(
+        "_f", "_w", "key", "ctx", "lo", "hi", "n", "kinds", bytes_.alias("bytes"))
+    open_ = staged(met.dropDuplicates(["_f", "_w", "key", "ctx", "lo", "hi"]).drop("_f", "_w"))
     small = sorted_runs(open_.where(F.col("kinds") <= group), ["key"]).mapInArrow(_sorted_groups(length), FOUND)
     windows = open_.where(F.col("kinds") > group).mapInArrow(_window_rows(length), "key bigint, ctx bigint, o int, print binary")
     again = windows.groupBy("key", "o", "print").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
@@ -302,14 +306,30 @@ def _whole_chars(content: bytes, cut: list[tuple[int, int]]) -> list[tuple[int,
     return merged(out)
 
 
-def _kept(chars: bool):
+def whole_words(content: bytes, cut: list[tuple[int, int]], words: int) -> list[tuple[int, int]]:
+    """The cuts from their first whole word to the end of their last, where they hold ``words`` or more."""
+    out = []
+    for s, e in cut:
+        inside = [m.span() for m in WORDS.finditer(content, s, e)]
+        if inside and s and not content[s - 1 : s].isspace() and inside[0][0] == s:
+            del inside[0]
+        if inside and e < len(content) and not content[e : e + 1].isspace() and inside[-1][1] == e:
+            del inside[-1]
+        if len(inside) >= words:
+            out.append((inside[0][0], inside[-1][1]))
+    return out
+
+
+def _kept(chars: bool, words: int):
     def step(batches):
         for batch in batches:
             contents = batch.column("content").to_pylist()
             kept, removed, count = [], [], []
             for content, spans in zip(contents, batch.column("spans").to_pylist()):
                 cut = merged([(s["from"], s["to"]) for s in spans or []])
-                if chars:
+                if words:
+                    cut = whole_words(content, cut, words)
+                elif chars:
                     cut = _whole_chars(content, cut)
                 edges = [0, *(x for c in cut for x in c), len(content)]
                 kept.append(b"".join(content[s:e] for s, e in zip(edges[::2], edges[1::2])) if cut else content)
@@ -324,13 +344,13 @@ def _kept(chars: bool):
 
 
 def remove_repeats(artifacts: DataFrame, key: str = "frame_id", content: str = "content", length: int = LENGTH, gram: int = GRAM,
-                   group: int = GROUP, carry: tuple = (), chars: bool = False) -> DataFrame:
+                   group: int = GROUP, carry: tuple = (), chars: bool = False, words: int = 0) -> DataFrame:
     """Artifacts without the bytes that a ``length``-byte string starting elsewhere also covers.
 
     Returns (key, n_bytes, n_removed, n_spans, kept BINARY, *carry) per row: content counts as UTF-8 bytes, null as empty;
     strings never cross artifacts; every occurrence of a repeated string is cut, and strings are judged on the input.
-    ``chars`` widens a cut so that no character stays in part, and ``kept`` is text.  Artifacts shorter than ``length``
-    stay whole.  Repeated rows are copies of each other and are all cut; rows with a null key take part.  Columns other
+    ``chars`` widens a cut so that no character stays in part, and ``kept`` is text.  With ``words``,
+    cuts are of whole words, and those of fewer stay.  Artifacts shorter than ``length`` stay whole.  Repeated rows are copies of each other and are all cut; rows with a null key take part.  Columns other
     than ``carry`` are not read; an empty table gives an empty one.
     """
     held = F.struct(*[F.col(c) for c in carry]) if carry else F.struct(F.lit(0).alias("_none"))
@@ -338,6 +358,6 @@ def remove_repeats(artifacts: DataFrame, key: str = "frame_id", content: str = "
     spans = repeated_spans(rows.drop("_carry"), length, gram, group).select(F.col("frame_id").alias("_f"), F.col("whole").alias("_w"), "spans")
     both = rows.join(spans, F.col("frame_id").eqNullSafe(F.col("_f")) & (F.col("whole") == F.col("_w")), "left").select("frame_id", "_carry", "content", "spans")
     counts = [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")]
-    out = both.mapInArrow(_kept(chars), T.StructType([*both.schema.fields[:2], *counts, T.StructField("kept", T.BinaryType())]))
+    out = both.mapInArrow(_kept(chars, words), T.StructType([*both.schema.fields[:2], *counts, T.StructField("kept", T.BinaryType())]))
     text = F.col("kept").cast("string") if chars else F.col("kept")
     return out.select(F.col("frame_id").alias(key), "n_bytes", "n_removed", "n_spans", text.alias("kept"), *[F.col(f"_carry.{c}") for c in carry])
