@@ -12,11 +12,14 @@ from blockfield.llm import catalog, mixing, packing, quality, simhash, suffixes
 from blockfield.llm.shared import staged, word_count
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A passage worth cutting has more than 50 words; 51 words of prose are hardly ever shorter than this many bytes.
+PASSAGE_BYTES, PASSAGE_WORDS = 256, 51
 ORACLE_SQL = None
 
 
 def quality_rules(spark, docs, sf_dir):
-    """Rejected documents go. Corpus statistics are those of the documents given. The verdicts are written before they are
+    """Rejected documents go; a null text has no words and is rejected, repeated rows are judged alike and null ids by their
+    text, as untrusted. Corpus statistics are those of the documents given. The verdicts are written before they are
     used: as a filter, their long expressions would be copied into each other."""
     rows = docs.select(*COLUMNS)
     ratios = quality.bucket_ratios(rows, catalog.trusted(spark, sf_dir).withColumnRenamed("frame_id", "doc_id"), key="doc_id", content="text")
@@ -28,37 +31,27 @@ def simhash_dedup(spark, docs, sf_dir):
     """One row of every component stays: that of the smallest id, of its rows the one with the smallest hash of its text and
     then of the other columns.  Components are those of rows, so repeated ids with different texts are judged each by itself,
     and a row with a null id stays unless a row with an id or an earlier row is its near copy."""
-    rows = staged(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row")))
-    found = simhash.near_duplicate_artifacts(rows, key="_row", content="text").select("_row", "component_id")
-    order = F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", F.xxhash64("text").alias("_text"), F.xxhash64("lang", "source", "n_chars").alias("_rest"), "_row")
-    first = found.join(rows.select("_row", order.alias("_order")), "_row").groupBy("component_id").agg(F.min("_order").alias("_order"))
-    return rows.join(first.select(F.col("_order._row").alias("_row")), "_row", "left_semi").select(*COLUMNS)
+    return simhash.one_of_each_component(docs.select(*COLUMNS), key="doc_id", content="text")
 
 
 def suffix_dedup(spark, docs, sf_dir):
-    """Byte strings of 400 that repeat are cut, with a character that a cut would split; n_chars follows. All rows stay."""
-    cut = suffixes.remove_repeats(docs.select(*COLUMNS), key="doc_id", content="text", carry=("lang", "source", "n_chars"), chars=True)
+    """Passages of more than 50 words that repeat are cut, all occurrences: byte strings of PASSAGE_BYTES that repeat, where
+    together they hold PASSAGE_WORDS whole words, from the first of these to the last. n_chars follows. All rows stay."""
+    cut = suffixes.remove_repeats(docs.select(*COLUMNS), key="doc_id", content="text", length=PASSAGE_BYTES, words=PASSAGE_WORDS, carry=("lang", "source", "n_chars"), chars=True)
     chars = F.when(F.col("n_removed") > 0, F.length("kept").cast("bigint")).otherwise(F.col("n_chars"))
     return cut.select("doc_id", F.col("kept").alias("text"), "lang", "source", chars.alias("n_chars"))
 
 
 def mix_sources(spark, docs, sf_dir):
     """Every document as often as the mix takes it, as whole rows: the one document a source whose fractional repetition is
-    only partly taken counts from one half on. A null id is replaced by a hash of the row in the mix's order. Rows of a
-    repeated id, source and number of words are each taken as often as the one taken most."""
-    row = F.concat_ws(":", F.lit("null"), F.hex(F.xxhash64("text", "lang", "source", "n_chars")))
-    keyed = docs.select(*COLUMNS, F.coalesce(F.col("doc_id").cast("string"), row).alias("_key"), word_count("text").alias("_n"))
-    streams = staged(keyed.select(F.col("_key").alias("frame_id"), F.col("source").alias("stage"), F.col("_n").alias("token_count")))
-    mixed = mixing.mix_streams(streams, mixing.cycled_weights(streams))
-    more = F.when(F.col("part") * 2 >= F.greatest("token_count", F.lit(1)), 1).otherwise(0)
-    often = mixed.groupBy(F.col("frame_id").alias("_id"), F.col("stage").alias("_stage"), F.col("token_count").alias("_tokens")).agg(
-        F.max(F.col("repeats") + more).cast("int").alias("_often"))
-    taken = keyed.join(often.where("_often > 0"), (F.col("_key") == F.col("_id")) & F.col("source").eqNullSafe(F.col("_stage")) & (F.col("_n") == F.col("_tokens")))
-    return taken.select(*COLUMNS, F.explode(F.array_repeat(F.lit(0), F.col("_often"))).alias("_copy")).select(*COLUMNS)
+    only partly taken counts from one half on. Rows are told apart by id and a hash of their columns; rows that are equal in
+    all columns are each taken as often as the one taken most."""
+    return mixing.repeated_rows(docs.select(*COLUMNS), key="doc_id", content="text", group="source")
 
 
 def best_fit(spark, docs, sf_dir):
-    """Places of the documents' words in sequences: one row per piece."""
+    """Places of the documents' words in sequences: one row per piece. Every row is packed, also repeated ones, those with a
+    null id and those the suffix stage left without words."""
     streams = docs.select(F.col("doc_id").alias("frame_id"), word_count("text").alias("token_count"))
     return packing.pack_streams(staged(streams)).withColumnRenamed("frame_id", "doc_id")
 
