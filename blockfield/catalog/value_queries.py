@@ -203,13 +203,17 @@ register("flt05_job_rejects", f"""SELECT frame_id, 'overflow' AS rule, xsize ||
         I.pixels(s, d).withColumn("x", F.when(F.expr(_MOVED), F.col("x") + 1000).otherwise(F.col("x"))),
         I.frames(s, d).withColumn("ysize", F.when(F.col("frame_id") % 6 == 4, lit(0)).otherwise(F.col("ysize"))))
 )
-register("flt06_value_ranges", """SELECT event_id, CASE WHEN user_id < 20 THEN 'negative_context' ELSE 'negative_value' END AS rule
-  FROM ev WHERE user_id < 20 OR v < 300""")(lambda s, d: _value_ranges(s, d))
+register("flt06_value_ranges", """SELECT event_id, unnest(list_filter([CASE WHEN w % 1000 < 100 THEN 'negative_ordinal' END, CASE WHEN user_id < 20 AND user_id % 10 <> 9 THEN 'negative_context' END,
+  CASE WHEN v < 300 THEN 'negative_value' END, CASE WHEN user_id % 10 = 9 THEN 'context_range' END, CASE WHEN w % 7 = 3 AND v >= 300 THEN 'value_range' END], lambda x: x IS NOT NULL)) AS rule FROM ev""")(lambda s, d: _value_ranges(s, d))
 
 
 def _value_ranges(s, d):
-    rows = ev(s, d).select("event_id", (U() - 20).alias("index"), (V() - 300).alias("value"))
-    return rows.select("event_id", F.try_element_at(T.token_errors(), F.lit(1)).alias("rule")).where(F.col("rule").isNotNull())
+    """Token rows with fields out of range on either side, each with all of its reasons."""
+    wide = lit(1 << 32)
+    index = F.when(U() % 10 == 9, U() + wide).otherwise(U() - 20)
+    value = F.when((W() % 7 == 3) & (V() >= 300), V() + wide).otherwise(V() - 300)
+    rows = ev(s, d).select("event_id", (W() % 1000 - 100).alias("group"), index.alias("index"), value.alias("value"))
+    return rows.select("event_id", F.explode(T.token_errors()).alias("rule"))
 
 
 register("flt07_complete_regions", """SELECT frame_id, brow * xb + bcol AS block, bcol // 2 AS rx, brow // 2 AS ry FROM (

@@ -163,23 +163,32 @@ def extract_grid(trace: DataFrame, stage: str, frames: DataFrame, kind: str = "b
     return rows.where(F.col("rule").isNull()).select("frame_id", "index", "value"), rejects.unionByName(copies)
 
 
+BLOCK_SLOTS = 198
+
+
 def assemble_quantized_blocks(trace: DataFrame, frames: DataFrame) -> DataFrame:
-    """One row per block: dc and num_nonzeros arrays (X, Y, B), quantized 3 x 64, and the reasons a block is unusable."""
+    """One row per block: dc and num_nonzeros arrays (X, Y, B), quantized 3 x 64, and the reasons a block is unusable.
+
+    A block has 192 coefficient, 3 dc and 3 count slots.  Slots are counted before a block's row is built, so however often a
+    slot is repeated, a row holds at most 198 entries.
+    """
     stage = {n: lit(C.STAGES[n]) for n in ("QuantizedAc", "QuantDc", "NumNonzeros")}
     is_ac, is_dc, is_nz = ((F.col("stage") == stage[n]) for n in ("QuantizedAc", "QuantDc", "NumNonzeros"))
-    entries = trace.where(F.col("stage").isin([C.STAGES[n] for n in stage])).withColumn(
-        "_slot", F.when(is_ac, F.col("index")).when(is_dc, F.col("index") + 192).otherwise(F.col("index") + 195)
-    ).withColumn("_bad", F.when(is_ac, ~F.col("index").between(0, 191)).otherwise(~F.col("index").between(0, 2))
-                 | (is_nz & ~F.col("value").between(0, 63)) | ~F.col("value").between(-(1 << 31), (1 << 31) - 1))
+    slot = F.when(is_ac, F.col("index")).when(is_dc, F.col("index") + 192).otherwise(F.col("index") + 195)
+    bad = (F.when(is_ac, ~F.col("index").between(0, 191)).otherwise(~F.col("index").between(0, 2))
+           | (is_nz & ~F.col("value").between(0, 63)) | ~F.col("value").between(-(1 << 31), (1 << 31) - 1))
+    entries = trace.where(F.col("stage").isin([C.STAGES[n] for n in stage])).withColumn("_slot", F.when(~bad, slot))
+    slots = entries.groupBy("frame_id", "group", "_slot").agg(F.count(F.lit(1)).alias("_n"), F.min("value").alias("value"))
     domain = constant_grid(frames, lit(0)).select("frame_id", F.col("index").alias("group"), F.lit(True).alias("_inside"))
-    good = ~F.col("_bad")
-    blocks = entries.groupBy("frame_id", "group").agg(
-        F.array_sort(F.collect_list(F.when(good, F.struct("_slot", "value")))).alias("_all"),
-        F.count_if("_bad").alias("_out"),
-        (F.count_if(good) - F.count_distinct(F.when(good, F.col("_slot")))).alias("_copies"),
-        *[F.count_if(good & is_ac & (F.col("value") != 0) & (F.col("index") % 64 != 0) & (int_div(F.col("index"), 64) == ch)).alias(f"_nz{ch}") for ch in range(3)],
+    held = F.col("_slot").isNotNull()
+    nonzero = held & (F.col("_slot") < 192) & (F.col("value") != 0) & (F.col("_slot") % 64 != 0)
+    blocks = slots.groupBy("frame_id", "group").agg(
+        F.array_sort(F.collect_list(F.when(held, F.struct("_slot", "value")))).alias("_all"),
+        F.coalesce(F.sum(F.when(~held, F.col("_n"))), lit(0)).alias("_out"),
+        F.coalesce(F.sum(F.when(held, F.col("_n") - 1)), lit(0)).alias("_copies"),
+        *[F.count_if(nonzero & (int_div(F.col("_slot"), 64) == ch)).alias(f"_nz{ch}") for ch in range(3)],
     ).join(domain, ["frame_id", "group"], "full_outer")
-    complete = (F.size("_all") == 198) & (F.col("_copies") == 0)
+    complete = (F.size("_all") == BLOCK_SLOTS) & (F.col("_copies") == 0)
     part = lambda start, n: F.when(complete, F.transform(F.slice("_all", start, n), lambda e: e["value"]))
     blocks = blocks.select(
         "frame_id", F.col("group").alias("block"), part(193, 3).alias("dc"), part(196, 3).alias("num_nonzeros"),
@@ -189,7 +198,7 @@ def assemble_quantized_blocks(trace: DataFrame, frames: DataFrame) -> DataFrame:
     errors = F.array_compact(F.array(
         F.when(F.col("_inside").isNull(), F.lit("block_range")), F.when(F.col("_all").isNull(), F.lit("missing_block")),
         F.when(F.col("_out") > 0, F.lit("value_range")), F.when(F.col("_copies") > 0, F.lit("duplicate")),
-        F.when((F.size("_all") < 198) & (F.col("_copies") == 0), F.lit("missing_slot")),
+        F.when((F.size("_all") < BLOCK_SLOTS) & (F.col("_copies") == 0), F.lit("missing_slot")),
         F.when(F.col("num_nonzeros") != F.col("_counted"), F.lit("nonzero_count")),
     ))
     return blocks.select("frame_id", "block", "dc", "num_nonzeros", "quantized", errors.alias("errors"))
