@@ -8,7 +8,7 @@ from blockfield.catalog import inputs as I
 from blockfield.catalog import sql as S
 from blockfield.catalog import trace_queries as TQ
 from blockfield.catalog.base import register
-from blockfield.functions.fixed import lit
+from blockfield.functions.fixed import int_div, lit
 from blockfield.operators import geometry as G
 from blockfield.operators import tokens
 from blockfield.operators.params import literal_table
@@ -133,24 +133,24 @@ def _snapshots(s, d):
 
     A clear row at the start of each frame keeps the sticky error inside its own frame.
     """
-    events = TQ.source_events(s, d).withColumn("seq", F.col("seq") * 4 + 3)
-    event = F.floor((F.col("seq") - 3) / 4)
-    frame = F.floor(event % TQ.SOURCE_EVENTS / 40)
-    heads = events.where(event % 40 == 0)
+    events = TQ.source_events(s, d)
+    frame = int_div(F.col("seq"), 40)
+    heads = events.where(F.col("seq") % 40 == 0)
     control = heads.withColumn("distance_q8", 64 + frame).withColumn(
         "expected_words", F.when(frame % 7 == 3, lit(41)).otherwise(lit(40))
-    ).withColumn("kind", lit(stream.CONTROL)).withColumn("seq", F.col("seq") - 2)
-    clear = heads.withColumn("seq", F.col("seq") - 1).withColumn("kind", lit(stream.CLEAR))
-    rows = events.unionByName(control).unionByName(clear)
-    out = TQ._run_stream(stream.delimit_frames(TQ._ordered_stream(s, rows)), "config_snapshots")
+    ).withColumn("kind", lit(stream.CONTROL)).withColumn("seq", frame * 42)
+    clear = heads.withColumn("seq", frame * 42 + 1).withColumn("kind", lit(stream.CLEAR))
+    rows = events.withColumn("seq", F.col("seq") + 2 * frame + 2).unionByName(control).unionByName(clear)
+    out = TQ._run_stream(stream.delimit_frames(TQ._source_stream(s, rows, TQ.SLICES), lateness=TQ.SPREAD)).where("outcome IS NULL")
     return out.groupBy("source", "frame", "distance_q8").agg(F.bool_or("protocol_error").alias("protocol_error"))
 
 
 @register("str04_sticky_error", """SELECT event_id // 2000 AS source, count(*) AS words, count(*) FILTER (event_id % 2000 >= 39) AS flagged FROM trace GROUP BY ALL""")
 def _sticky(s, d):
     """One early configuration expects 50 words while frames have 40: from the first early last on, every word is flagged."""
-    events = TQ.source_events(s, d).withColumn("seq", F.col("seq") * 2 + 1)
-    first = events.where(F.floor(F.col("seq") / 2) % TQ.SOURCE_EVENTS == 0).withColumn("seq", F.col("seq") - 1).withColumn("kind", lit(stream.CONTROL)).withColumn("expected_words", lit(50))
-    out = TQ._run_stream(stream.delimit_frames(TQ._ordered_stream(s, events.unionByName(first))), "sticky_errors")
+    events = TQ.source_events(s, d)
+    first = events.where("seq = 0").withColumn("kind", lit(stream.CONTROL)).withColumn("expected_words", lit(50))
+    rows = events.withColumn("seq", F.col("seq") + 1).unionByName(first)
+    out = TQ._run_stream(stream.delimit_frames(TQ._source_stream(s, rows, TQ.SLICES), lateness=TQ.SPREAD)).where("outcome IS NULL")
     return out.groupBy("source").agg(F.count(F.lit(1)).alias("words"), F.count_if("protocol_error").alias("flagged"))
 

@@ -1,5 +1,6 @@
 """Captured traces, comparison, audits, sources, sinks and streams on the traces derived from events."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from blockfield.catalog import inputs as I
@@ -14,6 +15,7 @@ from blockfield.operators import trace as T
 from blockfield.operators.params import literal_table
 from blockfield.session import work_dir
 from blockfield.sources import binary, sinks, text
+from blockfield.streaming.frames import assemble_blocks, beat_gaps, check_ownership, delimit_frames, running_counts
 
 TRACE = ["frame_id", "stage", "group", "index", "value"]
 CTES["tokens_e"] = 'SELECT frame_id, stage AS stream, "group" AS ordinal, "index" AS context, value FROM trace'
@@ -404,16 +406,23 @@ def _synthetic(s, d):
 # ---- streams --------------------------------------------------------------------------------------------------
 
 
-def _run_stream(df, name, mode="append"):
-    """Drain a file stream into a table in the shared folder; a complete result (counts per window) into a memory table."""
-    if mode == "append":
-        path = work_dir(df.sparkSession)
-        query = df.writeStream.format("parquet").option("checkpointLocation", path + "-log").outputMode(mode).trigger(availableNow=True).start(path)
-        query.awaitTermination()
-        return df.sparkSession.read.schema(df.schema).parquet(path)
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def _run_stream(df):
+    """Drain a file stream into a table in the shared folder."""
+    path = work_dir(df.sparkSession)
+    query = df.writeStream.format("parquet").option("checkpointLocation", path + "-log").outputMode("append").trigger(availableNow=True).start(path)
     query.awaitTermination()
-    return df.sparkSession.table(name)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _merged_stream(df, keys, mode="update"):
+    """Drain a stream of windows that grow into a versioned table in the shared folder, and read its last versions."""
+    from blockfield.streaming.tables import VersionedTable
+
+    path = work_dir(df.sparkSession)
+    table = VersionedTable(path, keys, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema))
+    query = df.writeStream.foreachBatch(table.merge).option("checkpointLocation", path + "-log").outputMode(mode).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return table.read(df.sparkSession)
 
 
 def stream_of(s, rows, files=4):
@@ -422,78 +431,101 @@ def stream_of(s, rows, files=4):
     return s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-@register("str01_decode_stream", 'SELECT stage, "group", "index", value FROM trace')
+@register("str01_decode_stream", 'SELECT stage, "group", "index", value, last FROM words')
 def _decode_stream(s, d):
-    from blockfield.streaming.frames import decode_stream
-
-    stream = stream_of(s, words(s, d).select("data", "last"))
-    return _run_stream(decode_stream(stream).select("stage", "group", "index", "value"), "decoded_words")
+    """Word files written by the committing sink, read back as a stream of packed words, a bounded number a trigger."""
+    rows, path = words(s, d), work_dir(s)
+    sinks.write_word_buffers(rows, path)
+    limit = max(1 << 12, rows.count() // 3)
+    stream = T.unpack_binary(binary.stream_words_bin(s, path, path + "-plans", 16, ".last", limit)).select("stage", "group", "index", "value", "last")
+    query = stream.writeStream.format("parquet").option("checkpointLocation", path + "-log").start(path + "-out")
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return s.read.schema(stream.schema).parquet(path + "-out")
+
+
+#: The events of a table come in no order of time; their streams drop none of them.
+LONGEST = "3650 days"
+#: Longer than a slice of time, so no row of a slice is late.
+SPREAD = "10 minutes"
+SLICES = 4
+BEGIN = 1_000_000_000
+#: Rows of a source are dealt to files by stretches of so many, so files are out of order inside a slice of time.
+STRETCH = 512
+SLICE_SECONDS = 500
+SOURCE_EVENTS = 2000
 
 
-def _ordered_stream(s, rows, key="seq"):
-    """A file stream in three slices of the sequence; inside a slice every source has its own file."""
+def _source_stream(s, rows, slices=1):
+    """A file stream in slices of event time; inside a slice the stretches of a source lie in several files, in no order."""
     path = work_dir(s)
-    top = rows.agg(F.max(key)).first()[0]
-    slice_ = int_div(F.col(key) * 3, lit(top + 1))
-    for i in range(3):
-        rows.where(slice_ == i).repartition("source").write.mode("append").parquet(path)
-    return s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
-
-
-SOURCE_EVENTS = 2000
+    for i in range(slices):
+        part = rows.where(int_div(F.unix_seconds("ts") - BEGIN, SLICE_SECONDS) == i) if slices > 1 else rows
+        part.repartition("source", int_div(F.col("seq"), STRETCH)).write.mode("append").parquet(path)
+    return s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 8).parquet(path)
 
 
 def source_events(s, d):
-    """Words of sources of 2000 events each; every 40th word of a source ends a frame."""
+    """Words of sources of 2000 events each, one a second, all sources at once; every 40th word of a source ends a frame."""
     e = I.trace(s, d)
     per = F.col("event_id") % SOURCE_EVENTS
     return e.select(
-        int_div(F.col("event_id"), SOURCE_EVENTS).alias("source"), F.col("event_id").alias("seq"), lit(0).alias("kind"), "stage", "group", "index", "value",
+        int_div(F.col("event_id"), SOURCE_EVENTS).alias("source"), per.alias("seq"), F.timestamp_seconds(BEGIN + per).alias("ts"), lit(0).alias("kind"), "stage", "group", "index", "value",
         (per % 40 == 39).alias("last"), lit(0).alias("distance_q8"), lit(0).alias("expected_words"))
 
 
 @register("str02_delimit_frames", """SELECT event_id // 2000 AS source, event_id % 2000 // 40 AS frame, event_id % 40 AS ordinal, stage, value, event_id % 40 = 39 AS last FROM trace""")
 def _delimited(s, d):
-    from blockfield.streaming.frames import delimit_frames
-
-    out = delimit_frames(_ordered_stream(s, source_events(s, d)))
-    return _run_stream(out.select("source", "frame", "ordinal", "stage", "value", "last"), "delimited_frames")
+    out = delimit_frames(_source_stream(s, source_events(s, d), SLICES), lateness=SPREAD)
+    return _run_stream(out.where("outcome IS NULL").select("source", "frame", "ordinal", "stage", "value", "last"))
+
+
+@register("str02_expired_frames", """SELECT source, CASE WHEN source % 3 = 0 AND n > 1000 THEN 25 ELSE n // 40 END AS frame, CASE WHEN source % 3 = 0 AND n > 1000 THEN n - 1000 ELSE n % 40 END AS words
+  FROM (SELECT event_id // 2000 AS source, count(*) AS n FROM trace GROUP BY ALL) WHERE source % 3 = 0 AND n > 1000 OR n % 40 > 0""")
+def _expired(s, d):
+    """Every third source gives no last flag after its first 1000 words; a source that goes on moves the event time, and the
+    timers close what is open."""
+    open_ = (F.col("source") % 3 == 0) & (F.col("seq") >= 1000)
+    rows = source_events(s, d).withColumn("last", F.col("last") & ~open_)
+    clock = s.range(2).select(lit(-1).alias("source"), F.col("id").alias("seq"), F.timestamp_seconds(BEGIN + 9000 + F.col("id")).alias("ts"), *[lit(0).alias(c) for c in ("kind", "stage", "group", "index", "value")],
+                              F.lit(True).alias("last"), lit(0).alias("distance_q8"), lit(0).alias("expected_words"))
+    path = work_dir(s)
+    for part in (rows, clock.where("seq = 0"), clock.where("seq = 1")):
+        part.repartition("source", int_div(F.col("seq"), STRETCH)).write.mode("append").parquet(path)
+    out = delimit_frames(s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 8).parquet(path), lateness="1 hour")
+    return _run_stream(out.where("outcome = 'expired'").select("source", "frame", F.col("ordinal").alias("words")))
 
 
 @register("str07_running_counts", "SELECT date_trunc('hour', ts) AS start, stage, count(*) AS words FROM trace GROUP BY ALL")
 def _running(s, d):
-    from blockfield.streaming.frames import running_counts
-
-    return _run_stream(running_counts(stream_of(s, I.trace(s, d).select(F.col("ts").cast("timestamp").alias("ts"), "stage"))), "running_counts", "complete").select(F.col("start").cast("timestamp_ntz").alias("start"), "stage", "words")
+    counts = running_counts(stream_of(s, I.trace(s, d).select(F.col("ts").cast("timestamp").alias("ts"), "stage")), lateness=LONGEST)
+    return _merged_stream(counts, ["start", "stage"]).select(F.col("start").cast("timestamp_ntz").alias("start"), "stage", "words")
 
 
 @register("str08_beat_gaps", """SELECT date_trunc('hour', ts) AS start, count(*) AS words, epoch_us(max(ts)) - epoch_us(min(ts)) + 1 AS span, epoch_us(max(ts)) - epoch_us(min(ts)) + 1 - count(*) AS bubbles FROM trace GROUP BY ALL""")
 def _gaps(s, d):
-    from blockfield.streaming.frames import beat_gaps
-
     rows = I.trace(s, d).select(F.col("ts").cast("timestamp").alias("ts"))
-    out = _run_stream(beat_gaps(stream_of(s, rows)), "beat_gaps", "complete")
+    out = _merged_stream(beat_gaps(stream_of(s, rows), lateness=LONGEST), ["start"])
     return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @register("str05_assemble_blocks", """SELECT frame_id AS source, row_number() OVER (PARTITION BY frame_id ORDER BY block) - 1 AS block, CAST(sum(y * (k + 1)) AS BIGINT) AS y_sum FROM prepared_in GROUP BY frame_id, block""")
 def _stream_blocks(s, d):
-    from blockfield.streaming.frames import assemble_blocks
-
-    w = T.pack_prepared_words(record_blocks(s, d)).select(F.col("frame_id").alias("source"), F.col("ordinal").alias("seq"), "data")
-    out = _run_stream(assemble_blocks(_ordered_stream(s, w)), "assembled_blocks")
+    w = T.pack_prepared_words(record_blocks(s, d)).select(F.col("frame_id").alias("source"), F.col("ordinal").alias("seq"), F.timestamp_millis(BEGIN * 1000 + F.col("ordinal")).alias("ts"), "data")
+    out = _run_stream(assemble_blocks(_source_stream(s, w), lateness=SPREAD))
     return out.select("source", "block", F.aggregate(F.transform(F.col("y"), lambda v, i: v * (i + 1)), lit(0), lambda a, v: a + v).alias("y_sum"))
 
 
 @register("str06_ownership", "SELECT frame_id AS source, CAST(0 AS BIGINT) AS frame, count(*) AS owners, 'complete' AS outcome FROM owner_blocks GROUP BY frame_id")
 def _stream_ownership(s, d):
     from blockfield.catalog.frame_queries import shaped
-    from blockfield.streaming.frames import check_ownership
-
     owners = shaped(s, d)[0].select("frame_id", "block", "raw_strategy", "covered")
     ends = owners.groupBy("frame_id").agg(F.max("block").alias("_end"))
     g = G.with_geometry(I.frames(s, d)).select("frame_id", "x_blocks", "y_blocks")
     rows = owners.join(ends, "frame_id").join(g, "frame_id").select(
-        F.col("frame_id").alias("source"), F.col("block").alias("seq"), "block", F.col("raw_strategy").cast("bigint").alias("raw_strategy"),
+        F.col("frame_id").alias("source"), (F.row_number().over(Window.partitionBy("frame_id").orderBy("block")) - 1).cast("bigint").alias("seq"),
+        F.timestamp_millis(BEGIN * 1000 + F.col("block")).alias("ts"), "block", F.col("raw_strategy").cast("bigint").alias("raw_strategy"),
         (F.col("block") == F.col("_end")).alias("last"), "x_blocks", "y_blocks")
-    return _run_stream(check_ownership(_ordered_stream(s, rows)), "ownership").select("source", "frame", "owners", "outcome")
+    return _run_stream(check_ownership(_source_stream(s, rows), lateness=SPREAD)).select("source", "frame", "owners", "outcome")

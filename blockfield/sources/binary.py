@@ -1,25 +1,47 @@
 """Binary scans: packed word files, float images, token arrays."""
 
 import io
+import json
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from blockfield.functions.fixed import lit
 
 WORDS_SCHEMA = "file string, ordinal bigint, word binary, last boolean, error string"
 
 
-class _Range(InputPartition):
-    def __init__(self, path, size, start, count, error=None):
-        self.path, self.size, self.start, self.count, self.error = path, size, start, count, error
+class WordRanges(InputPartition):
+    """Word ranges (file, words of the file or None while it grows, first word, words, error) that one task reads."""
 
+    def __init__(self, ranges: list):
+        self.ranges = ranges
 
-class PackedWordReader(DataSourceReader):
-    """Fixed-size words cut into byte ranges, so one file feeds many tasks."""
+
+def file_system(path: str):
+    """(file system, path in it) of a local path or a URI."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
+
+
+def packed_into_tasks(ranges: list, words: int) -> list[WordRanges]:
+    """Ranges of at most ``words`` words put together in order until a task has about as many: small files share tasks."""
+    out, held, size = [], [], 0
+    for r in ranges:
+        if held and size + r[3] > words:
+            out.append(WordRanges(held))
+            held, size = [], 0
+        held.append(r)
+        size += max(r[3], 1)
+    return out + ([WordRanges(held)] if held else [])
+
+
+class _WordFiles:
+    """What the batch and the stream reader share: options, the list of files, and reading ranges."""
 
     def __init__(self, options):
         self.path = options["path"]
@@ -27,53 +49,134 @@ class PackedWordReader(DataSourceReader):
         self.suffix = options.get("last_suffix") or None
         self.chunk = int(options.get("words_per_partition", 1 << 20))
 
-    def partitions(self):
+    def files(self) -> list:
+        """(path, bytes) of the word files, sorted by path; hidden files and sidecars are left out."""
         from pyarrow import fs
 
-        store, root = fs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("file:") else (fs.LocalFileSystem(), self.path)
-        infos = store.get_file_info(fs.FileSelector(root, recursive=True)) if store.get_file_info(root).type == fs.FileType.Directory else [store.get_file_info(root)]
-        ranges = []
-        for info in infos:
-            name = info.base_name
-            if info.type != fs.FileType.File or name.startswith((".", "_")) or (self.suffix and name.endswith(self.suffix)):
-                continue
-            words, rest = divmod(info.size, self.word_bytes)
-            if rest or not words:
-                ranges.append(_Range(info.path, info.size, 0, 0, f"{info.size} bytes are not whole words"))
-                continue
-            ranges += [_Range(info.path, words, s, min(self.chunk, words - s)) for s in range(0, words, self.chunk)]
-        return ranges
+        store, root = file_system(self.path)
+        top = store.get_file_info(root)
+        infos = store.get_file_info(fs.FileSelector(root, recursive=True)) if top.type == fs.FileType.Directory else [top]
+        names = [(i.path, i.size) for i in infos if i.type == fs.FileType.File and not i.base_name.startswith((".", "_"))]
+        return sorted((n, size) for n, size in names if not (self.suffix and n.endswith(self.suffix)))
 
     def read(self, part):
-        from pyarrow import fs
-
+        """One batch per range.  The words are one buffer of fixed-size values; no word is touched on its own."""
         names = ["file", "ordinal", "word", "last", "error"]
         kinds = [pa.string(), pa.int64(), pa.binary(), pa.bool_(), pa.string()]
-        batch = lambda *cols: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
-        if part.error:
-            yield batch([part.path], [None], [None], [None], [part.error])
-            return
-        store = fs.FileSystem.from_uri(self.path)[0] if "://" in self.path or self.path.startswith("file:") else fs.LocalFileSystem()
+        store, _ = file_system(self.path)
         size = self.word_bytes
-        with store.open_input_file(part.path) as handle:
-            data = handle.read_at(part.count * size, part.start * size)
-        ordinals = np.arange(part.start, part.start + part.count)
-        last, errors = ordinals == part.size - 1, np.full(part.count, None, dtype=object)
-        if self.suffix:
-            with store.open_input_file(part.path + self.suffix) as handle:
-                flags = np.frombuffer(handle.read_at(part.count, part.start), dtype=np.uint8)
-                wrong = handle.size() != part.size
-            flags = np.pad(flags, (0, part.count - len(flags)))
-            last = flags != 0
-            errors[flags > 1] = "last byte is neither 0 nor 1"
-            if wrong:
-                errors[:] = "last sidecar length differs"
-        words = [data[i * size:(i + 1) * size] for i in range(part.count)]
-        yield batch([part.path] * part.count, ordinals, words, last, errors)
+        for path, total, start, count, error in part.ranges:
+            if error:
+                yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip((path, None, None, None, error), kinds)], names)
+                continue
+            with store.open_input_file(path) as handle:
+                data = handle.read_buffer(count * size) if not start and handle.size() == count * size else pa.py_buffer(handle.read_at(count * size, start * size))
+            words = pa.Array.from_buffers(pa.binary(size), count, [None, data]).cast(pa.binary())
+            ordinals = np.arange(start, start + count)
+            last, errors = ordinals == (total or 0) - 1, pa.nulls(count, pa.string())
+            if self.suffix:
+                with store.open_input_file(path + self.suffix) as handle:
+                    flags = np.frombuffer(handle.read_at(count, start), dtype=np.uint8)
+                    wrong = total is not None and handle.size() != total
+                flags = np.pad(flags, (0, count - len(flags)))
+                last = flags != 0
+                if wrong:
+                    errors = pa.repeat("last sidecar length differs", count).cast(pa.string())
+                elif (flags > 1).any():
+                    errors = pa.array(np.where(flags > 1, "last byte is neither 0 nor 1", None), pa.string())
+            file = pa.repeat(path, count).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([file, pa.array(ordinals), words, pa.array(last), errors], names)
+
+
+class PackedWordReader(_WordFiles, DataSourceReader):
+    """Fixed-size words cut into byte ranges: one large file feeds many tasks, many small files feed one."""
+
+    def partitions(self):
+        ranges = []
+        for path, size in self.files():
+            words, rest = divmod(size, self.word_bytes)
+            if rest or not words:
+                ranges.append((path, 0, 0, 0, f"{size} bytes are not whole words"))
+            else:
+                ranges += [(path, words, s, min(self.chunk, words - s), None) for s in range(0, words, self.chunk)]
+        return packed_into_tasks(ranges, self.chunk)
+
+
+class PackedWordStreamReader(_WordFiles, DataSourceStreamReader):
+    """Words of files that grow.  A trigger admits at most ``words_per_trigger`` words, taken from the files read least first.
+
+    The offset is the number of a plan.  A plan names the word ranges of its trigger and how far every file has been
+    admitted; it is written to ``plan_dir`` (shared storage) before its number is given out, so a restart from a checkpoint
+    reads the very ranges that were planned, and goes on behind them.  Plans before the last committed one are removed.
+    Only whole words count, with a sidecar only those whose flag is there.  A file that is shorter than what was read of it
+    gives one row with an error each time it shrinks.
+    """
+
+    def __init__(self, options):
+        super().__init__(options)
+        self.limit = int(options.get("words_per_trigger", 1 << 22))
+        self.plans = options["plan_dir"]
+
+    def initialOffset(self):
+        return {"plan": 0}
+
+    def _plan_numbers(self) -> list[int]:
+        from pyarrow import fs
+
+        store, root = file_system(self.plans)
+        found = store.get_file_info(fs.FileSelector(root, allow_not_found=True))
+        return sorted(int(f.base_name[:-5]) for f in found if f.base_name.endswith(".json"))
+
+    def _plan(self, number: int) -> dict:
+        store, root = file_system(self.plans)
+        with store.open_input_file(f"{root}/{number:012d}.json") as handle:
+            return json.loads(handle.read())
+
+    def _admitted(self, admitted: dict) -> tuple[list, dict]:
+        """New ranges within the limit, and how far each file is admitted after them."""
+        store, _ = file_system(self.path)
+        now, ranges, room = dict(admitted), [], self.limit
+        for path, size in sorted(self.files(), key=lambda f: (admitted.get(f[0], 0), f[0])):
+            words, at = size // self.word_bytes, admitted.get(path, 0)
+            if self.suffix:
+                words = min(words, max(0, store.get_file_info(path + self.suffix).size or 0))
+            if words < at:
+                ranges.append((path, None, words, 0, f"{at} words were read, {words} are left"))
+                now[path] = words
+            elif words > at and room > 0:
+                n = min(words - at, room)
+                ranges += [(path, None, s, min(self.chunk, at + n - s), None) for s in range(at, at + n, self.chunk)]
+                now[path], room = at + n, room - n
+        return ranges, now
+
+    def latestOffset(self):
+        numbers = self._plan_numbers()
+        last = numbers[-1] if numbers else 0
+        ranges, admitted = self._admitted(self._plan(last)["admitted"] if last else {})
+        if not ranges:
+            return {"plan": last}
+        store, root = file_system(self.plans)
+        store.create_dir(root, recursive=True)
+        name = f"{root}/{last + 1:012d}.json"
+        with store.open_output_stream(name + ".part") as sink:
+            sink.write(json.dumps({"ranges": ranges, "admitted": admitted}).encode())
+        store.move(name + ".part", name)
+        return {"plan": last + 1}
+
+    def partitions(self, start, end):
+        ranges = [r for k in range(start["plan"] + 1, end["plan"] + 1) for r in self._plan(k)["ranges"]]
+        return packed_into_tasks(ranges, self.chunk)
+
+    def commit(self, end):
+        store, root = file_system(self.plans)
+        for k in self._plan_numbers():
+            if k < end["plan"]:
+                store.delete_file(f"{root}/{k:012d}.json")
 
 
 class PackedWords(DataSource):
-    """``spark.read.format("packed_words")`` with options word_bytes, last_suffix, words_per_partition."""
+    """``spark.read`` or ``spark.readStream`` with format ``packed_words`` and options word_bytes, last_suffix,
+    words_per_partition, and for streams words_per_trigger and plan_dir."""
 
     @classmethod
     def name(cls):
@@ -85,6 +188,9 @@ class PackedWords(DataSource):
     def reader(self, schema):
         return PackedWordReader(self.options)
 
+    def streamReader(self, schema):
+        return PackedWordStreamReader(self.options)
+
 
 def read_words_bin(spark: SparkSession, path: str, word_bytes: int = 16, last_suffix: str = None) -> DataFrame:
     """(file, ordinal, word, last, error); without a sidecar only the final word of a file is last."""
@@ -93,6 +199,14 @@ def read_words_bin(spark: SparkSession, path: str, word_bytes: int = 16, last_su
     return (reader.option("last_suffix", last_suffix) if last_suffix else reader).load()
 
 
+def stream_words_bin(spark: SparkSession, path: str, plan_dir: str, word_bytes: int = 16, last_suffix: str = None, words_per_trigger: int = 1 << 22) -> DataFrame:
+    """The words of growing files as a stream, each once: (file, ordinal, word, last, error); ``plan_dir`` belongs to the query,
+    like its checkpoint.  Without a sidecar no word is known to be last."""
+    spark.dataSource.register(PackedWords)
+    options = {"path": path, "plan_dir": plan_dir, "word_bytes": word_bytes, "words_per_trigger": words_per_trigger, **({"last_suffix": last_suffix} if last_suffix else {})}
+    return spark.readStream.format("packed_words").options(**options).load()
+
+
 def _pfm_image(content: bytes) -> np.ndarray:
     """Samples (y, x, channel) with the first row on top; raises ValueError with the fault."""
     handle = io.BytesIO(content)

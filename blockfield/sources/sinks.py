@@ -1,11 +1,19 @@
 """Writers."""
 
+import uuid
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from blockfield.functions import constants as C
 from blockfield.functions.color import to_xyb
 from blockfield.functions.fixed import int_div, swap_bytes
+from blockfield.sources.binary import file_system
 
 TRACE = ["frame_id", "stage", "group", "index", "value"]
 WORDS_PER_FILE = 1 << 20
@@ -54,39 +62,92 @@ def word_bytes(data, size: int = 16):
     return F.substring(F.unhex(F.concat(*hexed)), 1, size)
 
 
-def write_word_buffers(words: DataFrame, path: str, size: int = 16, last_suffix: str = ".last") -> None:
+class WordBufferWriter(DataSourceArrowWriter):
+    """Word files and last sidecars with task commit: a task writes below its own folder, the job moves what was committed.
+
+    Of a task that runs twice only one attempt reports its files; the folder of the job goes with all others in it, so no
+    second file is left, and an aborted job leaves nothing.
+    """
+
+    def __init__(self, options: dict, overwrite: bool):
+        self.path, self.suffix, self.overwrite = options["path"], options.get("last_suffix", ".last"), overwrite
+        self.job = f"_temporary-{uuid.uuid4().hex}"
+
+    def write(self, iterator):
+        system, base = file_system(self.path)
+        folder = f"{base}/{self.job}/{uuid.uuid4().hex}"
+        system.create_dir(folder, recursive=True)
+        names, current, outputs = [], None, ()
+        for batch in iterator:
+            frames, parts = batch.column("frame_id").to_numpy(), batch.column("part").to_numpy()
+            cuts = [0, *(np.flatnonzero((frames[1:] != frames[:-1]) | (parts[1:] != parts[:-1])) + 1).tolist(), len(frames)]
+            for s, e in zip(cuts, cuts[1:]):
+                if e > s and (frames[s], parts[s]) != current:
+                    for out in outputs:
+                        out.close()
+                    current = (frames[s], parts[s])
+                    names.append(f"frame-{frames[s]:012d}-{parts[s]:06d}.bin")
+                    outputs = (system.open_output_stream(f"{folder}/{names[-1]}"), system.open_output_stream(f"{folder}/{names[-1]}{self.suffix}"))
+                if e > s:
+                    part = batch.slice(s, e - s)
+                    outputs[0].write(b"".join(part.column("word").to_pylist()))
+                    outputs[1].write(part.column("last").cast(pa.uint8()).to_numpy().tobytes())
+        for out in outputs:
+            out.close()
+        return WrittenFiles(folder, names)
+
+    def commit(self, messages):
+        system, base = file_system(self.path)
+        if self.overwrite:
+            for info in system.get_file_info(fs.FileSelector(base)):
+                if info.type == fs.FileType.File and info.base_name.startswith(("frame-", "_SUCCESS")):
+                    system.delete_file(info.path)
+        for m in messages:
+            for name in m.names if m else ():
+                for each in (name, name + self.suffix):
+                    system.move(f"{m.folder}/{each}", f"{base}/{each}")
+        self._clear()
+        with system.open_output_stream(f"{base}/_SUCCESS"):
+            pass
+
+    def abort(self, messages):
+        self._clear()
+
+    def _clear(self):
+        system, base = file_system(self.path)
+        if system.get_file_info(f"{base}/{self.job}").type == fs.FileType.Directory:
+            system.delete_dir(f"{base}/{self.job}")
+
+
+@dataclass
+class WrittenFiles(WriterCommitMessage):
+    """What a committed task has written: its own folder and the names in it."""
+
+    folder: str
+    names: list
+
+
+class WordBuffers(DataSource):
+    """``df.write.format("word_buffers")`` of (frame_id, part, word, last) rows sorted by frame and part, option path."""
+
+    @classmethod
+    def name(cls):
+        return "word_buffers"
+
+    def writer(self, schema, overwrite):
+        return WordBufferWriter(self.options, overwrite)
+
+
+def write_word_buffers(words: DataFrame, path: str, size: int = 16, last_suffix: str = ".last", mode: str = "append") -> None:
     """Raw word files and last sidecars, one pair per frame and million words, below a path or URI every executor sees.
 
-    A file is written whole by one task, a batch of words at a time; a task that runs again writes the same file again.
+    A file is written whole by one task, a batch of words at a time, and appears when the job commits.
     """
+    words.sparkSession.dataSource.register(WordBuffers)
     rows = words.select(
         "frame_id", int_div(F.col("ordinal"), WORDS_PER_FILE).alias("part"), "ordinal", word_bytes(F.col("data"), size).alias("word"), "last"
     ).repartition("frame_id", "part").sortWithinPartitions("frame_id", "part", "ordinal")
-
-    def store(batches):
-        import pyarrow as pa
-        from pyarrow import fs
-
-        system, base = fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
-        system.create_dir(base, recursive=True)
-        current, sinks = None, ()
-        for batch in batches:
-            keys = list(zip(batch.column("frame_id").to_pylist(), batch.column("part").to_pylist()))
-            starts = [i for i, k in enumerate(keys) if not i or k != keys[i - 1]] + [len(keys)]
-            for s, e in zip(starts, starts[1:]):
-                if keys[s] != current:
-                    for sink in sinks:
-                        sink.close()
-                    name = f"{base}/frame-{keys[s][0]:012d}-{keys[s][1]:06d}.bin"
-                    current, sinks = keys[s], (system.open_output_stream(name), system.open_output_stream(name + last_suffix))
-                part = batch.slice(s, e - s)
-                sinks[0].write(b"".join(part.column("word").to_pylist()))
-                sinks[1].write(bytes(part.column("last").cast(pa.uint8()).to_pylist()))
-            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["words"])
-        for sink in sinks:
-            sink.close()
-
-    rows.mapInArrow(store, "words bigint").agg(F.sum("words")).first()
+    rows.select("frame_id", "part", "word", "last").write.format("word_buffers").option("path", path).option("last_suffix", last_suffix).mode(mode).save()
 
 
 def write_pfm(pixels: DataFrame, frames: DataFrame, path: str) -> None:
