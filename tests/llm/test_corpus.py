@@ -441,11 +441,14 @@ def slow_classes(rows, words, similarity):
 def test_compact_windows():
     rng = np.random.default_rng(10)
     for values in (rng.integers(0, 1 << 40, 200).astype(np.uint64), rng.integers(0, 4, 200).astype(np.uint64), np.zeros(90, np.uint64)):
-        nodes = passages.compact_windows(values, 12)
-        for i in range(len(values) - 11):
-            for j in range(i + 11, min(len(values), i + 40)):
-                ruling = [c for left, c, right in nodes if left <= i <= c <= j <= right]
-                assert len(ruling) == 1 and values[ruling[0]] == values[i : j + 1].min()
+        for repeats in (True, False) if len(np.unique(values)) == len(values) else (True,):
+            nodes = list(zip(*(x.tolist() for x in passages.compact_windows(values, 12, repeats))))
+            for i in range(len(values) - 11):
+                ruling = [c for c, a, b in nodes if c - a <= i <= c <= i + 11 <= c + b]
+                assert len(ruling) == 1 and values[ruling[0]] == values[i : i + 12].min()
+    values = rng.permutation(900).astype(np.uint64) << np.uint64(30)
+    trees = [sorted(zip(*(x.tolist() for x in passages.compact_windows(values, 46, r)))) for r in (True, False)]
+    assert trees[0] == trees[1]
 
 
 @pytest.mark.parametrize("group", [4096, 1])
