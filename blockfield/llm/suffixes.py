@@ -24,7 +24,7 @@ GRAM = 64
 #: Bytes hashed at once; longer artifacts are cut into pieces that overlap by length - 1.
 PIECE = 1 << 19
 #: Surroundings of one anchor that are sorted in one place; larger groups go through window rows.
-GROUP = 1024
+GROUP = 4096
 BASE = 0x9E3779B97F4A7C15 | 1
 LOW = np.uint64((1 << 20) - 1)
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
