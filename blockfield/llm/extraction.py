@@ -42,7 +42,11 @@ BOILERPLATE_WORDS = frozenset(
 PLACE_WORDS = frozenset("area bar block bottom box container content item items left link links list main page post posts primary right secondary section site top wrap wrapper".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>?)", re.S)
+# A comment may end at once or with --!>; in a tag only a quote behind an equals sign opens a quoted value, and one that never
+# closes is an ordinary character, so a malformed tag ends at its next >.
+TOKEN = re.compile(
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)(>?)", re.S)
 NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 SPACE = re.compile(r"\s+")
 PARTS = re.compile(r"[a-z0-9]+")
