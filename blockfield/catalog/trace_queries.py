@@ -380,9 +380,40 @@ def _fixture(s, d):
 @register("src05_prepared_json", """SELECT frame_id, block, quant, CAST(scale AS BIGINT) AS scale_q16, ytox, CAST(sum(x * (k + 1)) AS BIGINT) AS x_sum, CAST(nx AS BIGINT) AS nonzeros_x, '' AS errors
   FROM prepared_in JOIN (SELECT frame_id, block, nx FROM prepared_blocks) USING (frame_id, block) GROUP BY frame_id, block, quant, scale, ytox, nx""")
 def _prepared_json(s, d):
-    from blockfield.catalog.frame_queries import prepared
+    path = work_dir(s)
+    each_a_file(_block_documents(s, d), path)
+    weigh = F.aggregate(F.transform(F.col("x"), lambda v, i: v * (i + 1)), lit(0), lambda a, v: a + v)
+    return text.read_prepared_blocks_json(s, path).select("frame_id", "block", "quant", "scale_q16", "ytox", weigh.alias("x_sum"), F.col("num_nonzeros")[0].alias("nonzeros_x"), F.array_join("_errors", ",").alias("errors"))
+
 
+@register("src05_rejects", """SELECT frame_id, block, unnest(CASE frame_id % 4 WHEN 1 THEN ['format'] WHEN 2 THEN ['quant'] ELSE ['malformed', 'block_count', 'no_block'] END) AS rule
+  FROM (SELECT frame_id, block FROM prepared_blocks WHERE frame_id % 4 IN (1, 2) UNION ALL SELECT frame_id, NULL FROM block_frames WHERE frame_id % 4 = 3)""")
+def _block_rejects(s, d):
+    """Every fourth document of another format, every fourth with a quantizer out of range, every fourth broken off at its end;
+    the blocks read before a break are counted with the document's fault."""
     path = work_dir(s)
+    docs = _block_documents(s, d)
+    wide = F.transform("blocks", lambda b: b.withField("inputs", b["inputs"].withField("quant", b["inputs"]["quant"] + 256)))
+    docs = docs.withColumn("format", F.when(F.col("frame_id") % 4 == 1, F.lit("other.v2")).otherwise(F.col("format"))).withColumn(
+        "blocks", F.when(F.col("frame_id") % 4 == 2, wide).otherwise(F.col("blocks")))
+    each_a_file(docs, path, F.col("frame_id") % 4 == 3)
+    read = text.read_prepared_blocks_json(s, path, "blocks.v1")
+    whole = (F.col("frame_id") % 4 != 3) | F.col("block").isNull()
+    return read.where(whole).select("frame_id", "block", F.explode("_errors").alias("rule"))
+
+
+def each_a_file(docs, path, broken=None):
+    """One JSON document a file; where ``broken`` holds, without its last ten characters."""
+    value = F.to_json(F.struct(*docs.columns))
+    if broken is not None:
+        value = F.when(broken, F.expr("substring(_value, 1, length(_value) - 10)")).otherwise(F.col("_value"))
+        docs = docs.select("*", F.to_json(F.struct(*docs.columns)).alias("_value"))
+    docs.select(F.col("frame_id").alias("_of"), value.alias("value")).repartition("_of").write.partitionBy("_of").text(path)
+
+
+def _block_documents(s, d):
+    from blockfield.catalog.frame_queries import prepared
+
     b = record_blocks(s, d).join(prepared(s, d).select("frame_id", "block", "bx", "by", *[f"{n}_{p}" for p in "xyb" for n in ("q", "nnz", "dc")]), ["frame_id", "block"])
     each = lambda n: F.array(*[F.col(f"{n}_{p}") for p in "xyb"])
     block = F.struct(
@@ -392,9 +423,7 @@ def _prepared_json(s, d):
     g = G.with_geometry(I.block_frames(s, d))
     image = F.struct("xsize", "ysize", "x_blocks", "y_blocks", "x_tiles", "y_tiles").alias("image")
     docs = b.groupBy("frame_id").agg(F.array_sort(F.collect_list(block)).alias("blocks")).join(g.select("frame_id", image), "frame_id")
-    docs.select("frame_id", F.lit("blocks.v1").alias("format"), "image", F.lit(16).alias("coefficient_fraction_bits"), "blocks").write.json(path)
-    weigh = F.aggregate(F.transform(F.col("x"), lambda v, i: v * (i + 1)), lit(0), lambda a, v: a + v)
-    return text.read_prepared_blocks_json(s, path, multi_line=False).select("frame_id", "block", "quant", "scale_q16", "ytox", weigh.alias("x_sum"), F.col("num_nonzeros")[0].alias("nonzeros_x"), F.array_join("_errors", ",").alias("errors"))
+    return docs.select("frame_id", F.lit("blocks.v1").alias("format"), "image", F.lit(16).alias("coefficient_fraction_bits"), "blocks")
 
 
 @register("src12_synthetic_frames", """SELECT f.frame_id, CAST(i % xsize AS BIGINT) AS x, CAST(i // xsize AS BIGINT) AS y, (i % xsize // 4 + i // xsize // 4) % 2 AS level FROM (SELECT *, unnest(range(xsize * ysize)) AS i FROM frames) f""")

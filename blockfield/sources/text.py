@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from blockfield.functions import constants as C
 from blockfield.functions.fixed import lit
+from blockfield.sources.elements import read_elements
 
 TRUE_WORDS = ["1", "true", "t", "yes", "y"]
 FALSE_WORDS = ["0", "false", "f", "no", "n"]
@@ -17,14 +18,16 @@ REGISTERS = [
     ("build_id", 60),
 ]
 
-PREPARED_BLOCKS_SCHEMA = """frame_id bigint, format string, image struct<xsize:bigint,ysize:bigint,x_blocks:bigint,y_blocks:bigint,
-  x_tiles:bigint,y_tiles:bigint>, coefficient_fraction_bits int, distance double, blocks array<struct<block_index:bigint,
+PREPARED_BLOCK_SCHEMA = """struct<block_index:bigint,
   block_x:bigint,block_y:bigint,tile_x:bigint,tile_y:bigint,inputs:struct<quant:bigint,scale_q16:bigint,inv_qac_q16:bigint,
   inv_dc_factor_q16:array<bigint>,x_qm_multiplier_q16:bigint,ytox:bigint,ytob:bigint,coefficients:array<array<bigint>>>,
-  expected:struct<quantized_ac:array<array<bigint>>,quantized_dc:array<bigint>,num_nonzeros:array<bigint>>>>"""
-PREPARED_TOKENS_SCHEMA = """frame_id bigint, format string, image struct<xsize:bigint,ysize:bigint,x_blocks:bigint,y_blocks:bigint,
-  x_tiles:bigint,y_tiles:bigint>, dc_samples array<bigint>, ac_blocks array<struct<block_index:bigint,block_x:bigint,
-  block_y:bigint,tile_x:bigint,tile_y:bigint,num_nonzeros:array<bigint>,quantized:array<array<bigint>>>>"""
+  expected:struct<quantized_ac:array<array<bigint>>,quantized_dc:array<bigint>,num_nonzeros:array<bigint>>>"""
+PREPARED_BLOCKS_SCHEMA = f"""frame_id bigint, format string, image struct<xsize:bigint,ysize:bigint,x_blocks:bigint,y_blocks:bigint,
+  x_tiles:bigint,y_tiles:bigint>, coefficient_fraction_bits int, distance double, blocks array<{PREPARED_BLOCK_SCHEMA}>"""
+PREPARED_TOKEN_SCHEMA = """struct<block_index:bigint,block_x:bigint,
+  block_y:bigint,tile_x:bigint,tile_y:bigint,num_nonzeros:array<bigint>,quantized:array<array<bigint>>>"""
+PREPARED_TOKENS_SCHEMA = f"""frame_id bigint, format string, image struct<xsize:bigint,ysize:bigint,x_blocks:bigint,y_blocks:bigint,
+  x_tiles:bigint,y_tiles:bigint>, dc_samples array<bigint>, ac_blocks array<{PREPARED_TOKEN_SCHEMA}>"""
 MANIFEST_SCHEMA = """frame_id bigint, format string, image struct<width:bigint,height:bigint,x_tiles:bigint,y_tiles:bigint>,
   stream struct<word_count:bigint,pixel_bits:bigint,fraction_bits:bigint>, discovery struct<required_capabilities:bigint,
   active_route:bigint>, registers map<string,bigint>, checksums map<string,string>"""
@@ -183,12 +186,51 @@ def image_errors() -> Column:
     ))
 
 
+def _streamed(spark: SparkSession, path: str, schema: str, suffix: str, *arrays: str) -> tuple:
+    """(documents, elements) of one document a file, read incrementally.
+
+    documents: the schema's other members, _file, _document (faults) and _n_<array>; elements: _file, array, position and the
+    element's JSON text.
+    """
+    rows = read_elements(spark, path, *arrays)
+    parts = [F.from_json("element", schema).alias("d"), F.col("file").alias("_file"), "counts", "error"]
+    docs = rows.where("array IS NULL").select(*parts).select("d.*", "_file", "error", *[F.coalesce(F.try_element_at("counts", F.lit(a)), F.lit(0)).alias(f"_n_{a}") for a in arrays])
+    other = F.lit(False) if suffix is None else ~F.coalesce(F.col("format").endswith(suffix), F.lit(False))
+    faults = F.array_compact(F.array(F.when(F.col("error").isNotNull(), F.lit("malformed")).when(other, F.lit("format"))))
+    return docs.withColumn("_document", faults).drop("error", *arrays), rows.where("array IS NOT NULL").select(F.col("file").alias("_f"), "array", "position", "element")
+
+
+def _whole_blocks(spark: SparkSession, path: str, suffix: str) -> DataFrame:
+    """Block rows of documents on a line each."""
+    docs = _json(spark, path, PREPARED_BLOCKS_SCHEMA, suffix, False).withColumn("_image", F.concat("_document", image_errors()))
+    docs = docs.withColumn("_n_blocks", F.size("blocks"))
+    return _counted(docs).select("frame_id", "image", "coefficient_fraction_bits", "_image", F.posexplode_outer("blocks").alias("_at", "block"))
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    wrong = F.col("_n_blocks") != F.col("image.x_blocks") * F.col("image.y_blocks")
+    return docs.withColumn("_image", F.when(wrong, F.array_append("_image", F.lit("block_count"))).otherwise(F.col("_image")))
+
+
+def _streamed_blocks(spark: SparkSession, path: str, suffix: str) -> DataFrame:
+    """Block rows of documents in files of their own, however many blocks they hold; a document that breaks off, or has no
+    block, has a row without a block behind those that were read."""
+    docs, elements = _streamed(spark, path, PREPARED_BLOCKS_SCHEMA, suffix, "blocks")
+    docs = _counted(docs.withColumn("_image", F.concat("_document", F.coalesce(image_errors(), F.array().cast("array<string>")))))
+    block = F.from_json("element", PREPARED_BLOCK_SCHEMA).alias("block")
+    rows = elements.join(docs, F.col("_f") == F.col("_file")).select("frame_id", "image", "coefficient_fraction_bits", "_image", F.col("position").cast("int").alias("_at"), block)
+    bare = docs.where((F.col("_n_blocks") == 0) | F.array_contains("_document", "malformed")).select(
+        "frame_id", "image", "coefficient_fraction_bits", "_image", F.col("_n_blocks").cast("int").alias("_at"), F.lit(None).cast(PREPARED_BLOCK_SCHEMA).alias("block"))
+    return rows.unionByName(bare)
+
+
 def read_prepared_blocks_json(spark: SparkSession, path: str, suffix: str = None, multi_line: bool = True) -> DataFrame:
-    """One row per block with its inputs, expectations and errors."""
-    docs = _json(spark, path, PREPARED_BLOCKS_SCHEMA, suffix, multi_line).withColumn("_image", F.concat("_document", image_errors()))
-    declared = F.col("image.x_blocks") * F.col("image.y_blocks")
-    docs = docs.withColumn("_image", F.when(F.size("blocks") != declared, F.array_append("_image", F.lit("block_count"))).otherwise(F.col("_image")))
-    rows = docs.select("frame_id", "image", "coefficient_fraction_bits", "_image", F.posexplode_outer("blocks").alias("_at", "block"))
+    """One row per block with its inputs, expectations and errors.
+
+    With ``multi_line`` a file is one document and is read incrementally, so a document may hold any number of blocks; else a
+    line is.  Rows without a block are rejects of the document.
+    """
+    rows = _streamed_blocks(spark, path, suffix) if multi_line else _whole_blocks(spark, path, suffix)
     b, n = (lambda f: F.col(f"block.{f}")), F.col("block.inputs")
     ranged = lambda c, lo, hi, name: F.when(~F.coalesce(c.between(lo, hi), F.lit(False)), F.lit(name))
     outside = lambda values, lo, hi, name: F.when(F.exists(values, lambda v: v.isNull() | ~v.between(lo, hi)), F.lit(name))
@@ -228,13 +270,23 @@ def read_prepared_tokens_json(spark: SparkSession, path: str, suffix: str = None
     """
     blocks = F.col("image.x_blocks") * F.col("image.y_blocks")
     counts = F.array_compact(F.array(
-        F.when(F.size("dc_samples") != 3 * blocks, F.lit("dc_count")), F.when(F.size("ac_blocks") != blocks, F.lit("block_count"))))
-    docs = _json(spark, path, PREPARED_TOKENS_SCHEMA, suffix, multi_line)
+        F.when(F.col("_n_dc_samples") != 3 * blocks, F.lit("dc_count")), F.when(F.col("_n_ac_blocks") != blocks, F.lit("block_count"))))
+    if multi_line:
+        docs, elements = _streamed(spark, path, PREPARED_TOKENS_SCHEMA, suffix, "dc_samples", "ac_blocks")
+    else:
+        docs = _json(spark, path, PREPARED_TOKENS_SCHEMA, suffix, False).withColumns({f"_n_{a}": F.size(a) for a in ("dc_samples", "ac_blocks")})
     shape = F.when(F.col("image").isNull(), F.array(F.lit("image"))).otherwise(F.concat(image_errors(), F.coalesce(counts, F.array().cast("array<string>"))))
     docs = docs.withColumn("_document", F.when(F.size("_document") > 0, F.col("_document")).otherwise(shape))
     good = docs.where(F.size("_document") == 0)
-    dc = good.select("frame_id", F.posexplode("dc_samples").alias("ordinal", "value")).withColumn("ordinal", F.col("ordinal").cast("bigint"))
-    ac = good.select("_file", "frame_id", F.explode("ac_blocks").alias("b")).select(
+    if multi_line:
+        met = elements.join(good.select("_file", "frame_id"), F.col("_f") == F.col("_file"))
+        samples = met.where("array = 'dc_samples'").select("_file", "frame_id", F.col("position").alias("ordinal"), F.col("element").try_cast("bigint").alias("value"))
+        held = met.where("array = 'ac_blocks'").select("_file", "frame_id", F.from_json("element", PREPARED_TOKEN_SCHEMA).alias("b"))
+    else:
+        samples = good.select("_file", "frame_id", F.posexplode("dc_samples").alias("ordinal", "value")).withColumn("ordinal", F.col("ordinal").cast("bigint"))
+        held = good.select("_file", "frame_id", F.explode("ac_blocks").alias("b"))
+    dc = samples.drop("_file")
+    ac = held.select(
         "_file", "frame_id", F.col("b.block_index").alias("block"), F.posexplode(F.arrays_zip("b.num_nonzeros", "b.quantized")).alias("channel", "e")
     ).select("_file", "frame_id", "block", F.col("channel").cast("bigint").alias("channel"), F.col("e.num_nonzeros").alias("nonzeros"), F.col("e.quantized").alias("coefficients"))
     levels = F.col("coefficients")
@@ -243,7 +295,7 @@ def read_prepared_tokens_json(spark: SparkSession, path: str, suffix: str = None
         F.when(~F.coalesce(F.col("nonzeros").between(0, 63), F.lit(False)), F.lit("nonzero_range")),
         F.when(F.size(levels) != 64, F.lit("coefficients")), F.when(counted != F.col("nonzeros"), F.lit("nonzero_count")),
         F.when(F.exists(levels, lambda v: v.isNull() | ~v.between(-(1 << 31), (1 << 31) - 1)), F.lit("level_range"))))
-    wrong = good.select("_file", "frame_id", F.explode("dc_samples").alias("v")).where(F.col("v").isNull() | ~F.col("v").between(-(1 << 31), (1 << 31) - 1))
+    wrong = samples.where(F.col("value").isNull() | ~F.col("value").between(-(1 << 31), (1 << 31) - 1))
     rejects = rejected_documents(docs).unionByName(ac.select("_file", "frame_id", F.explode(faults).alias("rule"))).unionByName(
         wrong.select("_file", "frame_id", F.lit("dc_range").alias("rule")))
     return dc, ac.drop("_file"), rejects
