@@ -9,7 +9,7 @@ from blockfield.catalog.sql import CTES
 from blockfield.catalog.value_queries import _ROUTE
 from blockfield.functions import constants as C
 from blockfield.functions.fixed import int_div, lit
-from blockfield.operators import audit, compare, report
+from blockfield.operators import audit, compare, facts, report
 from blockfield.operators import geometry as G
 from blockfield.operators import trace as T
 from blockfield.operators.params import literal_table
@@ -293,6 +293,74 @@ register("agg17_checksum", "SELECT page_id AS frame_id, 'page' AS artifact, sha2
 register("join15_manifest_artifacts", "SELECT page_id AS frame_id, 'checksum' AS rule, 'page' AS field, sha256(html) AS expected, sha256(html || '!') AS actual FROM pages WHERE page_id % 9 = 4")(
     lambda s, d: audit.checksum_findings(audit.checksum(artifacts(s, d)), audit.checksum(artifacts(s, d, True)))
 )
+def _frame_files(s, d, path):
+    """One text file a frame: its pixels, a line each, in raster order."""
+    line = F.concat_ws(",", "x", "y", "r", "g", "b")
+    rows = I.pixels(s, d).select(F.col("frame_id").alias("_of"), "y", "x", line.alias("value")).repartition("_of").sortWithinPartitions("_of", "y", "x")
+    rows.select("_of", "value").write.partitionBy("_of").text(path)
+    files = audit.file_checksums(s, path)
+    return files.select(F.regexp_extract("file", "_of=(-?[0-9]+)", 1).cast("bigint").alias("frame_id"), F.lit("pixels").alias("artifact"), "bytes", "sha256")
+
+
+CTES["pixel_files"] = "SELECT frame_id, string_agg(x || ',' || y || ',' || r || ',' || g || ',' || b, chr(10) ORDER BY y, x) || chr(10) AS content FROM pixels GROUP BY frame_id"
+register("agg17_file_checksums", "SELECT frame_id, 'pixels' AS artifact, strlen(content) AS bytes, sha256(content) AS sha256 FROM pixel_files")(lambda s, d: _frame_files(s, d, work_dir(s)))
+SOURCES = ["index", "manifest", "stream", "artifact", "log"]
+
+
+def _bundle_facts(s, d):
+    """Facts of five sources, with planted errors: another distance in every third manifest, a word lost in every fourth
+    stream, another digest in every fifth, a register that the log of every seventh frame states twice."""
+    f = I.frames(s, d)
+    count = F.col("xsize") * F.col("ysize")
+    plant = lambda n, k: (F.col("frame_id") % n == k).cast("bigint")
+    index = facts.facts_of(f, "index", frame__xsize="xsize", frame__ysize="ysize", frame__distance_q8="distance_q8", trace__route="token_select", stream__word_count=count, stream__byte_count=count * 16)
+    manifest = facts.facts_of(f, "manifest", frame__xsize="xsize", frame__ysize="ysize", frame__distance_q8=F.col("distance_q8") + 5 * plant(3, 0), trace__route="token_select",
+                              register__xsize="xsize", register__ysize="ysize")
+    lost = (F.col("frame_id") % 4 == 1) & F.col("last")
+    stream = facts.stream_facts(T.pack_rgb_words(_shifted(s, d), f).where(~lost), 16)
+    sums = _frame_files(s, d, work_dir(s))
+    declared = sums.withColumn("sha256", F.when(F.col("frame_id") % 5 == 2, F.reverse("sha256")).otherwise(F.col("sha256")))
+    log = f.select("frame_id", F.inline(F.array(*[F.struct(F.lit(n).alias("register"), F.col(n).cast("bigint").alias("data")) for n in ("xsize", "ysize")])))
+    twice = f.where("frame_id % 7 = 3").select("frame_id", F.lit("ysize").alias("register"), (F.col("ysize") + 1).cast("bigint").alias("data"))
+    parts = [index, manifest, stream, facts.pair_facts(declared, "manifest", "checksum", "artifact", "sha256"), facts.pair_facts(sums, "artifact", "checksum", "artifact", "sha256"),
+             facts.pair_facts(log.unionByName(twice), "log", "register", "register", "data")]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+CTES["said_apart"] = """SELECT frame_id, 'frame.distance_q8' AS field, 'index' AS s1, CAST(distance_q8 AS VARCHAR) AS a, 'manifest' AS s2, CAST(distance_q8 + 5 AS VARCHAR) AS b FROM frames WHERE frame_id % 3 = 0
+  UNION ALL SELECT frame_id, 'stream.word_count', 'index', CAST(xsize * ysize AS VARCHAR), 'stream', CAST(xsize * ysize - 1 AS VARCHAR) FROM frames WHERE frame_id % 4 = 1
+  UNION ALL SELECT frame_id, 'stream.byte_count', 'index', CAST(xsize * ysize * 16 AS VARCHAR), 'stream', CAST(xsize * ysize * 16 - 16 AS VARCHAR) FROM frames WHERE frame_id % 4 = 1
+  UNION ALL SELECT frame_id, 'checksum.pixels', 'artifact', sha256(content), 'manifest', reverse(sha256(content)) FROM pixel_files WHERE frame_id % 5 = 2"""
+register("join15_reconcile", """SELECT frame_id, 'agree' AS rule, field, CASE WHEN a < b THEN s1 || '=' || a ELSE s2 || '=' || b END AS expected, CASE WHEN a < b THEN s2 || '=' || b ELSE s1 || '=' || a END AS actual FROM said_apart
+UNION ALL SELECT frame_id, 'agree', 'register.ysize', CASE WHEN ysize::VARCHAR < (ysize + 1)::VARCHAR THEN 'log=' || ysize ELSE 'log=' || (ysize + 1) END,
+  CASE WHEN ysize::VARCHAR < (ysize + 1)::VARCHAR THEN 'log=' || (ysize + 1) ELSE 'manifest=' || ysize END FROM frames WHERE frame_id % 7 = 3""")(
+    lambda s, d: facts.reconcile(_bundle_facts(s, d), SOURCES)
+)
+RULES = [
+    ("frame.xsize", "required", "index,manifest"), ("frame.xsize", "at_least", "1"), ("frame.ysize", "at_most", "65535"), ("stream.last_count", "equals", "1"), ("stream.final_last", "equals", "true"),
+    ("stream.word_count", "required", "index,stream"), ("checksum.*", "required", "manifest,artifact"), ("checksum.*", "agree", None), ("register.*", "required", "manifest,log"),
+    ("register.xsize", "same_as", "frame.xsize"), ("target.board", "absent", None),
+]
+
+
+def _expected(s, d):
+    """What a replay expects of single frames: the route of all, and one more column than they have of every sixth."""
+    f = I.frames(s, d)
+    route = f.select("frame_id", F.lit("trace.route").alias("field"), F.lit("one_of").alias("kind"), F.lit("0,1,2").alias("argument"))
+    return route.unionByName(f.where("frame_id % 6 = 0").select("frame_id", F.lit("frame.xsize").alias("field"), F.lit("at_least").alias("kind"), (F.col("xsize") + 1).cast("string").alias("argument")))
+
+
+register("job23_replay", """SELECT frame_id, 'equals' AS rule, 'stream.last_count' AS field, '1' AS expected, '0' AS actual FROM frames WHERE frame_id % 4 = 1
+  UNION ALL SELECT frame_id, 'equals', 'stream.final_last', 'true', 'false' FROM frames WHERE frame_id % 4 = 1
+  UNION ALL SELECT frame_id, 'agree', 'checksum.pixels', 'one value', CASE WHEN sha256(content) < reverse(sha256(content)) THEN 'artifact=' || sha256(content) || ' manifest=' || reverse(sha256(content))
+    ELSE 'manifest=' || reverse(sha256(content)) || ' artifact=' || sha256(content) END FROM pixel_files WHERE frame_id % 5 = 2
+  UNION ALL SELECT frame_id, 'at_least', 'frame.xsize', CAST(xsize + 1 AS VARCHAR), CAST(xsize AS VARCHAR) FROM frames WHERE frame_id % 6 = 0
+  UNION ALL SELECT frame_id, 'one_of', 'trace.route', '0,1,2', CAST(token_select AS VARCHAR) FROM frames WHERE token_select NOT IN (0, 1, 2)""")(
+    lambda s, d: facts.evaluate(_bundle_facts(s, d), RULES, SOURCES, _expected(s, d))
+)
 register("join13_unknown_registers", "SELECT event_id, (event_id * 4) % 80 AS address FROM ev WHERE (event_id * 4) % 80 > 60")(lambda s, d: _unknown(s, d))
 
 

@@ -175,3 +175,32 @@ def audit_bundles(manifests: DataFrame, words: DataFrame, registers: DataFrame,
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
+
+
+#: Bytes of a file that are digested at a time.
+DIGEST_CHUNK = 1 << 22
+
+
+def file_checksums(spark, path: str) -> DataFrame:
+    """(file, bytes, sha256) of every file below the path, digested chunk by chunk: no content becomes a row, so a file may
+    have any length.  A file is one task's, as the digest is of one sequence of bytes."""
+    def digest(batches):
+        import hashlib
+
+        import pyarrow as pa
+
+        store, _ = file_system(path)
+        for batch in batches:
+            sizes, sums = [], []
+            for name in batch.column("path").to_pylist():
+                state, size = hashlib.sha256(), 0
+                with store.open_input_stream(name) as handle:
+                    while data := handle.read(DIGEST_CHUNK):
+                        state.update(data)
+                        size += len(data)
+                sizes.append(size)
+                sums.append(state.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(sizes, pa.int64()), pa.array(sums, pa.string())], ["file", "bytes", "sha256"])
+
+    files = spark.createDataFrame(names, "path string").repartition(max(1, min(len(names), spark.sparkContext.defaultParallelism * 4)))
+    return files.mapInArrow(digest, "file string, bytes bigint, sha256 string")
