@@ -3,12 +3,14 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from blockfield.llm.shared import staged, word_count
+from blockfield.llm.shared import partitions, staged, word_count
 
 MAX_EPOCHS = 3
 SEED = 42
 #: Seeded order inside a stage: first this many buckets of the hash, then the hash itself.
 BUCKET_DIGITS = 3
+#: Copies of a row that are written out in one place.
+COPIES = 4096
 
 
 def _exact(c) -> Column:
@@ -60,16 +62,22 @@ def mix_streams(streams: DataFrame, weights: DataFrame, max_epochs: int = MAX_EP
     """
     n = F.greatest(F.coalesce(F.col(tokens).cast("bigint"), F.lit(0)), F.lit(0))
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(key).cast("string"), F.lit(""))))
-    rows = streams.select(F.col(key).alias("_key"), F.col(stage).alias("stage"), n.alias("_n"), order.alias("_h")).withColumn("_bucket", F.substring("_h", 1, BUCKET_DIGITS))
-    buckets = rows.groupBy("stage", "_bucket").agg(F.sum("_n").alias("_sum"))
+    each = streams.select(F.col(key).alias("_key"), F.col(stage).alias("stage"), n.alias("_n"), order.alias("_h"))
+    # equal rows are walked as one with their count, so a key that most rows have is as many rows as it has token counts
+    rows = each.groupBy("_key", "stage", "_n", "_h").agg(F.count(F.lit(1)).alias("_c")).withColumn("_bucket", F.substring("_h", 1, BUCKET_DIGITS))
+    buckets = rows.groupBy("stage", "_bucket").agg(F.sum(F.col("_n") * F.col("_c")).alias("_sum"))
     targets = stage_targets(buckets.groupBy("stage").agg(F.sum("_sum").alias("stage_tokens")), weights, max_epochs)
     before = Window.partitionBy("stage").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = buckets.withColumn("_start", F.coalesce(F.sum("_sum").over(before), F.lit(0))).join(
         targets.withColumnRenamed("stage", "_t"), F.col("stage").eqNullSafe(F.col("_t"))
     ).select(F.col("stage").alias("_s"), F.col("_bucket").alias("_b"), "_start", "stage_tokens", "target")
     inside = Window.partitionBy("stage", "_bucket").orderBy("_h", F.col("_key").cast("string"), "_n").rowsBetween(Window.unboundedPreceding, -1)
-    walked = rows.withColumn("_before", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(
-        starts, F.col("stage").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
+    placed = staged(rows.withColumn("_before", F.coalesce(F.sum(F.col("_n") * F.col("_c")).over(inside), F.lit(0))).join(
+        starts, F.col("stage").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b"))).drop("_s", "_b"))
+    copy = lambda first, n: F.explode(F.sequence(first, first + n - 1)).alias("_i")
+    many = placed.where("_c > 1").select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_c") - 1, F.lit(COPIES).cast("bigint"))).alias("_first"))
+    many = many.repartition(partitions(streams.sparkSession), "_key", "_n", "_first").select(*placed.columns, copy(F.col("_first"), F.least(F.lit(COPIES), F.col("_c") - F.col("_first"))))
+    walked = placed.where("_c = 1").withColumn("_i", F.lit(0).cast("bigint")).unionByName(many).withColumn("_before", F.col("_before") + F.col("_i") * F.col("_n"))
     whole = F.round("target").cast("bigint")
     repeats = F.when(F.col("stage_tokens") > 0, F.expr("_whole div stage_tokens")).otherwise(F.lit(0))
     rest = F.col("_whole") - F.col("repeats") * F.col("stage_tokens") - F.col("_start") - F.col("_before")

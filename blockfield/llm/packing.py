@@ -16,6 +16,8 @@ LENGTHS = (512, 1024, 2048, 4096)
 OVERHEAD = 64
 ATTENTION = 16384
 SHELF = 4096
+#: Equal streams that go to a shelf together.
+COPIES = 64
 
 
 def pack(sizes: np.ndarray, lengths: tuple = LENGTHS, overhead: int = OVERHEAD, attention: int = ATTENTION) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,8 +82,13 @@ def pack_streams(streams: DataFrame, lengths: tuple = LENGTHS, overhead: int = O
     n = F.greatest(F.coalesce(F.col(tokens).cast("bigint"), F.lit(0)), F.lit(0))
     rows = streams.select(F.col(key).cast("bigint").alias("id"), n.alias("n"))
     shelves = scaled(rows.count(), shelf)
+    # equal rows travel as counts, so many copies to a shelf: one key that most rows have fills many shelves
+    equal = rows.groupBy("id", "n").agg(F.count(F.lit(1)).alias("c"))
+    first = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("c") - 1, F.lit(COPIES).cast("bigint"))).alias("first")
+    some = equal.select("id", "n", "c", first)
+    place = F.when(F.col("first") == 0, F.xxhash64("id", "n")).otherwise(F.xxhash64("id", "n", "first"))
     starts = F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("n") - 1, F.lit(0)), F.lit(top).cast("bigint"))
-    pieces = rows.select(F.pmod(F.xxhash64("id", "n"), F.lit(shelves)).alias("shelf"), "id", "n", F.explode(starts).alias("start")).withColumn(
+    pieces = some.select(F.pmod(place, F.lit(shelves)).alias("shelf"), "id", "n", F.least(F.col("c") - F.col("first"), F.lit(COPIES)).cast("int").alias("copies"), F.explode(starts).alias("start")).withColumn(
         "size", F.least(F.col("n") - F.col("start"), F.lit(top)).cast("int"))
 
     def step(table: pa.Table):
@@ -97,6 +104,6 @@ def pack_streams(streams: DataFrame, lengths: tuple = LENGTHS, overhead: int = O
         yield from pa.table([*table.columns, *places], [*table.column_names, "sequence", "offset", "length"]).to_batches()
 
     schema = "shelf bigint, id bigint, n bigint, start bigint, size int, sequence bigint, offset bigint, length bigint"
-    dealt = pieces.repartition(partitions(streams.sparkSession), "shelf")
+    dealt = pieces.repartition(partitions(streams.sparkSession), "shelf").select("shelf", "id", "n", "start", "size", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).drop("_copy")
     packed = dealt.sortWithinPartitions("shelf", "id", "n", "start").mapInArrow(in_runs(step, ["shelf"], 1 << 16), schema)
     return packed.select(F.col("id").alias(key), F.col("n").alias(tokens), "start", "size", "shelf", "sequence", "offset", "length")

@@ -22,7 +22,7 @@ from blockfield.session import work_dir
 LENGTH = 2048
 END = 1
 BATCH = 64
-MANIFEST = "file string, first_key bigint, artifacts bigint, tokens bigint"
+MANIFEST = "file string, first_key bigint, last_key bigint, artifacts bigint, tokens bigint"
 
 
 def _filesystem(path: str):
@@ -91,16 +91,16 @@ def write_token_files(artifacts: DataFrame, tokenizer: str, folder: str = None,
                       length: int = LENGTH, end: int = END) -> DataFrame:
     """Encode text artifacts in ascending key order, ``end`` after each, into Arrow files below ``folder`` (shared storage).
 
-    Returns the manifest, written and read back: one row (file, first_key, artifacts, tokens) per file.  Files have names of
+    Returns the manifest, written and read back: one row (file, first_key, last_key, artifacts, tokens) per file.  Files have names of
     their own, so a task that runs again leaves an unlisted file and nothing else.  Artifacts are range-partitioned by key;
-    a null content counts as empty, null keys come first, repeated rows are all written (equal keys in order of content);
+    a null content counts as empty, null keys come first, repeated rows are all written (equal keys in order of content inside a file);
     other columns are not read; an empty table makes no file.
     """
     folder = folder or work_dir(artifacts.sparkSession)
     kind = id_type(tokenizer, end)
 
     def step(batches):
-        out, first, count = None, None, 0
+        out, first, end_key, count = None, None, None, 0
         for batch in batches:
             keys, texts = (c.to_pylist() for c in batch.columns)
             if not keys:
@@ -113,14 +113,17 @@ def write_token_files(artifacts: DataFrame, tokenizer: str, folder: str = None,
                 counts.append(len(ids))
                 out.add(ids)
             out.names(keys, counts)
-            count += len(keys)
+            count, end_key = count + len(keys), keys[-1]
         if out is not None:
             out.close()
-            yield pa.RecordBatch.from_arrays([pa.array([out.name]), pa.array([first], pa.int64()), pa.array([count], pa.int64()), pa.array([out.tokens], pa.int64())], ["file", "first_key", "artifacts", "tokens"])
+            values = (out.name, first, end_key, count, out.tokens)
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, (pa.string(), *[pa.int64()] * 4))], ["file", "first_key", "last_key", "artifacts", "tokens"])
 
     rows = artifacts.select(F.col(key).cast("bigint").alias("_key"), F.coalesce(F.col(content), F.lit("")).alias("_text"))
-    ordered = rows.repartitionByRange(partitions(artifacts.sparkSession), "_key").sortWithinPartitions("_key", "_text")
-    return staged(ordered.mapInArrow(step, MANIFEST))
+    # equal keys are told apart by text and row, so a key that most rows have takes as many files as its rows need
+    by = [F.col("_key"), F.xxhash64("_text").alias("_hash"), F.monotonically_increasing_id().alias("_row")]
+    dealt = rows.select("_text", *by).repartitionByRange(partitions(artifacts.sparkSession), "_key", "_hash", "_row")
+    return staged(dealt.sortWithinPartitions("_key", "_text").select("_key", "_text").mapInArrow(step, MANIFEST))
 
 
 def _open(file: str):
@@ -138,7 +141,7 @@ def sequence(file: str, row: int) -> tuple[np.ndarray, np.ndarray]:
 def read_artifact_ids(manifest: DataFrame, key: str = "frame_id") -> DataFrame:
     """(key, start, n_tokens, ids_crc32) from the files: start counts the ids of all artifacts before, over all files in order
     of their first key; the checksum is of the little-endian 32-bit ids, read batch by batch across sequence borders."""
-    before = Window.orderBy(F.col("first_key").asc_nulls_first(), F.col("file")).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy(F.col("first_key").asc_nulls_first(), F.col("last_key").asc_nulls_first(), F.col("file")).rowsBetween(Window.unboundedPreceding, -1)
     files = manifest.withColumn("base", F.coalesce(F.sum("tokens").over(before), F.lit(0))).select("file", "base")
 
     def step(batches):

@@ -310,7 +310,7 @@ def test_token_files(spark, artifacts, contents, library, nothing, tmp_path):
     ids = [library.encode(t or "", add_special_tokens=False).ids + [1] for _, t in rows]
     starts = np.cumsum([0] + [len(i) for i in ids])
     assert got == [(i, int(s), len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for (i, _), s, x in zip(rows, starts, ids)]
-    flat, files = [], manifest.orderBy(F.col("first_key").asc_nulls_first(), "file").collect()
+    flat, files = [], manifest.orderBy(F.col("first_key").asc_nulls_first(), F.col("last_key").asc_nulls_first(), "file").collect()
     for f in files:
         for row in range(-(-f.tokens // 16)):
             one, mask = token_files.sequence(f.file, row)
