@@ -183,7 +183,7 @@ DIGEST_CHUNK = 1 << 22
 
 def file_checksums(spark, path: str) -> DataFrame:
     """(file, bytes, sha256) of every file below the path, digested chunk by chunk: no content becomes a row, so a file may
-    have any length.  A file is one task's, as the digest is of one sequence of bytes.; empty files have a digest, hidden ones none."""
+    have any length.  A file is one task's, as the digest is of one sequence of bytes; empty files have a digest, hidden ones none."""
     from pyarrow import fs
 
     from blockfield.sources.binary import file_system

@@ -13,6 +13,8 @@ from blockfield.operators.params import with_shape_cost
 
 PLANES = ("x", "y", "b")
 REGION = ["frame_id", "stripe", "rx", "ry"]
+#: What a candidate adds to the coefficients of its block.
+CARRIED = ("raw_strategy", "cq", "cm", "ytox", "ytob")
 
 
 def complete_regions(blocks: DataFrame, frames: DataFrame) -> DataFrame:

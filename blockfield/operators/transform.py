@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from blockfield.functions.curves import transform_constants
 from blockfield.functions.fixed import half_away_shift, lit
+from blockfield.functions import constants as C
 from blockfield.operators.geometry import BLOCK_KEYS
 
 PLANES = ("x", "y", "b")
@@ -121,35 +122,57 @@ def _only(rows: DataFrame, owners) -> DataFrame:
     return rows.join(owners.select("frame_id", "stripe", "block"), ["frame_id", "stripe", "block"], "left_semi")
 
 
-def block_transform(columns: DataFrame, bits: int = 12, guard_bits: int = 0, owners: DataFrame = None) -> DataFrame:
-    """8x8 coefficients: (BLOCK_KEYS, k, x, y, b) with k = horizontal frequency * 8 + vertical frequency."""
-    columns = _only(columns, owners)
-    second = transform_lines(column_pass(columns, bits, guard_bits), [*BLOCK_KEYS, "fy"], 8, bits + guard_bits)
-    return _coefficients(second, BLOCK_KEYS, "fy", 8, F.col("_i") * 8 + F.col("fy"), guard_bits)
+def block_lines(columns: DataFrame, bits: int = 12, guard_bits: int = 0) -> DataFrame:
+    """8x8 blocks after both passes: a row per vertical frequency ``fy`` with eight coefficients a plane."""
+    return transform_lines(column_pass(columns, bits, guard_bits), [*BLOCK_KEYS, "fy"], 8, bits + guard_bits)
 
 
-def horizontal_transform(columns: DataFrame, bits: int = 12, guard_bits: int = 0, owners: DataFrame = None) -> DataFrame:
-    """8-row x 16-column coefficients of every even block column with a right neighbour; k = fy * 16 + fx."""
+def horizontal_lines(columns: DataFrame, bits: int = 12, guard_bits: int = 0, owners: DataFrame = None) -> DataFrame:
+    """8-row x 16-column blocks after both passes, of every even block column with a right neighbour: a row per ``fy``."""
     across = Window.partitionBy("frame_id", "stripe", "by", "fy").orderBy("bx")
     pairs = column_pass(columns, bits, guard_bits).select(
         *BLOCK_KEYS, "fy", *[F.concat(F.col(p), F.lead(p).over(across)).alias(p) for p in PLANES]
     )
     pairs = _only(pairs.where((F.col("bx") % 2 == 0) & F.col("x").isNotNull()), owners)
-    second = transform_lines(pairs, [*BLOCK_KEYS, "fy"], 16, bits + guard_bits)
-    return _coefficients(second, BLOCK_KEYS, "fy", 16, F.col("fy") * 16 + F.col("_i"), guard_bits)
+    return transform_lines(pairs, [*BLOCK_KEYS, "fy"], 16, bits + guard_bits)
 
 
-def vertical_transform(columns: DataFrame, bits: int = 12, guard_bits: int = 0, owners: DataFrame = None) -> DataFrame:
-    """16-row x 8-column coefficients of every even block row with a block below; k = fx * 16 + fy."""
+def vertical_lines(columns: DataFrame, bits: int = 12, guard_bits: int = 0, owners: DataFrame = None) -> DataFrame:
+    """16-row x 8-column blocks after both passes, of every even block row with a block below: a row per ``fy``."""
     down = Window.partitionBy("frame_id", "stripe", "bx", "col").orderBy("by")
     pairs = _guarded(columns, bits, guard_bits).select(
         *BLOCK_KEYS, "col", *[F.concat(F.col(p), F.lead(p).over(down)).alias(p) for p in PLANES]
     )
     pairs = _only(pairs.where((F.col("by") % 2 == 0) & F.col("x").isNotNull()), owners)
     first = transform_lines(pairs, [*BLOCK_KEYS, "col"], 16, bits + guard_bits)
-    lines = turn(first, BLOCK_KEYS, "col", "fy", 16, 8)
-    second = transform_lines(lines, [*BLOCK_KEYS, "fy"], 8, bits + guard_bits)
-    return _coefficients(second, BLOCK_KEYS, "fy", 8, F.col("_i") * 16 + F.col("fy"), guard_bits)
+    return transform_lines(turn(first, BLOCK_KEYS, "col", "fy", 16, 8), [*BLOCK_KEYS, "fy"], 8, bits + guard_bits)
+
+
+#: By shape, how many coefficients a line holds and where they stand in the block.
+LINES = {
+    C.DCT: (8, lambda: F.col("_i") * 8 + F.col("fy")), C.DCT8X16: (16, lambda: F.col("fy") * 16 + F.col("_i")), C.DCT16X8: (8, lambda: F.col("_i") * 16 + F.col("fy")),
+}
+
+
+def coefficients_of(lines: DataFrame, code: int, guard_bits: int = 0, carried: tuple = ()) -> DataFrame:
+    """(BLOCK_KEYS, *carried, k, x, y, b) of the lines of one shape."""
+    n, index = LINES[code]
+    return _coefficients(lines, [*BLOCK_KEYS, *carried], "fy", n, index(), guard_bits)
+
+
+def block_transform(columns: DataFrame, bits: int = 12, guard_bits: int = 0, owners: DataFrame = None) -> DataFrame:
+    """8x8 coefficients: (BLOCK_KEYS, k, x, y, b) with k = horizontal frequency * 8 + vertical frequency."""
+    return coefficients_of(block_lines(_only(columns, owners), bits, guard_bits), C.DCT, guard_bits)
+
+
+def horizontal_transform(columns: DataFrame, bits: int = 12, guard_bits: int = 0, owners: DataFrame = None) -> DataFrame:
+    """8-row x 16-column coefficients of every even block column with a right neighbour; k = fy * 16 + fx."""
+    return coefficients_of(horizontal_lines(columns, bits, guard_bits, owners), C.DCT8X16, guard_bits)
+
+
+def vertical_transform(columns: DataFrame, bits: int = 12, guard_bits: int = 0, owners: DataFrame = None) -> DataFrame:
+    """16-row x 8-column coefficients of every even block row with a block below; k = fx * 16 + fy."""
+    return coefficients_of(vertical_lines(columns, bits, guard_bits, owners), C.DCT16X8, guard_bits)
 
 
 def coefficient_trace(coefficients: DataFrame, stage: int) -> DataFrame:

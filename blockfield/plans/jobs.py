@@ -55,19 +55,21 @@ def quantize_square_frames(pixels: DataFrame, frames: DataFrame, estimate_cfl: b
 def choose_shapes(columns: DataFrame, frames: DataFrame) -> tuple:
     """(cells with code and adjusted raw_quant, stripe tiles) from block columns at Q12 and Q18."""
     fields = stage(aq.aq_blocks(columns, frames))
-    square = transform.block_transform(columns, ANALYSIS_BITS, ANALYSIS_GUARD)
-    tiles = stage(cfl.cfl_tiles(square, ANALYSIS_BITS))
+    square = transform.block_lines(columns, ANALYSIS_BITS, ANALYSIS_GUARD)
+    tiles = stage(cfl.cfl_tiles(transform.coefficients_of(square, C.DCT, ANALYSIS_GUARD), ANALYSIS_BITS))
     candidates = shape.candidate_fields(fields, tiles, frames)
-    coefficients = None
-    for code, part in (
+    sums = None
+    for code, lines in (
         (C.DCT, square),
-        (C.DCT16X8, transform.vertical_transform(columns, ANALYSIS_BITS, ANALYSIS_GUARD)),
-        (C.DCT8X16, transform.horizontal_transform(columns, ANALYSIS_BITS, ANALYSIS_GUARD)),
+        (C.DCT16X8, transform.vertical_lines(columns, ANALYSIS_BITS, ANALYSIS_GUARD)),
+        (C.DCT8X16, transform.horizontal_lines(columns, ANALYSIS_BITS, ANALYSIS_GUARD)),
     ):
-        part = part.withColumn("raw_strategy", lit(code))
-        coefficients = part if coefficients is None else coefficients.unionByName(part)
-    joined = coefficients.join(candidates, [*BLOCK_KEYS, "raw_strategy"])
-    costs = shape.candidate_costs(shape.coefficient_costs(joined, ANALYSIS_BITS), frames)
+        # candidates meet lines of 8 or 16 coefficients, which become rows of their own behind the join only
+        met = lines.join(candidates.where(F.col("raw_strategy") == code), BLOCK_KEYS)
+        coefficients = transform.coefficients_of(met, code, ANALYSIS_GUARD, shape.CARRIED)
+        part = shape.coefficient_costs(coefficients, ANALYSIS_BITS)
+        sums = part if sums is None else sums.unionByName(part)
+    costs = shape.candidate_costs(sums, frames)
     cells = shape.strategy_map(fields.select(*BLOCK_KEYS, "raw_quant"), shape.decide(costs))
     return stage(shape.adjust_quant_field(cells, frames)), tiles
 
