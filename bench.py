@@ -15,7 +15,7 @@ HEADLINE = [
     "join01_pad", "prj06_xyb", "job05_contrast_map", "job09_raw_quant", "job03_block_transform", "job10_cfl_maps",
     "job13_quantize_blocks", "win02_dc_tokens", "win06_ac_tokens", "agg18_context_histogram",
     "job18_all_tokens_estimated", "job18_all_tokens_shaped", "job19_decode_trace", "job20_extract_tokens",
-    "job21_compare_runs", "job23_audit_bundles", "agg15_volume",
+    "job21_compare_runs", "job23_audit_bundles",
 ]
 
 

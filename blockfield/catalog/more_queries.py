@@ -10,12 +10,13 @@ from blockfield.catalog import trace_queries as TQ
 from blockfield.catalog.base import register
 from blockfield.functions.fixed import int_div, lit
 from blockfield.operators import geometry as G
-from blockfield.operators import tokens
-from blockfield.operators.params import literal_table
+from blockfield.operators import shape, tokens
 from blockfield.session import work_dir
 from blockfield.sources import sinks, text
 from blockfield.streaming import frames as stream
 
+S.CTES["dc_planes"] = "SELECT frame_id, block, CAST(unnest([0, 1, 2]) AS BIGINT) AS plane_rank, CAST(unnest([day, dax, dab]) AS BIGINT) AS v FROM prepared_blocks"
+
 # ---- joins and windows ----------------------------------------------------------------------------------------
 
 register("join03_three_by_three", f"SELECT frame_id, cx, cy, count(*) AS members, CAST(sum(v) AS BIGINT) AS total FROM ({Q.CLAMPED}) GROUP BY frame_id, cx, cy")(
@@ -23,12 +24,12 @@ register("join03_three_by_three", f"SELECT frame_id, cx, cy, count(*) AS members
 )
 
 
-register("join04_predictors", """SELECT c.frame_id, c.block, c.v AS value, coalesce(l.v, u.v, 0) AS west, coalesce(u.v, l.v, 0) AS north FROM (
-  SELECT q.frame_id, q.block, CAST(day AS BIGINT) AS v, q.block % g.xb AS bcol, g.xb FROM prepared_blocks q JOIN block_frames g USING (frame_id)) c
-  LEFT JOIN (SELECT frame_id, block, CAST(day AS BIGINT) AS v FROM prepared_blocks) l ON l.frame_id = c.frame_id AND l.block = c.block - 1 AND c.bcol > 0
-  LEFT JOIN (SELECT frame_id, block, CAST(day AS BIGINT) AS v FROM prepared_blocks) u ON u.frame_id = c.frame_id AND u.block = c.block - c.xb""")(
-    lambda s, d: tokens.predict_dc(tokens.dc_cells(Q.prepared(s, d), I.block_frames(s, d))).where("plane_rank = 0").select(
-        "frame_id", "block", "value", F.col("left").alias("west"), F.col("top").alias("north"))
+register("join04_predictors", """SELECT c.plane_rank, c.frame_id, c.block, c.v AS value, coalesce(l.v, u.v, 0) AS west, coalesce(u.v, l.v, 0) AS north FROM (
+  SELECT p.*, p.block % g.xb AS bcol, g.xb FROM dc_planes p JOIN block_frames g USING (frame_id)) c
+  LEFT JOIN dc_planes l ON l.plane_rank = c.plane_rank AND l.frame_id = c.frame_id AND l.block = c.block - 1 AND c.bcol > 0
+  LEFT JOIN dc_planes u ON u.plane_rank = c.plane_rank AND u.frame_id = c.frame_id AND u.block = c.block - c.xb""")(
+    lambda s, d: tokens.predict_dc(tokens.dc_cells(Q.prepared(s, d), I.block_frames(s, d))).select(
+        "plane_rank", "frame_id", "block", "value", F.col("left").alias("west"), F.col("top").alias("north"))
 )
 register("join10_candidate_members", """SELECT frame_id, rx, ry, c.candidate, brow * xb + bcol AS block FROM (SELECT frame_id, xb, rx, ry, unnest(range(8)) AS candidate FROM (
   SELECT *, unnest(range(yb // 2)) AS ry FROM (SELECT *, unnest(range(xb // 2)) AS rx FROM geo))) c
@@ -37,15 +38,9 @@ register("join10_candidate_members", """SELECT frame_id, rx, ry, c.candidate, br
 
 
 def _members(s, d):
-    """Eight candidates per region as a fixed 12-row table; every region meets it through its blocks."""
     from blockfield.catalog.value_queries import _regions
 
-    table = literal_table(s, ["candidate", "mx", "my"], [
-        (0, 0, 0), (1, 1, 0), (2, 0, 1), (3, 1, 1), (4, 0, 0), (4, 0, 1), (5, 1, 0), (5, 1, 1), (6, 0, 0), (6, 1, 0), (7, 0, 1), (7, 1, 1)])
-    shape = G.with_geometry(I.frames(s, d)).select("frame_id", F.col("x_blocks").alias("_w"))
-    blocks = _regions(s, d).join(shape, "frame_id")
-    at = blocks.withColumn("mx", (F.col("block") % F.col("_w")) % 2).withColumn("my", F.floor(F.col("block") / F.col("_w")) % 2)
-    return at.join(F.broadcast(table), ["mx", "my"]).select("frame_id", "rx", "ry", "candidate", "block")
+    return shape.candidate_members(_regions(s, d), I.frames(s, d))
 
 
 _AC = S.ac_tokens_sql("prepared_levels", "prepared_blocks", "block_frames")
@@ -62,8 +57,7 @@ register("win12_candidate_rank", """SELECT frame_id, bcol AS bx, brow AS "by", C
 
 
 def _ranked(s, d):
-    region = Window.partitionBy("frame_id", "stripe", F.shiftright("bx", 1), F.shiftright("by", 1)).orderBy("cost_q16", "raw_strategy", "by", "bx")
-    return Q._costs(s, d).select("frame_id", "bx", "by", F.col("raw_strategy").cast("bigint").alias("raw_strategy"), F.row_number().over(region).cast("bigint").alias("rank"))
+    return shape.ranked_candidates(Q._costs(s, d)).select("frame_id", "bx", "by", F.col("raw_strategy").cast("bigint").alias("raw_strategy"), "rank")
 
 
 _META = S.metadata_tokens_sql("prepared_blocks", "prepared_tiles", "block_frames")
@@ -75,11 +69,32 @@ register("set03_metadata_phases", f"SELECT frame_id, context, count(*) AS tokens
 # ---- files ----------------------------------------------------------------------------------------------------
 
 
-@register("top03_ordered_tokens", "SELECT frame_id, ordinal, context, value FROM tokens_a")
+@register("top03_ordered_tokens", "SELECT frame_id, count(*) AS tokens, min(ordinal) AS first, max(ordinal) AS final, CAST(0 AS BIGINT) AS out_of_order FROM tokens_a GROUP BY frame_id")
 def _ordered(s, d):
+    """Written tokens read back with their files and rows: inside a file every row comes after the one before it."""
     path = work_dir(s)
     sinks.write_tokens(TQ.actual(s, d), path)
-    return s.read.parquet(path)
+    rows = s.read.parquet(path).select("frame_id", "ordinal", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    before = F.lag(F.struct("frame_id", "ordinal")).over(Window.partitionBy("file").orderBy("row"))
+    late = F.struct("frame_id", "ordinal") < before
+    return rows.withColumn("late", late).groupBy("frame_id").agg(F.count(F.lit(1)).alias("tokens"), F.min("ordinal").alias("first"), F.max("ordinal").alias("final"), F.count_if("late").alias("out_of_order"))
+
+
+_NAMES = ", ".join(f"('{n}', {a})" for n, a in text.REGISTERS)
+
+
+@register("src11_register_log", f"""SELECT event_id AS strb, r.name AS register, event_id * 4 % 80 AS address, w AS data FROM ev LEFT JOIN (VALUES {_NAMES}) r(name, place) ON r.place = event_id * 4 % 80""")
+def _register_log(s, d):
+    """A control log of writes in mixed notations, to known registers and behind them."""
+    from blockfield.catalog.value_queries import W, ev
+
+    path = work_dir(s)
+    address = F.col("event_id") * 4 % 80
+    hexed = lambda c: F.concat(F.lit("0x"), F.hex(c))
+    rows = ev(s, d).select(F.when(F.col("event_id") % 2 == 0, hexed(address)).otherwise(address.cast("string")).alias("address"),
+                           F.when(F.col("event_id") % 3 == 0, W().cast("string")).otherwise(hexed(W())).alias("data"), F.col("event_id").cast("string").alias("strb"))
+    rows.write.option("header", True).csv(path)
+    return text.read_register_log(s, path).select("strb", "register", "address", "data")
 
 
 @register("src09_manifests", "SELECT frame_id, xsize, ysize, x_tiles, y_tiles, word_count, required_capabilities, 'v1' AS version FROM manifests")

@@ -163,6 +163,21 @@ def decide(costs: DataFrame) -> DataFrame:
     )
 
 
+def candidate_members(blocks: DataFrame, frames: DataFrame) -> DataFrame:
+    """(frame_id, rx, ry, candidate, block): the blocks (frame_id, rx, ry, block) of complete regions by the eight candidates that
+    cover them: 0-3 the 8x8 blocks, 4 and 5 the vertical pairs, 6 and 7 the horizontal ones."""
+    at = blocks.join(with_geometry(frames).select("frame_id", F.col("x_blocks").alias("_w")), "frame_id")
+    mx, my = (F.col("block") % F.col("_w")) % 2, F.floor(F.col("block") / F.col("_w")) % 2
+    covering = F.array(my * 2 + mx, mx + 4, my + 6)
+    return at.select("frame_id", "rx", "ry", F.explode(covering).alias("candidate"), "block")
+
+
+def ranked_candidates(costs: DataFrame) -> DataFrame:
+    """Add rank: the candidates of a region by cost, equal ones by shape and raster position."""
+    region = Window.partitionBy("frame_id", "stripe", F.shiftright("bx", 1), F.shiftright("by", 1)).orderBy("cost_q16", "raw_strategy", "by", "bx")
+    return costs.withColumn("rank", F.row_number().over(region).cast("bigint"))
+
+
 def strategy_map(blocks: DataFrame, decisions: DataFrame) -> DataFrame:
     """Every block of the frame with its code; blocks outside complete regions stay 8x8."""
     keys = ["frame_id", "stripe", "bx", "by"]
