@@ -39,15 +39,51 @@ def local_session(cpus: str = "8", partitions: int = 8) -> SparkSession:
     return tune(spark)
 
 
-def work_dir(spark: SparkSession) -> str:
-    """A fresh path below the cluster's shared checkpoint folder; a local one only in local mode, where none is named."""
+#: The folder of this driver where the cluster names none; for local mode only.
+_LOCAL = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared checkpoint folder; a local one only in local mode, where none is named."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="blockfield-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return os.path.join(base, f"work-{uuid.uuid4().hex}")
+    if base:
+        return base
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if not _LOCAL:
+        _LOCAL.append(tempfile.mkdtemp(prefix="blockfield-"))
+    return _LOCAL[0]
+
+
+def work_dir(spark: SparkSession) -> str:
+    """A fresh path below the shared folder."""
+    path = os.path.join(shared_folder(spark), f"work-{uuid.uuid4().hex}")
+    _MADE.append(path)
+    return path
+
+
+#: Work paths given out by this driver; a path may have companions that begin with its name.
+_MADE = []
+
+
+def clean_work() -> int:
+    """Delete what this driver's jobs have staged in the shared folder; returns the number of folders.
+
+    To be called once results are written elsewhere: tables that jobs have returned, and streams that still run, read from there.
+    Checkpoints that Spark's cleaner removes by itself are among them.
+    """
+    from pyarrow import fs
+
+    gone = 0
+    for path in _MADE:
+        system, root = fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
+        base, name = root.rsplit("/", 1)
+        for info in system.get_file_info(fs.FileSelector(base, allow_not_found=True)):
+            if info.base_name.startswith(name) and info.type == fs.FileType.Directory:
+                system.delete_dir(info.path)
+                gone += 1
+    _MADE.clear()
+    return gone
 
 
 def stage(df: DataFrame) -> DataFrame:

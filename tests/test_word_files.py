@@ -2,8 +2,10 @@
 
 import os
 from decimal import Decimal
+from types import SimpleNamespace
 
 import pyarrow as pa
+import pytest
 
 from blockfield.sources import binary, sinks
 
@@ -123,3 +125,26 @@ def test_a_stream_over_growing_files_survives_a_restart(spark, tmp_path):
     rows = spark.read.schema(binary.WORDS_SCHEMA).parquet(str(tmp_path / "out")).collect()
     got = sorted((os.path.basename(r["file"]), r["ordinal"], int.from_bytes(r["word"], "little")) for r in rows)
     assert got == sorted([("a.bin", i, i) for i in range(230)] + [("c.bin", i, i) for i in range(70)])
+
+
+def test_staged_work_can_be_deleted(spark, tmp_path, monkeypatch):
+    from blockfield import session
+
+    monkeypatch.setattr(session, "_MADE", [])
+    monkeypatch.setattr(session, "shared_folder", lambda _: f"file://{tmp_path}")
+    one, two = session.write_table(spark.range(5)), session.write_table(spark.range(3))
+    assert one.count() == 5 and two.count() == 3
+    (tmp_path / "other").mkdir()
+    assert session.clean_work() == 2 and os.listdir(tmp_path) == ["other"] and session.clean_work() == 0
+
+
+def test_without_a_named_folder_local_mode_makes_one(monkeypatch):
+    from blockfield import session
+
+    monkeypatch.setattr(session, "_LOCAL", [])
+    named = lambda master, folder=None: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: folder), sparkContext=SimpleNamespace(master=master))
+    first = session.shared_folder(named("local[2]"))
+    assert os.path.isdir(first) and session.shared_folder(named("local")) == first
+    assert session.shared_folder(named("spark://x", "hdfs://y/z")) == "hdfs://y/z"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_folder(named("spark://x"))
