@@ -7,7 +7,7 @@ from blockfield.functions import coding
 from blockfield.functions import constants as C
 from blockfield.functions.fixed import lit
 from blockfield.operators import aq, cfl, quantize, shape, tokens, transform
-from blockfield.operators.geometry import BLOCK_KEYS, block_columns, with_geometry
+from blockfield.operators.geometry import BLOCK_KEYS, block_columns, job_rejects, with_geometry
 from blockfield.session import stage, tune, write_table
 
 # Precision of each consumer, in fraction bits.
@@ -76,6 +76,11 @@ def choose_shapes(columns: DataFrame, frames: DataFrame) -> tuple:
 
 def quantize_shaped_frames(pixels: DataFrame, frames: DataFrame) -> tuple:
     """Variable-shape route: (quantized owners, stripe tiles)."""
+    return _shaped(pixels, frames)[:2]
+
+
+def _shaped(pixels: DataFrame, frames: DataFrame) -> tuple:
+    """(quantized owners, stripe tiles, cells with their shapes)."""
     tune(pixels.sparkSession)
     columns = stage(block_columns(pixels, frames, (NATIVE_BITS, ANALYSIS_BITS, QUANT_BITS)))
     cells, tiles = choose_shapes(columns, frames)
@@ -89,7 +94,7 @@ def quantize_shaped_frames(pixels: DataFrame, frames: DataFrame) -> tuple:
         .unionByName(transform.vertical_transform(columns, QUANT_BITS, QUANT_GUARD, of(C.DCT16X8)))
         .unionByName(transform.horizontal_transform(columns, QUANT_BITS, QUANT_GUARD, of(C.DCT8X16)))
     )
-    return write_table(quantize.quantize(coefficients, params, QUANT_BITS)), tiles
+    return write_table(quantize.quantize(coefficients, params, QUANT_BITS)), tiles, cells
 
 
 def square_tokens(pixels: DataFrame, frames: DataFrame, estimate_cfl: bool = True) -> DataFrame:
@@ -108,3 +113,15 @@ def square_tokens(pixels: DataFrame, frames: DataFrame, estimate_cfl: bool = Tru
 def shaped_tokens(pixels: DataFrame, frames: DataFrame) -> DataFrame:
     quantized, tiles = quantize_shaped_frames(pixels, frames)
     return tokens.all_tokens(quantized, raster_tiles(tiles, frames), frames)
+
+
+def square_job(pixels: DataFrame, frames: DataFrame, estimate_cfl: bool = True) -> tuple:
+    """(tokens, rejects) of the 8x8 route; rejects (frame_id, rule, detail) are the frames and pixels that gave no tokens."""
+    return square_tokens(pixels, frames, estimate_cfl), job_rejects(pixels, frames)
+
+
+def shaped_job(pixels: DataFrame, frames: DataFrame) -> tuple:
+    """(tokens, rejects) of the variable-shape route; besides frames and pixels left out, rejects name the frames with blocks whose
+    shape was decided on capped costs or without a supported distance."""
+    quantized, tiles, cells = _shaped(pixels, frames)
+    return tokens.all_tokens(quantized, raster_tiles(tiles, frames), frames), job_rejects(pixels, frames).unionByName(shape.shape_rejects(cells))

@@ -145,3 +145,21 @@ def test_pixel_stages_shuffle_pixels_once(spark):
     for df in (aq.erosion(aq.block_statistics(G.block_columns(pixels, frames))), transform.horizontal_transform(G.block_columns(pixels, frames))):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange hashpartitioning(frame_id") == 1
+
+
+def test_jobs_return_what_they_leave_out(spark):
+    """A good frame, one with a pixel outside and hence one missing, an unknown frame's pixel, and a frame without a size."""
+    from blockfield.plans import jobs
+
+    rows = [(1, x, y, (x * 7 + y * 3) % 256, x % 256, y % 256) for y in range(16) for x in range(16)]
+    rows += [(2, x + 100 * (x == y == 3), y, x, y, 9) for y in range(8) for x in range(8)] + [(9, 0, 0, 1, 1, 1)]
+    pixels = spark.createDataFrame(rows, "frame_id bigint, x bigint, y bigint, r bigint, g bigint, b bigint")
+    one = frame_table(spark, 16, 16).withColumn("frame_id", F.lit(1).cast("bigint"))
+    two = frame_table(spark, 8, 8).withColumn("frame_id", F.lit(2).cast("bigint"))
+    none = frame_table(spark, 8, 8).withColumn("frame_id", F.lit(3).cast("bigint")).withColumn("ysize", F.lit(0).cast(two.schema["ysize"].dataType))
+    frames = one.unionByName(two).unionByName(none)
+    for job in (jobs.square_job, jobs.shaped_job):
+        tokens, rejects = job(pixels, frames)
+        assert 1 in {r.frame_id for r in tokens.select("frame_id").distinct().collect()}
+        found = {(r.frame_id, r.rule) for r in rejects.collect()}
+        assert {(2, "outside"), (2, "missing_pixels"), (9, "unknown_frame")} <= found and any(f == 3 for f, _ in found) and not any(f == 1 for f, _ in found)
